@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op8_document_fingerprint
+from .mixing import OP6_SQL, op6_source_mixing
 from .packing import op1_best_fit_packing
+from .secret_scan import op5_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_secret_scan, op6_source_mixing, op8_document_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": OP6_SQL}
