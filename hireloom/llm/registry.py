@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprint import op8_document_fingerprint
 from .mixing import OP6_SQL, op6_source_mixing
 from .packing import op1_best_fit_packing
+from .quality import op10_quality_classifier
 from .secret_scan import op5_secret_scan
 from .warc import op2_warc_boundary_chain
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc_boundary_chain, op5_secret_scan, op6_source_mixing, op8_document_fingerprint)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc_boundary_chain, op5_secret_scan, op6_source_mixing, op8_document_fingerprint, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
