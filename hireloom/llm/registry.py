@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op7_embedding_near_dedup
 from .fingerprint import op8_document_fingerprint
 from .line_dedup import op3_line_dedup
 from .minhash import op4_minhash_near_dedup
@@ -17,7 +18,7 @@ from .warc import op2_warc_boundary_chain
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc_boundary_chain, op3_line_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_source_mixing, op8_document_fingerprint, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc_boundary_chain, op3_line_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_source_mixing, op7_embedding_near_dedup, op8_document_fingerprint, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
