@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op7_embedding_near_dedup
 from .fingerprint import op8_document_fingerprint
+from .language_model import op9_context_mixing_lm
 from .line_dedup import op3_line_dedup
 from .minhash import op4_minhash_near_dedup
 from .mixing import OP6_SQL, op6_source_mixing
@@ -18,7 +19,7 @@ from .warc import op2_warc_boundary_chain
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc_boundary_chain, op3_line_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_source_mixing, op7_embedding_near_dedup, op8_document_fingerprint, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc_boundary_chain, op3_line_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_source_mixing, op7_embedding_near_dedup, op8_document_fingerprint, op9_context_mixing_lm, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
