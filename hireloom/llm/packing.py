@@ -17,6 +17,8 @@ input are not read, so their names cannot clash.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,14 +31,23 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Chunks that the tokenizer's own splitting never joins: white space before a
-#: last single blank stands alone, and that blank belongs to what follows.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Chunks that end where the tokenizer's own splitting ends: letters with a blank
+#: before, then other characters (letters after an apostrophe stay with it), and
+#: white space, of which a last blank belongs to what follows.
+_CHUNK = re.compile(r" ?[^\W\d_]+| ?(?:'[^\W\d_]*|[\d_]|[^\w\s'])+|\s+(?!\S)|\s+")
 #: Python takes these for white space, the tokenizer's pattern does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Chunks a worker remembers, in each of two generations.
 _CACHE_ROWS = 400_000
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -44,23 +55,30 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_CHUNK_IDS: dict[str, dict[str, bytes]] = {}
+_CHUNK_IDS: dict[str, list[dict[str, bytes]]] = {}
 
 
 def _encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, by chunks met before where possible."""
     tokenizer = _tokenizer(path)
-    known = _CHUNK_IDS.setdefault(path, {})
-    if len(known) > _CACHE_ROWS:
-        known.clear()
+    held = _CHUNK_IDS.setdefault(path, [{}, {}])
+    if len(held[0]) > _CACHE_ROWS:
+        held[:] = {}, held[0]  # what is met again comes over from the older one
+    known, older = held
     chunked = [None if _ODD_SPACE.search(t) or "<|" in t else _CHUNK.findall(t) for t in texts]
-    fresh = list({c for chunks in chunked if chunks for c in chunks if c not in known})
+    met = set().union(*filter(None, chunked)).difference(known)
+    fresh = []
+    for chunk in met:
+        if (ids := older.get(chunk)) is None:
+            fresh.append(chunk)
+        else:
+            known[chunk] = ids
     for at in range(0, len(fresh), 5000):
         part = fresh[at : at + 5000]
         for chunk, code in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(code.ids, "<u4").tobytes()
+            known[chunk] = _bytes(code.ids)
     return [
-        np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if chunks is None else b"".join(map(known.__getitem__, chunks))
+        _bytes(tokenizer.encode(t, add_special_tokens=False).ids) if chunks is None else b"".join(map(known.__getitem__, chunks))
         for t, chunks in zip(texts, chunked, strict=True)
     ]
 
@@ -74,8 +92,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = [x + end for x in _encode(texts, tokenizer_path)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
