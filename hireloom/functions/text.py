@@ -55,10 +55,15 @@ def replace_all(text: Column, pattern: str, by: str, flags: str = "iu") -> Colum
     return F.regexp_replace(text, js(pattern, flags), by)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC; null stays null. ASCII text is its own normal form."""
-    full = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.when(text.isNotNull(), F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(full))
+    full = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(True))
+    return let(text, lambda x: F.when(x.isNotNull(), F.when(x.rlike(r"^\p{ASCII}*$"), x).otherwise(full(x))))
 
 
 def clean(text: Column) -> Column:
@@ -93,7 +98,7 @@ def company_key_of(value: str, suffixes: list[str]) -> str:
 
 
 def presence(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return let(text, lambda x: F.when(x != "", x))
 
 
 def metadata_string(metadata: str, key: str, most: int = 2000) -> Column:
@@ -138,6 +143,10 @@ def html_to_text(html: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Numeric and named references; an unknown name or no code point becomes a blank."""
+    return let(text, _decoded)
+
+
+def _decoded(text: Column) -> Column:
     pattern = r"(?i)&(#x[0-9a-f]+|#[0-9]+|[a-z]+);"
     gaps = F.split(text, pattern, -1)
     names = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, nfkc
+from .text import SPACE, let, nfkc
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*):[/\\]*(?:([^/?#\\]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#\\:@]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
 LOOPBACK = ("localhost", "127.0.0.1", "[::1]")
@@ -28,31 +28,33 @@ def _query(query: Column, removed: list[str]) -> Column:
 def normalize_url(url: Column, removed: list[str] | tuple[str, ...] = (), strip_slash: bool = False, sort: bool = False) -> Column:
     """struct<value, code>: the canonical URL, or why there is none (INVALID_URL,
     HTTPS_REQUIRED, CREDENTIALS_NOT_ALLOWED)."""
-    text = F.regexp_replace(nfkc(url), f"^[{SPACE}]+|[{SPACE}]+$", "")
-    text = F.regexp_replace(text, r"[\t\n\r]", "")
-    part = lambda k: F.regexp_extract(text, _PARTS, k)
-    scheme, user, host, port = F.lower(part(1)), part(2), F.lower(part(3)), part(4)
-    path, query = F.regexp_replace(part(5), r"\\", "/"), part(6)
-    path = F.regexp_replace(path, r"(?i)%2e", ".")
+    trimmed = F.regexp_replace(F.regexp_replace(nfkc(url), f"^[{SPACE}]+|[{SPACE}]+$", ""), r"[\t\n\r]", "")
+    names = ("scheme", "user", "host", "port", "path", "query")
+    parts = let(trimmed, lambda x: F.struct(x.rlike(_PARTS).alias("whole"), *(F.regexp_extract(x, _PARTS, k + 1).alias(n) for k, n in enumerate(names))))
+    return let(parts, lambda p: _assemble(url, p, list(removed), strip_slash, sort))
+
+
+def _path(path: Column, strip_slash: bool) -> Column:
+    path = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"(?i)%2e", ".")
     path = F.regexp_replace(F.regexp_replace(path, r"/\.(?=/|$)", ""), " ", "%20")
     for _ in range(6):  # a/../ at a time
         path = F.regexp_replace(path, r"^/\.\.(?=/|$)|/(?!\.\.(?:/|$))[^/]*/\.\.(?=/|$)", "")
-    path = F.when(path == "", "/").otherwise(path)
     if strip_slash:
-        bare = F.regexp_replace(path, "/+$", "")
-        path = F.when(bare == "", "/").otherwise(bare)
+        path = F.regexp_replace(path, "/+$", "")
+    return let(path, lambda x: F.when(x == "", "/").otherwise(x))
+
+
+def _assemble(url: Column, p: Column, removed: list[str], strip_slash: bool, sort: bool) -> Column:
+    scheme, host, number = F.lower(p["scheme"]), F.lower(p["host"]), p["port"].try_cast("int")
     default = F.when(scheme == "https", "443").when(scheme == "http", "80")
-    port = F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), F.coalesce(port.try_cast("int").cast("string"), port)))
-    if sort or removed:
-        query = _query(query, list(removed)) if sort else query
-    query = F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
-    web = scheme.isin("http", "https")
-    bad_host = web & ((host == "") | host.rlike(r"[\x00-\x20<>^|%\[\]]") & ~host.startswith("["))
-    bad_port = (part(4) != "") & (F.coalesce(part(4).try_cast("int"), F.lit(99999)) > 65535)
+    port = F.when((p["port"] == "") | (p["port"] == default), "").otherwise(F.concat(F.lit(":"), F.coalesce(number.cast("string"), p["port"])))
+    query = let(_query(p["query"], removed) if sort else p["query"], lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    bad_host = scheme.isin("http", "https") & ((host == "") | host.rlike(r"[\x00-\x20<>^|%\[\]]") & ~host.startswith("["))
+    bad_port = (p["port"] != "") & (F.coalesce(number, F.lit(99999)) > 65535)
     code = (
-        F.when(url.isNull() | (F.length(url) > 10_000) | ~text.rlike(_PARTS) | bad_host | bad_port, "INVALID_URL")
+        F.when(url.isNull() | (F.length(url) > 10_000) | ~p["whole"] | bad_host | bad_port, "INVALID_URL")
         .when(~((scheme == "https") | (scheme == "http") & host.isin(*LOOPBACK)), "HTTPS_REQUIRED")
-        .when(F.regexp_replace(user, ":", "") != "", "CREDENTIALS_NOT_ALLOWED")
+        .when(F.regexp_replace(p["user"], ":", "") != "", "CREDENTIALS_NOT_ALLOWED")
     )
-    value = F.when(code.isNull(), F.concat(scheme, F.lit("://"), host, port, path, query))
-    return F.struct(value.alias("value"), code.alias("code"))
+    value = F.concat(scheme, F.lit("://"), host, port, _path(p["path"], strip_slash), query)
+    return let(code, lambda c: F.struct(F.when(c.isNull(), value).alias("value"), c.alias("code")))

@@ -294,3 +294,38 @@ def geo_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT03-like groups: members by group through two look-ups."""
     s, n, r = (_read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("suppliers"), F.count_if(F.col("s_acctbal") > 0).alias("in_credit"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("url", "html", F.lit("Example Labs").alias("company"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(html), 'captcha|verify you are human|challenge required') THEN 'captcha' WHEN regexp_matches(lower(html), 'access denied|request blocked|forbidden') THEN 'access-denied' END AS reason FROM pages")
+def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT02: pages that show a barrier instead of content."""
+    from ..sources.pages import blocked_reason
+
+    return _read(spark, sf_dir, "pages").select("page_id", blocked_reason(F.col("html")).alias("reason"))
+
+
+@query()
+def semantic_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT14-16, EXT21: postings from headings and content."""
+    from ..sources.pages import semantic_jobs
+
+    return semantic_jobs(_pages(spark, sf_dir))
+
+
+@query()
+def board_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC01-04, COL01-12: board payloads built from documents, to postings and counts."""
+    from ..operators.collect import normalize_candidates, source_counts
+    from ..sources.boards import board_a
+
+    d = _read(spark, sf_dir, "documents")
+    item = F.struct((F.col("doc_id") % 400).alias("id"), F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("Engineer "), F.col("lang"))).alias("title"), F.concat(F.lit("https://jobs.example.test/"), F.col("doc_id").cast("string")).alias("absolute_url"), F.struct(F.lit("Berlin").alias("name")).alias("location"))
+    # a board's payload is one source's list: bounded by the source
+    bodies = d.groupBy(F.col("source").alias("source_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("jobs"))).alias("body")).withColumn("company", F.lit("Example Labs"))
+    rows = board_a(bodies)
+    good = normalize_candidates(rows.where("NOT invalid AND NOT repeated"), F.lit("greenhouse"), NOW)
+    return source_counts(good)
