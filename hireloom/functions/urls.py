@@ -20,7 +20,7 @@ def _query(query: Column, removed: list[str]) -> Column:
     """name=value pairs without removed names, stably sorted, in form encoding."""
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     decode = lambda x: F.coalesce(F.try_url_decode(x), x)
-    named = F.transform(pairs, lambda p, i: F.struct(decode(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), F.when(p.contains("="), decode(F.substring(p, F.instr(p, "=") + 1, F.length(p)))).otherwise("").alias("v")))
+    named = F.transform(pairs, lambda p, i: F.named_struct(F.lit("k"), decode(F.substring_index(p, "=", 1)), F.lit("i"), i, F.lit("v"), F.when(p.contains("="), decode(F.substring(p, F.instr(p, "=") + 1, F.length(p)))).otherwise("")))
     kept = F.filter(named, lambda x: ~x["k"].isin(removed)) if removed else named
     return F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
 
@@ -30,7 +30,7 @@ def normalize_url(url: Column, removed: list[str] | tuple[str, ...] = (), strip_
     HTTPS_REQUIRED, CREDENTIALS_NOT_ALLOWED)."""
     trimmed = F.regexp_replace(F.regexp_replace(nfkc(url), f"^[{SPACE}]+|[{SPACE}]+$", ""), r"[\t\n\r]", "")
     names = ("scheme", "user", "host", "port", "path", "query")
-    parts = let(trimmed, lambda x: F.struct(x.rlike(_PARTS).alias("whole"), *(F.regexp_extract(x, _PARTS, k + 1).alias(n) for k, n in enumerate(names))))
+    parts = let(trimmed, lambda x: F.named_struct(F.lit("whole"), x.rlike(_PARTS), *(y for k, n in enumerate(names) for y in (F.lit(n), F.regexp_extract(x, _PARTS, k + 1)))))
     return let(parts, lambda p: _assemble(url, p, list(removed), strip_slash, sort))
 
 
@@ -57,4 +57,4 @@ def _assemble(url: Column, p: Column, removed: list[str], strip_slash: bool, sor
         .when(F.regexp_replace(p["user"], ":", "") != "", "CREDENTIALS_NOT_ALLOWED")
     )
     value = F.concat(scheme, F.lit("://"), host, port, _path(p["path"], strip_slash), query)
-    return let(code, lambda c: F.struct(F.when(c.isNull(), value).alias("value"), c.alias("code")))
+    return let(code, lambda c: F.named_struct(F.lit("value"), F.when(c.isNull(), value), F.lit("code"), c))
