@@ -124,7 +124,7 @@ def _chain(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
     successor = F.col("offset") + len(MAGIC) + F.length("head") + len(END) + F.col("length") + len(END)
     # what stands before the first version line of a file is no candidate
     placed = saved(placed.where("offset >= 0").withColumn("next", successor).drop("size", "base"), "placed")
-    real = reachable(placed.select("file", "offset", "next"))
+    real = saved(reachable(placed), "reached")
     return placed.join(real, ["file", "offset"], "left_semi"), placed.join(real, ["file", "offset"], "left_anti")
 
 
@@ -161,21 +161,31 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def reachable(links: DataFrame) -> DataFrame:
     """(file, offset) of the candidates on the chain from offset 0, by pointer jumping.
 
-    Round k knows which candidates are within 2^k steps of the start and where
-    2^k steps lead from each; it ends when a round finds none.
+    links has file, split, at, offset and next. Candidates of a split that follow
+    each other are one segment, from its head to its exit; so a chain has about as
+    many segments as the file has splits. Round k knows the segments within 2^k
+    steps of the start, with the offset at which they are entered, and where 2^k
+    steps lead from each; it ends when a round finds none.
     """
-    jump = links.where("next IS NOT NULL").select("file", "offset", F.col("next").alias("to"))
-    here = links.select("file", "offset")
-    reached = here.where("offset = 0")
+    order = Window.partitionBy("file", "split").orderBy("at")
+    fresh = ~F.lag("next").over(order).eqNullSafe(F.col("offset"))
+    marked = links.select("file", "split", "at", "offset", "next", fresh.cast("int").alias("fresh"))
+    marked = marked.select("file", "offset", "next", F.max(F.when(F.col("fresh") == 1, F.col("offset"))).over(order).alias("head"))
+    marked = saved(marked, "segments")
+    exits = marked.groupBy("file", "head").agg(F.max_by("next", "offset").alias("entry")).where("entry IS NOT NULL")
+    into = marked.select("file", F.col("offset").alias("entry"), F.col("head").alias("to"))
+    jump = saved(exits.join(into, ["file", "entry"]), "jump")
+    reached = marked.where("offset = 0").select("file", "head", F.col("offset").alias("entry"))
     n = reached.count()
     while True:
-        found = jump.join(reached, ["file", "offset"]).select("file", F.col("to").alias("offset")).join(here, ["file", "offset"], "left_semi")
-        reached = saved(reached.union(found).distinct(), "reached")
+        found = jump.join(reached.select("file", "head"), ["file", "head"]).select("file", F.col("to").alias("head"), "entry")
+        reached = saved(reached.unionAll(found).distinct(), "reached")
         if (m := reached.count()) == n:
-            return reached
+            break
         n = m
-        far = jump.select(F.col("file"), F.col("offset").alias("to"), F.col("to").alias("far"))
-        jump = saved(jump.join(far, ["file", "to"]).select("file", "offset", F.col("far").alias("to")), "jump")
+        far = jump.select("file", F.col("head").alias("to"), F.col("to").alias("far"), F.col("entry").alias("far_entry"))
+        jump = saved(jump.join(far, ["file", "to"]).select("file", "head", F.col("far").alias("to"), F.col("far_entry").alias("entry")), "jump")
+    return marked.join(reached, ["file", "head"]).where(marked["offset"] >= reached["entry"]).select("file", "offset").distinct()
 
 
 def op2_warc_boundary_chain(spark, sf_dir: str) -> DataFrame:
