@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import forget, saved
 
 
+#: Edges up to which a round runs in few tasks, and edges a task.
+SMALL, PER_TASK = 1_000_000, 50_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -25,15 +29,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     now = saved(now.where("a < b").distinct(), "edges")
     mark = _mark(now)
+    # Few edges go to few tasks; many are joined from files, so that Spark can split a hub's.
+    small = mark[0] <= SMALL
+    kept = lambda df, name: saved(df.coalesce(max(1, mark[0] // PER_TASK)) if small else df, name)
     while mark[0]:
         old = now
         both = old.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(old.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = saved(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
-        lower = saved(large.groupBy("b").agg(F.min("a").alias("m")), "lower")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = least if small else saved(least, "least")
+        large = kept(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
+        lower = large.groupBy("b").agg(F.min("a").alias("m"))
+        lower = lower if small else saved(lower, "lower")
         met = large.join(lower, "b")
         star = met.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = saved(star.where("a < b").distinct(), "edges")
+        now = kept(star.where("a < b").distinct(), "edges")
         new = _mark(now)
         for x in (least, large, lower, old):
             forget(x)

@@ -48,7 +48,7 @@ class _WordHash(dict):
     """64-bit hashes of words met so far, a bounded number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -73,7 +73,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def signatures(sets: list[np.ndarray], at_once: int = 8192) -> np.ndarray:
+def signatures(sets: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
     """(sets, N_HASHES) uint32: the least of (a x + b) / 2^32 over each set, for each a, b."""
     out = np.full((len(sets), N_HASHES), 2**32 - 1, np.uint32)
     some = [k for k, s in enumerate(sets) if len(s)]
