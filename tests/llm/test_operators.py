@@ -254,7 +254,7 @@ def test_fingerprints(spark):
 def test_language_model(spark):
     rng = random.Random(9)
     texts = [None, "", "X" * 200, *(words(rng, rng.randrange(1, 60), 40) for _ in range(80))]
-    got = {r.doc_id: r for r in language_model.score_texts(docs_of(spark, texts), tokens_a_block=50).collect()}
+    got = {r.doc_id: r for r in language_model.score_texts(docs_of(spark, texts), entries_a_block=50).collect()}
     tokens = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
     count: dict = {}
@@ -277,8 +277,8 @@ def test_bits_are_a_distribution():
     bits = language_model._Bits(keys, np.ones(len(keys)))
     seen: dict = {}
     for column in bits.columns():
-        depth, live, bit, _, run = column
-        x, gate = mixer.inputs(bits, column, False)
+        depth, _, _, bit, _, run, _ = column
+        x, gate = mixer.inputs(column, False)
         p = mixer.probability(mixer.mix(x, gate), gate)
         for g, b, q in zip(run, bit, p, strict=True):
             seen.setdefault((depth, g), set()).add(round(float(q), 12))
