@@ -8,18 +8,24 @@ two and three bytes, and the whole of the word so far, the last three with the c
 zeros and ones give a predictor; predictors are combined in the logistic domain
 by weights that a gate selects (how much the longest context has seen, and whether
 a byte begins), learnt online from bit to bit, and the mix is refined by an
-adaptive map from what was predicted to what was seen. The sum of -log2 over the
+adaptive map from what was predicted to what was seen. That is mixed with what
+followed the previous word in training: with c of n occurrences of the previous word
+followed by the word, and a probability p of its bits, it is (c + m p) / (n + m), which
+sums to one over words. m is a power of four, times the root of n + 1, found by leaving
+each training occurrence out. The sum of -log2 over the
 bits of a text, by its bytes, is its total of bits per byte; nothing is cut.
 
 In Spark: texts become blocks of documents, with the block's distinct words once and
-each document as numbers of them, and words are counted over the whole training
+each document as numbers of them in order, and words are counted over the whole training
 corpus. Counts of
 short contexts are tables of bounded size, summed over tasks; those of longer
 beginnings of words are exact, as words with the same first bytes are in one
 partition. Weights are learnt in each partition from a common start and averaged
 by what they have seen. Then each distinct word is scored once, a join gives each
 block the scores of its words, and the block adds them up by document: a word of
-every document is one row a block.
+every document is one row a block. Pairs of words travel as packed arrays of 64-bit
+hashes, by bucket of the hash; a bucket sums their counts over all blocks and sends
+each block the sums of its own pairs. A text begins after an end.
 
 A null or empty text is the end alone. Words of over 64 bytes are spelled in pieces.
 Rows are scored one by one, also equal ones. An empty table gives an empty result,
@@ -58,6 +64,8 @@ BUCKETS = 33  # of the adaptive map, over -8 to 8
 CHUNKS = 64
 #: Bins of words by which documents are classed, axes and cells an axis.
 BINS, AXES, GRID = 128, 3, 16
+#: Strengths of the words' own probability against what followed the previous word.
+STRENGTHS = 4.0 ** np.arange(-2, 6)
 
 
 def spell(word: bytes) -> list[bytes]:
@@ -92,32 +100,40 @@ class _Numbers(dict):
         return number
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[tuple[list, np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[tuple]:
     """Blocks of whole documents with about so many entries, one a document and distinct key:
-    ids, entries of each document, keys, and the key's number and the count of each entry."""
-    numbers, ids, sizes, key, times = _Numbers(), [], [], array("I"), array("I")
+    ids, entries of each document, keys, the key's number and the count of each entry, and
+    the spelled keys' numbers in the order of the text, and how many a document has."""
+    numbers, ids, sizes, key, times, order, lengths = _Numbers(), [], [], array("I"), array("I"), array("I"), []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            count: Counter = Counter((text or "").encode("utf-8", "replace").lower().split())
-            for word in [w for w in count if len(w) > PIECE]:
+            units: list = (text or "").encode("utf-8", "replace").lower().split()
+            count: Counter = Counter(units)
+            long = [w for w in count if len(w) > PIECE]
+            for word in long:
                 c = count.pop(word)
                 for part in spell(word):
                     count[(part,)] += c  # in a tuple, as it is no word
+            if long:
+                units = [u for w in units for u in ([w] if len(w) <= PIECE else [(part,) for part in spell(w)[1:]])]
+            units.append((END,))
             count[(END,)] += 1
             ids.append(doc_id)
             sizes.append(len(count))
             key.extend(map(numbers.__getitem__, count))
             times.extend(count.values())
-            if len(key) >= entries:
-                yield _block(numbers, ids, sizes, key, times)
-                numbers, ids, sizes, key, times = _Numbers(), [], [], array("I"), array("I")
+            order.extend(map(numbers.__getitem__, units))
+            lengths.append(len(units))
+            if len(key) >= entries or len(order) >= 4 * entries:
+                yield _block(numbers, ids, sizes, key, times, order, lengths)
+                numbers, ids, sizes, key, times, order, lengths = _Numbers(), [], [], array("I"), array("I"), array("I"), []
     if ids:
-        yield _block(numbers, ids, sizes, key, times)
+        yield _block(numbers, ids, sizes, key, times, order, lengths)
 
 
-def _block(numbers: _Numbers, ids: list, sizes: list[int], key: array, times: array) -> tuple:
+def _block(numbers: _Numbers, ids: list, sizes: list[int], key: array, times: array, order: array, lengths: list[int]) -> tuple:
     keys = [k + BLANK if type(k) is bytes else k[0] for k in numbers]
-    return ids, np.array(sizes), keys, np.frombuffer(key, np.uint32), np.frombuffer(times, np.uint32)
+    return ids, np.array(sizes), keys, *(np.frombuffer(x, np.uint32) for x in (key, times, order)), np.array(lengths)
 
 
 def packed(x: np.ndarray | bytes) -> bytes:
@@ -136,20 +152,21 @@ def numbers_of(x: bytes) -> np.ndarray:
 
 def blocks(docs: DataFrame, entries_a_block: int) -> DataFrame:
     """Texts as blocks, a row each: ids, entries of each document, keys (end to end, and where
-    they end), the bin of each key, and the key's number and the count of each entry."""
+    they end), the bin of each key, the key's number and the count of each entry, and the
+    numbers of the spelled keys in order and how many a document has."""
     id_type = docs.schema["id"].dataType.simpleString()
     id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for no, (ids, sizes, keys, key, times) in enumerate(_blocks(batches, entries_a_block)):
+        for no, (ids, sizes, keys, key, times, order, lengths) in enumerate(_blocks(batches, entries_a_block)):
             ends = np.cumsum([len(k) for k in keys])
             bins = bytes(zlib.crc32(k) % BINS for k in keys)
-            rest = map(packed, [sizes, b"".join(keys), ends, bins, key, times])
+            rest = map(packed, [sizes, b"".join(keys), ends, bins, key, times, order, lengths])
             columns = [pa.array([part << 24 | no]), pa.array([ids], pa.list_(id_arrow)), *(pa.array([x], pa.binary()) for x in rest)]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "letters", "ends", "bins", "key", "times"])
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "letters", "ends", "bins", "key", "times", "order", "lengths"])
 
-    kinds = ", ".join(f"{name} binary" for name in ("sizes", "letters", "ends", "bins", "key", "times"))
+    kinds = ", ".join(f"{name} binary" for name in ("sizes", "letters", "ends", "bins", "key", "times", "order", "lengths"))
     return docs.select("id", "text").mapInArrow(run, f"block long, ids array<{id_type}>, {kinds}")
 
 
@@ -162,6 +179,7 @@ class _Texts:
         self.bins, self.letters, self.ends = np.frombuffer(unpacked(row["bins"]), np.uint8), row["letters"], row["ends"]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = np.array([not held_out(k) for k in self.ids])
+        self.packed_order, self.packed_lengths = row["order"], row["lengths"]
 
     def features(self) -> np.ndarray:
         """Square roots of each bin's share of a document: rows of length 1."""
@@ -173,6 +191,24 @@ class _Texts:
         letters, ends = unpacked(self.letters), numbers_of(self.ends).tolist()
         return [letters[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the distinct pairs of a key and the one before it, which of them
+        each place in the texts has, and each one's count in training documents."""
+        order, lengths = numbers_of(self.packed_order), numbers_of(self.packed_lengths)
+        own = np.array([xxhash.xxh3_64_intdigest(k) for k in self.keys()], np.uint64)
+        x = own[before(order, lengths)] * np.uint64(0x9E3779B97F4A7C15) + own[order]
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+        hashes, pair = np.unique(x ^ x >> np.uint64(32), return_inverse=True)
+        return hashes, pair, np.bincount(pair, np.repeat(self.train, lengths), len(hashes)).astype(np.int64)
+
+
+def before(order: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What stands before each place; before a text stands an end, its last key."""
+    out = np.concatenate([order[:1], order[:-1]])
+    ends = np.cumsum(lengths.astype(np.int64))
+    out[ends - lengths] = order[ends - 1]
+    return out
+
 
 # -- classes of documents
 
@@ -257,8 +293,8 @@ def classed(texts: DataFrame, classes: Classes) -> DataFrame:
     there and its count in training documents; and a row without w a block."""
     id_type = texts.schema["ids"].dataType
     id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type.elementType.simpleString(), pa.string())
-    kinds = [pa.list_(id_arrow), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["block", "w", "number", "c", "ids", "sizes", "key", "times", "classes"]
+    kinds = [pa.list_(id_arrow), *[pa.binary()] * 7]
+    names = ["block", "w", "number", "c", "ids", "sizes", "key", "times", "classes", "order", "lengths", "pair"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,10 +308,50 @@ def classed(texts: DataFrame, classes: Classes) -> DataFrame:
                     n = len(some)
                     own = [bytes([k]) + keys[j] for k, j in zip((some // len(keys)).tolist(), (some % len(keys)).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t.block)), pa.array(own, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(c[at : at + n]), *(pa.nulls(n, k) for k in kinds)], names=names)
-                whole = [t.ids, row["sizes"], packed(key), row["times"], of.astype(np.uint8).tobytes()]
+                lengths = numbers_of(row["lengths"])
+                order = np.searchsorted(used, np.repeat(of, lengths) * len(keys) + numbers_of(row["order"]))
+                whole = [t.ids, row["sizes"], packed(key), row["times"], of.astype(np.uint8).tobytes(), packed(order), row["lengths"], packed(t.pairs()[1])]
                 yield pa.RecordBatch.from_arrays([pa.array([t.block]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), *(pa.array([x], k) for x, k in zip(whole, kinds, strict=True))], names=names)
 
-    return texts.mapInArrow(run, f"block long, w binary, number int, c long, ids {id_type.simpleString()}, sizes binary, key binary, times binary, classes binary")
+    return texts.mapInArrow(run, f"block long, w binary, number int, c long, ids {id_type.simpleString()}, sizes binary, key binary, times binary, classes binary, order binary, lengths binary, pair binary")
+
+
+# -- pairs of words
+
+
+def paired(texts: DataFrame, n_blocks: int) -> DataFrame:
+    """(of, sums): for each block, by bucket, the counts in all training documents of its pairs,
+    in the order of their hashes. A bucket holds the hashes of a range, of about 8 blocks' worth."""
+    buckets = 64 + n_blocks // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, _, c = _Texts(row).pairs()
+                at = np.searchsorted(hashes >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+                full = np.flatnonzero(np.diff(at))
+                some = [slice(at[k], at[k + 1]) for k in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["block"])), pa.array([hashes[k].tobytes() for k in some], pa.binary()), pa.array([packed(c[k]) for k in some], pa.binary())], names=["bucket", "of", "hashes", "c"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+        _, pair = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(pair, np.concatenate([numbers_of(x) for x in pdf["c"]]))[pair]
+        own = np.split(total, np.cumsum([len(x) for x in hashes])[:-1])
+        return pd.DataFrame({"bucket": pdf["bucket"], "of": pdf["of"], "n": [packed(x) for x in own]})
+
+    rows = texts.mapInArrow(run, "bucket int, of long, hashes binary, c binary")
+    sums = rows.groupBy("bucket").applyInPandas(add, "bucket int, of long, n binary")
+    return sums.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("bucket", "n")))["n"].alias("sums"))  # buckets of one block
+
+
+def mixed(c: np.ndarray, n: np.ndarray, spelled: np.ndarray, strength: float) -> np.ndarray:
+    """log10 of (c + m p) / (n + m), m being strength times the root of n + 1, from log10 of p."""
+    m = strength * np.sqrt(n + 1)
+    out = np.log10(m / (n + m)) + spelled
+    at = np.flatnonzero(c > 0)
+    out[at] = np.log10((c[at] + m[at] * 10.0 ** spelled[at]) / (n[at] + m[at]))
+    return out
 
 
 # -- bits of sorted keys, one bit of all keys at a time
@@ -498,6 +574,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = saved(blocks(rows, entries_a_block), "blocks")
     classes = find_classes(plain)
     texts = saved(classed(plain, classes), "texts")
+    pairs = saved(paired(plain, plain.count()), "pairs")
     forget(plain)
     # keys of one class with the same first four bytes are in one partition, in order
     counted = texts.where("w IS NOT NULL").groupBy("w").agg(F.sum("c").alias("c"))
@@ -508,9 +585,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = short_contexts(vocab.where(is_spelled()))  # sums, in any order
     mixer = learn(keys, counts)
     spelled = code_lengths(keys, mixer)
-    # seen: how often a token occurs in training, -1 for what is no token of its own
+    # seen: how often a token occurs in training; -1 less that for what is no token of its own
     whole = vocab.where(~is_spelled()).select("w", "in_all", F.lit(0.0).cast("float").alias("spelled"))
-    scored = spelled.unionByName(whole).select("w", F.when(is_token(), F.col("in_all")).otherwise(-1).alias("seen"), "spelled")
+    scored = spelled.unionByName(whole).select("w", F.when(is_token(), F.col("in_all")).otherwise(-1 - F.col("in_all")).alias("seen"), "spelled")
     scored = saved(scored, "scored")
 
     id_type = rows.schema["id"].dataType.simpleString()
@@ -525,18 +602,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seen, spelled = np.zeros(len(values)), np.zeros(len(values))
         seen[values["number"]], spelled[values["number"]] = values["seen"], values["spelled"]
         base = np.where(seen >= 0, np.log10((np.maximum(seen, 0) + 0.5) / (n_train + 0.5 * (v_train + 1))), 0)
-        for name, of in (("token", seen >= 0), ("known", seen > 0), ("base", base), ("spelled", spelled)):
+        for name, of in (("token", seen >= 0), ("known", seen > 0), ("base", base)):
             out[name] = np.bincount(doc, times * of[key], len(sizes))
-        out["spelled"] += prior[np.frombuffer(text["classes"], np.uint8)]
+        order, lengths, pair = (numbers_of(text[name]) for name in ("order", "lengths", "pair"))
+        place = np.repeat(np.arange(len(lengths)), lengths)
+        train = np.repeat([not held_out(k) for k in text["ids"]], lengths)
+        n = np.where(seen >= 0, seen, -1 - seen)[before(order, lengths)]
+        c, p, own = np.concatenate([numbers_of(x) for x in text["sums"]])[pair].astype(float), spelled[order], prior[np.frombuffer(text["classes"], np.uint8)]
+        out["spelled"] = list(np.stack([own + np.bincount(place, mixed(c, n, p, k), len(lengths)) for k in STRENGTHS], 1))
+        # the block's sums with each training occurrence left out, in its first row
+        out["left_out"] = [np.array([mixed(c[train] - 1, n[train] - 1, p[train], k).sum() for k in STRENGTHS]), *[None] * (len(lengths) - 1)]
         return pd.DataFrame(out)
 
     values = texts.where("w IS NOT NULL").select("w", "block", "number").join(scored, "w").drop("w")
-    whole_blocks = texts.where("w IS NULL").select(F.col("block").alias("of"), "ids", "sizes", "key", "times", "classes")
-    sums = values.groupBy("block").cogroup(whole_blocks.groupBy("of")).applyInPandas(total, f"id {id_type}, token double, known double, base double, spelled double")
+    whole_blocks = texts.where("w IS NULL").select(F.col("block").alias("of"), "ids", "sizes", "key", "times", "classes", "order", "lengths", "pair").join(pairs, "of")
+    sums = values.groupBy("block").cogroup(whole_blocks.groupBy("of")).applyInPandas(total, f"id {id_type}, token double, known double, base double, spelled array<double>, left_out array<double>")
+    sums = saved(sums, "sums")
+    left_out = sums.where("left_out IS NOT NULL").agg(*(F.coalesce(F.sum(F.get("left_out", F.lit(k))), F.lit(0.0)) for k in range(len(STRENGTHS)))).first()
+    best = int(np.argmax(left_out))
     held = F.coalesce(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5 == 1, F.lit(False))
     return sums.select(
         F.col("id").alias(id_col), held.alias("held_out"), F.col("token").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("spelled").alias("score"),
+        F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.get("spelled", F.lit(best)).alias("score"),
     )
 
 

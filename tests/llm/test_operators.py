@@ -270,6 +270,23 @@ def test_language_model(spark):
     assert got[2].score < got[0].score  # 200 characters against the end alone
 
 
+def test_language_model_sees_word_order(spark):
+    rng = random.Random(10)
+    line = "the quick brown fox jumps over a lazy dog today"
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1]
+    texts = [" ".join(rng.sample(line.split(), 10)) if k in held[1:] else line for k in range(200)]
+    got = {r.doc_id: r for r in language_model.score_texts(docs_of(spark, texts), entries_a_block=50).collect()}
+    assert all(got[held[0]].score > got[k].score + 1 for k in held[1:])
+    assert len({round(got[k].base_score, 6) for k in held}) == 1  # the words are the same
+
+
+def test_mixed_is_a_distribution():
+    p, c = np.array([0.5, 0.3, 0.2]), np.array([4.0, 0, 1])
+    for k in language_model.STRENGTHS:
+        assert abs((10 ** language_model.mixed(c, np.full(3, c.sum()), np.log10(p), k)).sum() - 1) < 1e-9
+    assert np.allclose(language_model.mixed(np.zeros(3), np.zeros(3), np.log10(p), 1.0), np.log10(p))
+
+
 def test_bits_are_a_distribution():
     """Probabilities of all continuations of a beginning sum to one: keys are prefix-free."""
     keys = sorted({bytes([a, b, 0x20]) for a in range(97, 101) for b in range(97, 101)})
