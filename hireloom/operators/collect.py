@@ -31,14 +31,15 @@ def first_by_external_id(items: DataFrame, order: str) -> DataFrame:
 
 def normalize_candidates(items: DataFrame, source_type: Column, collected_at: str) -> DataFrame:
     """items (source_id and the fields of CANDIDATE) to postings with a column rejected:
-    why one cannot be stored, or null."""
+    why one cannot be stored, or null. Items marked invalid or repeated are rejected too."""
     url = normalize_url(F.col("source_url"))
     apply_url = normalize_url(F.col("application_url"))
     a = items.withColumns({"u": url, "v": F.when(F.col("application_url").isNotNull(), apply_url), "external_id": clean(F.col("external_id")), "title": clean(F.col("title")), "company": clean(F.col("company"))})
     said = lambda code: F.when(code == "HTTPS_REQUIRED", "Job URL must use HTTPS.").when(code == "CREDENTIALS_NOT_ALLOWED", "Job URL must not contain credentials.").when(code.isNotNull(), "Job URL is invalid.")
     required = lambda c, name: F.when(F.coalesce(F.col(c), F.lit("")) == "", f"Job {name} is required.")
     bad_time = lambda c: F.when(F.col(c).isNotNull() & iso_timestamp(F.col(c)).isNull(), "Job timestamp is invalid.")
-    rejected = F.coalesce(required("external_id", "external ID"), required("title", "title"), required("company", "company"), said(F.col("u.code")), said(F.col("v.code")), bad_time("published_at"), bad_time("expires_at"))
+    marked = [F.when(F.col(c), said) for c, said in (("invalid", "Job shape was invalid."), ("repeated", "Duplicate job was ignored.")) if c in items.columns]
+    rejected = F.coalesce(*marked, required("external_id", "external ID"), required("title", "title"), required("company", "company"), said(F.col("u.code")), said(F.col("v.code")), bad_time("published_at"), bad_time("expires_at"))
     known = {"collector": source_type, "locationText": presence(clean(F.col("location_text"))), "department": presence(clean(F.col("department"))), "sourceEmploymentType": clean(F.col("raw_employment_type")), "sourceWorkplaceType": clean(F.col("raw_workplace_type"))}
     own = F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")
     table = F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in known.items()))), lambda _, v: v.isNotNull())
@@ -53,6 +54,6 @@ def normalize_candidates(items: DataFrame, source_type: Column, collected_at: st
 
 
 def source_counts(good: DataFrame) -> DataFrame:
-    """Per source: items, those that cannot be stored (repeated or rejected), those that can."""
+    """Per source: items, those that cannot be stored (invalid, repeated or rejected), those that can."""
     bad = F.col("rejected").isNotNull()
     return good.groupBy("source_id").agg(F.count("*").alias("raw_job_count"), F.count_if(bad).alias("invalid_job_count"), F.count_if(~bad).alias("candidate_count"))

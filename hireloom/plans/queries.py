@@ -324,8 +324,7 @@ def board_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = _read(spark, sf_dir, "documents")
     item = F.struct((F.col("doc_id") % 400).alias("id"), F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("Engineer "), F.col("lang"))).alias("title"), F.concat(F.lit("https://jobs.example.test/"), F.col("doc_id").cast("string")).alias("absolute_url"), F.struct(F.lit("Berlin").alias("name")).alias("location"))
-    # a board's payload is one source's list: bounded by the source
-    bodies = d.groupBy(F.col("source").alias("source_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("jobs"))).alias("body")).withColumn("company", F.lit("Example Labs"))
-    rows = board_a(bodies)
-    good = normalize_candidates(rows.where("NOT invalid AND NOT repeated"), F.lit("greenhouse"), NOW)
-    return source_counts(good)
+    # a board's list comes in pages, of 1000 documents' ids at most
+    page = F.floor(F.col("doc_id") / 1000).alias("page")
+    bodies = d.groupBy(F.col("source").alias("source_id"), page).agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("jobs"))).alias("body")).withColumn("company", F.lit("Example Labs"))
+    return source_counts(normalize_candidates(board_a(bodies), F.lit("greenhouse"), NOW))

@@ -1,4 +1,5 @@
-"""Board payloads: a table of (source_id, company, body) with a board's JSON a row.
+"""Board payloads: a table of (source_id, company, body) with a board's JSON a row; with a
+column page, a board's JSON is several rows, and repeats are found across them.
 
 The envelope must parse, else the whole source is invalid; items are checked one by
 one. Values keep their JSON types, so a numeric title is an invalid item and not "7".
@@ -28,7 +29,10 @@ def _wrong(item: str, *paths: str) -> Column:
 def _items(bodies: DataFrame, path: str) -> DataFrame:
     array = F.expr(f"try_variant_get(try_parse_json(body), '{path}', 'array<variant>')")
     rows = bodies.withColumn("items", array)
-    return rows.select("source_id", "company", F.posexplode("items").alias("pos", "item"))
+    if "page" not in bodies.columns:
+        return rows.select("source_id", "company", F.posexplode("items").alias("pos", "item"))
+    rows = rows.select("source_id", "company", "page", F.posexplode("items").alias("pos", "item"))
+    return rows.withColumn("pos", F.struct("page", "pos"))
 
 
 def invalid_envelopes(bodies: DataFrame, path: str) -> DataFrame:
