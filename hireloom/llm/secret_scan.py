@@ -3,10 +3,10 @@
 Strong kinds (assigned secrets, access identifiers, long hex runs) are always
 reported. Weak parts (account identifiers, unlabelled tokens, endpoints) are
 only reported where parts that complete each other lie within one scope: the
-parts of a text are rows with an interval, and a range frame of ``scope`` code
-points around each part's start is the interval join that tells which other
-parts it meets. The frame holds at most 2 * scope parts, so a text full of
-parts costs its length and never its square.
+parts of a text are rows with an interval, and two parts meet if the gap between
+them is at most ``scope`` code points, however long they are. The largest end
+so far of each role, and the least start that follows, tell whether a part meets
+one, so a text full of parts costs its length and never its square.
 
 Spans are code points, end exclusive. A null text is an empty one; an empty
 text has no spans. Repeated rows get equal results, whatever their ids. Other
@@ -30,7 +30,7 @@ STRONG = ("assign", "access", "hex")
 #: Kind, pattern, role. An unlabelled token mixes digits with both cases of letters.
 WEAK = (
     ("weak_id", r"""(?i:client_?id|access_?key_?id|account(?:_?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", "id"),
-    ("weak_secret", r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[a-z0-9+/_=-]{0,60}[A-Z])(?=[A-Z0-9+/_=-]{0,60}[a-z])[A-Za-z0-9+/_=-]{16,}|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])""", "secret"),
+    ("weak_secret", r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{16,}|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])""", "secret"),
     ("endpoint", r"""https?://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]{2,5})?""", "endpoint"),
 )
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {k: role for k, _, role in WEAK}
@@ -84,8 +84,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     parts = rows.where(F.size("weak") > 0).select("_hl_key", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     role = F.get(F.array(*(F.lit(ROLE[k]) for k in ORDER)), F.col("s.rank"))
-    near = Window.partitionBy("_hl_key").orderBy("s.start").rangeBetween(-scope, scope)
-    met = parts.select("_hl_key", "s", role.alias("role"), *(F.max(role == r).over(near).alias(f"has_{r}") for r in ("id", "secret")))
+    until = Window.partitionBy("_hl_key").orderBy("s.start").rangeBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("_hl_key").orderBy(F.desc("s.start")).rangeBetween(Window.unboundedPreceding, 0)
+    end = lambda r: F.max(F.when(role == r, F.col("s.end"))).over(until)
+    start = lambda r: F.min(F.when(role == r, F.col("s.start"))).over(since)
+    met = parts.select("_hl_key", "s", role.alias("role"), *(F.coalesce(end(r) >= F.col("s.start") - scope, F.lit(False)).alias(f"before_{r}") for r in ("id", "secret")), *(F.coalesce(start(r) <= F.col("s.end") + scope, F.lit(False)).alias(f"after_{r}") for r in ("id", "secret")))
+    met = met.select("_hl_key", "s", "role", *((F.col(f"before_{r}") | F.col(f"after_{r}")).alias(f"has_{r}") for r in ("id", "secret")))
     needs = {"id": F.col("has_secret"), "secret": F.col("has_id"), "endpoint": F.col("has_id") & F.col("has_secret")}
     weak = met.where((F.col("s.rank") >= len(STRONG)) & F.coalesce(*(F.when(F.col("role") == r, c) for r, c in needs.items())))
     linked = weak.groupBy("_hl_key").agg(F.collect_list("s").alias("linked"))  # the parts of one text
