@@ -89,16 +89,22 @@ def _stretches(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"),
     )
-    text = F.decode(F.substring("value", 1, 65536), "ISO-8859-1")
-    cut = F.instr(text, END)
-    rows = lines.withColumn("head", F.when(cut > 0, F.left(text, cut - 1)))
+    rows = lines.withColumn("cut", _end("value")).withColumn("head", F.when(F.col("cut") > 0, F.decode(F.substring(F.col("value"), F.lit(1), F.col("cut") - 1), "ISO-8859-1"))).drop("cut")
     length = F.regexp_extract("head", r"(?im)^Content-Length:[ \t]*([0-9]{1,18})", 1)
     return rows.withColumn("length", F.when(length != "", length.cast("bigint")))
 
 
+def _end(value: str) -> Column:
+    """Where the first blank line of a binary value begins, from 1; 0 if there is none. The
+    whole value is decoded only where its beginning has none."""
+    at = lambda v: F.instr(F.decode(v, "ISO-8859-1"), END)
+    early = at(F.substring(value, 1, 65536))
+    return F.when((early > 0) | (F.octet_length(value) <= 65536), early).otherwise(at(F.col(value)))
+
+
 def _payload(block: str) -> Column:
     """What follows the HTTP header of a block."""
-    at = F.instr(F.decode(F.substring(block, 1, 65536), "ISO-8859-1"), END)
+    at = _end(block)
     return F.when(at > 0, F.substring(F.col(block), at + len(END), F.octet_length(block))).otherwise(F.col(block))
 
 
