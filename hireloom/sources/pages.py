@@ -22,6 +22,9 @@ APPLY_TEXT = r"(?i)^(?:apply|apply now|submit application)$"
 ATS_HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "boards-api.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "api.lever.co": "lever"}
 _BLOCK = r"(?is)<script\b[^>]*type\s*=\s*[\"']?\s*application/ld\+json\s*[\"']?[^>]*>(.*?)</script>"
 
+#: What stands before the body, said or not: the first other tag or text begins it.
+_HEAD = r"(?is)\A\s*+(?:(?:<!doctype\b[^>]*>|</?(?:html|head|noscript)(?=[\s/>])[^>]*>|<(?:meta|link|base)\b[^>]*>|<(script|style|title|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z))\s*+)*+"
+
 
 def inner_text(html: Column) -> Column:
     """Text of a piece of markup on one line; null if there is none."""
@@ -41,7 +44,12 @@ def ats_provider(url: Column) -> Column:
 
 
 def blocked_reason(html: Column) -> Column:
-    body = F.left(F.lower(decode_entities(F.regexp_replace(html, r"<[^>]*>", " "))), F.lit(20_000))
+    """Of the first 20,000 characters of the title and the body, as the reference joins them:
+    styles and scripts of the head are not in it, those of the body are."""
+    page = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    title = F.regexp_extract(F.regexp_extract(page, _HEAD, 0), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    text = F.regexp_replace(F.concat(title, F.regexp_replace(page, _HEAD, "")), r"<[^>]*>", "")
+    body = F.left(F.lower(decode_entities(text)), F.lit(20_000))
     return F.when(body.rlike("captcha|verify you are human|challenge required"), "captcha").when(body.rlike("sign in to continue|log in to continue|authentication required"), "login").when(body.rlike("access denied|request blocked|forbidden"), "access-denied")
 
 
