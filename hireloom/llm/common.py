@@ -17,8 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine), a temporary
-    folder is made and set as the session's checkpoint folder.
+    Only where a session on one machine names none (tests), a temporary folder
+    is made and set as the session's checkpoint folder; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -27,6 +27,8 @@ def scratch_root(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='hireloom-')}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
