@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ from .common import saved
 _CHUNK = re.compile(r" ?[^\W\d_]+| ?(?:'[^\W\d_]*|[\d_]|[^\w\s'])+|\s+(?!\S)|\s+")
 #: Python takes these for white space, the tokenizer's pattern does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Chunks a worker remembers, in each of two generations.
-_CACHE_ROWS = 400_000
+#: What a task remembers of chunks met before: so many short ones, in each of two
+#: generations (about 60 MB in all). Texts are read in lots of so many bytes.
+_CACHE_ROWS, _CACHE_CHARS, _LOT_CHARS = 100_000, 24, 2_000_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -55,32 +57,62 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_CHUNK_IDS: dict[str, list[dict[str, bytes]]] = {}
-
-
-def _encode(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, by chunks met before where possible."""
-    tokenizer = _tokenizer(path)
-    held = _CHUNK_IDS.setdefault(path, [{}, {}])
-    if len(held[0]) > _CACHE_ROWS:
-        held[:] = {}, held[0]  # what is met again comes over from the older one
-    known, older = held
-    chunked = [None if _ODD_SPACE.search(t) or "<|" in t else _CHUNK.findall(t) for t in texts]
-    met = set().union(*filter(None, chunked)).difference(known)
-    fresh = []
-    for chunk in met:
-        if (ids := older.get(chunk)) is None:
-            fresh.append(chunk)
-        else:
-            known[chunk] = ids
-    for at in range(0, len(fresh), 5000):
-        part = fresh[at : at + 5000]
-        for chunk, code in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[chunk] = _bytes(code.ids)
-    return [
-        _bytes(tokenizer.encode(t, add_special_tokens=False).ids) if chunks is None else b"".join(map(known.__getitem__, chunks))
-        for t, chunks in zip(texts, chunked, strict=True)
-    ]
+class _Chunks:
+    """Ids of chunks as bytes; those met lately are remembered, as many as the bounds allow."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        # a special token parts chunks in one call: it is split off before anything else
+        self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)), None)
+        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [_bytes(code.ids) for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def fresh(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(chunks), 5000):
+            part = chunks[at : at + 5000]
+            if self.mark is None:
+                yield from zip(part, self.encode(part), strict=True)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            raw = ids.tobytes()
+            yield from zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)), strict=True)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.known) > _CACHE_ROWS:
+            self.known, self.older = {}, self.known  # what is met again comes over from the older one
+        chunked = [None if _ODD_SPACE.search(t) or "<|" in t or (self.mark and self.mark in t) else _CHUNK.findall(t) for t in texts]
+        met: dict[str, bytes] = {}
+        missing = []
+        for chunk in set().union(*filter(None, chunked)):
+            ids = self.known.get(chunk)
+            if ids is None:
+                ids = self.older.get(chunk)
+                if ids is None:
+                    missing.append(chunk)
+                    continue
+                self.known[chunk] = ids
+            met[chunk] = ids
+        for chunk, ids in self.fresh(missing):
+            met[chunk] = ids
+            if len(chunk) <= _CACHE_CHARS and len(self.known) <= 2 * _CACHE_ROWS:
+                self.known[chunk] = ids
+        return [self.encode([t])[0] if chunks is None else b"".join(map(met.__getitem__, chunks)) for t, chunks in zip(texts, chunked, strict=True)]
+
+
+def _lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of texts of about _LOT_CHARS bytes, one text at least."""
+    size = np.cumsum([n or 0 for n in pc.binary_length(texts).to_pylist()])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _LOT_CHARS, "right")))
+        yield at, end
+        at = end
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> DataFrame:
@@ -91,11 +123,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        chunks = _Chunks(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [x + end for x in _encode(texts, tokenizer_path)]
+            for at, stop in _lots(batch.column(1)):
+                part = batch.slice(at, stop - at)
+                ids = [x + end for x in chunks([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
     slim = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
@@ -246,11 +278,13 @@ def _runs(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarr
     return tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
 
 
-def pack(pieces: DataFrame, max_len: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, max_len: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), most_groups: int = 100_000) -> DataFrame:
     """pieces (with a long column length, 1 to max_len) plus sequence_id and offset.
 
     ``pieces`` is read twice: hand in a saved table. The histogram and the plan
-    are bounded by max_len, never by the rows.
+    are bounded by max_len, never by the rows. Ranks are counted within (length,
+    salt): a length has the more salts the more pieces it has, and all lengths
+    together have most_groups of them and one a length, whatever the rows.
     """
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     keys, bases, offsets = _runs(fit_patterns(counts, max_len))
@@ -260,8 +294,10 @@ def pack(pieces: DataFrame, max_len: int = 2048, order: tuple[str, ...] = ("doc_
         k = np.searchsorted(keys, length.to_numpy() << 40 | rank.to_numpy(), "right") - 1
         return pd.DataFrame({"sequence_id": bases[k] + rank.to_numpy(), "offset": offsets[k]})
 
-    salted = pieces.withColumn("_hl_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    by_salt = salted.groupBy("length", "_hl_salt").agg(F.count("*").alias("_hl_n"))  # max_len * salts rows at most
+    unit = max(4096, sum(counts.values()) // most_groups)
+    salts = pieces.sparkSession.createDataFrame([(k, 1 + n // unit) for k, n in counts.items()], "length long, _hl_salts long")  # max_len rows at most
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_hl_salt", F.pmod(F.xxhash64(*order), F.col("_hl_salts")))
+    by_salt = salted.groupBy("length", "_hl_salt").agg(F.count("*").alias("_hl_n"))  # most_groups + max_len rows at most
     before = Window.partitionBy("length").orderBy("_hl_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_salt.select("length", "_hl_salt", F.coalesce(F.sum("_hl_n").over(before), F.lit(0)).alias("_hl_start"))
     ranked = salted.withColumn("_hl_rank", F.row_number().over(Window.partitionBy("length", "_hl_salt").orderBy(*order)) - 1)

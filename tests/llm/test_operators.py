@@ -37,7 +37,7 @@ def test_token_ids_are_the_tokenizers(vocabulary_file):
     alphabet = "ab é'’.,  \n\t 　\x1c12²ⅷ_-!?ñ日本́\U0001f600sStTdDmlLvre'"
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)] + ["don't I'LL it''s", "<|endoftext|> a", "", "\n\n x"]
     plain = Tokenizer.from_file(vocabulary_file)
-    for text, ids in zip(texts, packing._encode(texts, vocabulary_file), strict=True):
+    for text, ids in zip(texts, packing._Chunks(vocabulary_file)(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
