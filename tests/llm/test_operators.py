@@ -242,7 +242,7 @@ def test_fingerprints(spark):
     docs = docs_of(spark, texts)
     f = [r.fingerprint for r in fingerprint.fingerprints(docs).orderBy("doc_id").collect()]
     assert f[0] == f[1] == f[2] and f[3] == f[4] == f[5] and f[6] == f[7] and len(set(f)) == 4
-    n = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, rows_a_bucket=2).collect()}
+    n = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, rows_a_range=2).collect()}
     assert n == {k: (texts[k - 1] or "") for k in range(len(texts))}
     forms = spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "a"), ("e", "a")], "digest string, form string")
     assert [r.digest for r in fingerprint.collisions(forms).collect()] == ["d"]
