@@ -16,16 +16,17 @@ each training occurrence out. The sum of -log2 over the
 bits of a text, by its bytes, is its total of bits per byte; nothing is cut.
 
 In Spark: texts become blocks of documents, with the block's distinct words once and
-each document as numbers of them in order, and words are counted over the whole training
-corpus. Counts of
+each document as numbers of them in order. A block's words go to buckets by their
+first four bytes, sorted and compressed; a bucket counts its words over the whole
+corpus and numbers them, so that from then on a block's word is a number. Counts of
 short contexts are tables of bounded size, summed over tasks; those of longer
 beginnings of words are exact, as words with the same first bytes are in one
-partition. Weights are learnt in each partition from a common start and averaged
-by what they have seen. Then each distinct word is scored once, a join gives each
-block the scores of its words, and the block adds them up by document: a word of
-every document is one row a block. Pairs of words travel as packed arrays of 64-bit
-hashes, by bucket of the hash; a bucket sums their counts over all blocks and sends
-each block the sums of its own pairs. A text begins after an end.
+bucket. Weights are learnt in each partition from a common start and averaged
+by what they have seen. Then each distinct word is scored once, and a bucket sends
+each block the scores of its own words: a word of every document is one number a
+block. Pairs of words travel the same way, as 40-bit hashes below the bucket's own
+bits; a bucket sums their counts over all blocks and sends each block its own. A
+text begins after an end. bits_per_byte counts the end as a byte of the text.
 
 A null or empty text is the end alone. Words of over 64 bytes are spelled in pieces.
 Rows are scored one by one, also equal ones. An empty table gives an empty result,
@@ -43,12 +44,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved, table
+from .common import saved, table
 
 PIECE = 64
 BLANK, MORE, END, REST, WHOLE = b"\x20", b"\x09", b"\x0a", b"\x0b", b"\x00"
@@ -78,14 +80,14 @@ def spell(word: bytes) -> list[bytes]:
     return [WHOLE + xxhash.xxh3_128_digest(word) + WHOLE, parts[0] + MORE, *(REST + p + e for p, e in zip(parts[1:], ends[1:], strict=True))]
 
 
-def is_token(key: str = "w"):
+def is_token(key: bytes) -> bool:
     """Whether a key, led by its class, stands for a token of its own, so that it counts as one."""
-    tail, head = F.hex(F.substring(key, -1, 1)), F.hex(F.substring(key, 2, 1))
-    return F.coalesce((tail.isin("20", "0A") & (head != "0B")) | ((tail == "00") & (head == "00")), F.lit(False))
+    tail, head = key[-1:], key[1:2]
+    return (tail in (BLANK, END) and head != REST) or (tail == WHOLE and head == WHOLE)
 
 
-def is_spelled(key: str = "w"):
-    return F.coalesce(F.hex(F.substring(key, -1, 1)) != "00", F.lit(False))
+def is_spelled(key: bytes) -> bool:
+    return key[-1:] != WHOLE
 
 
 def held_out(doc_id: object) -> bool:
@@ -102,12 +104,14 @@ class _Numbers(dict):
 
 def _blocks(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[tuple]:
     """Blocks of whole documents with about so many entries, one a document and distinct key:
-    ids, entries of each document, keys, the key's number and the count of each entry, and
-    the spelled keys' numbers in the order of the text, and how many a document has."""
-    numbers, ids, sizes, key, times, order, lengths = _Numbers(), [], [], array("I"), array("I"), array("I"), []
+    ids, entries of each document, sorted keys, the key's number and the count of each entry,
+    the spelled keys' numbers in the order of the text, how many a document has, and its bytes."""
+    numbers, ids, sizes, key, times, order, lengths, n_bytes = _Numbers(), [], [], array("I"), array("I"), array("I"), [], []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            units: list = (text or "").encode("utf-8", "replace").lower().split()
+            raw = (text or "").encode("utf-8", "replace")
+            n_bytes.append(len(raw))
+            units: list = raw.lower().split()
             count: Counter = Counter(units)
             long = [w for w in count if len(w) > PIECE]
             for word in long:
@@ -125,20 +129,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[tuple]:
             order.extend(map(numbers.__getitem__, units))
             lengths.append(len(units))
             if len(key) >= entries or len(order) >= 4 * entries:
-                yield _block(numbers, ids, sizes, key, times, order, lengths)
-                numbers, ids, sizes, key, times, order, lengths = _Numbers(), [], [], array("I"), array("I"), array("I"), []
+                yield _block(numbers, ids, sizes, key, times, order, lengths, n_bytes)
+                numbers, ids, sizes, key, times, order, lengths, n_bytes = _Numbers(), [], [], array("I"), array("I"), array("I"), [], []
     if ids:
-        yield _block(numbers, ids, sizes, key, times, order, lengths)
+        yield _block(numbers, ids, sizes, key, times, order, lengths, n_bytes)
 
 
-def _block(numbers: _Numbers, ids: list, sizes: list[int], key: array, times: array, order: array, lengths: list[int]) -> tuple:
+def _block(numbers: _Numbers, ids: list, sizes: list[int], key: array, times: array, order: array, lengths: list[int], n_bytes: list[int]) -> tuple:
     keys = [k + BLANK if type(k) is bytes else k[0] for k in numbers]
-    return ids, np.array(sizes), keys, *(np.frombuffer(x, np.uint32) for x in (key, times, order)), np.array(lengths)
+    by = sorted(range(len(keys)), key=keys.__getitem__)
+    rank = np.empty(len(keys), np.uint32)
+    rank[by] = np.arange(len(keys), dtype=np.uint32)
+    key, times, order = (np.frombuffer(x, np.uint32) for x in (key, times, order))
+    return ids, np.array(sizes), [keys[k] for k in by], rank[key], times, rank[order], np.array(lengths), np.array(n_bytes)
 
 
 def packed(x: np.ndarray | bytes) -> bytes:
-    """Bytes, or numbers as planes of their bytes, compressed."""
-    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Bytes, or whole numbers as planes of their bytes, compressed."""
+    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -147,36 +155,52 @@ def unpacked(x: bytes) -> bytes:
 
 
 def numbers_of(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(unpacked(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(unpacked(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time: rows are large."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _binary(rows: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in kinds.items()], names=list(kinds))
 
 
 def blocks(docs: DataFrame, entries_a_block: int) -> DataFrame:
-    """Texts as blocks, a row each: ids, entries of each document, keys (end to end, and where
-    they end), the bin of each key, the key's number and the count of each entry, and the
-    numbers of the spelled keys in order and how many a document has."""
+    """Texts as blocks, a row each: ids, entries of each document, sorted keys (end to end, and
+    their lengths), the bin of each key, the key's number and the count of each entry, the
+    numbers of the spelled keys in order, how many a document has, and its bytes."""
     id_type = docs.schema["id"].dataType.simpleString()
     id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for no, (ids, sizes, keys, key, times, order, lengths) in enumerate(_blocks(batches, entries_a_block)):
-            ends = np.cumsum([len(k) for k in keys])
+        for no, (ids, sizes, keys, key, times, order, lengths, n_bytes) in enumerate(_blocks(batches, entries_a_block)):
+            widths = np.array([len(k) for k in keys])
             bins = bytes(zlib.crc32(k) % BINS for k in keys)
-            rest = map(packed, [sizes, b"".join(keys), ends, bins, key, times, order, lengths])
+            rest = map(packed, [sizes, b"".join(keys), widths, bins, key, times, order, lengths, n_bytes])
             columns = [pa.array([part << 24 | no]), pa.array([ids], pa.list_(id_arrow)), *(pa.array([x], pa.binary()) for x in rest)]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "letters", "ends", "bins", "key", "times", "order", "lengths"])
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "letters", "widths", "bins", "key", "times", "order", "lengths", "n_bytes"])
 
-    kinds = ", ".join(f"{name} binary" for name in ("sizes", "letters", "ends", "bins", "key", "times", "order", "lengths"))
+    kinds = ", ".join(f"{name} binary" for name in ("sizes", "letters", "widths", "bins", "key", "times", "order", "lengths", "n_bytes"))
     return docs.select("id", "text").mapInArrow(run, f"block long, ids array<{id_type}>, {kinds}")
 
 
+def _split(letters: bytes, widths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(widths).tolist()
+    return [letters[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 class _Texts:
     """A row of blocks() as arrays."""
 
     def __init__(self, row: dict):
         self.block, self.ids = row["block"], row["ids"]
         self.sizes, self.key, self.times = (numbers_of(row[name]) for name in ("sizes", "key", "times"))
-        self.bins, self.letters, self.ends = np.frombuffer(unpacked(row["bins"]), np.uint8), row["letters"], row["ends"]
+        self.bins, self.letters, self.widths = np.frombuffer(unpacked(row["bins"]), np.uint8), row["letters"], row["widths"]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = np.array([not held_out(k) for k in self.ids])
         self.packed_order, self.packed_lengths = row["order"], row["lengths"]
@@ -188,8 +212,16 @@ class _Texts:
         return np.sqrt(x / x.sum(1, keepdims=True))
 
     def keys(self) -> list[bytes]:
-        letters, ends = unpacked(self.letters), numbers_of(self.ends).tolist()
-        return [letters[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return _split(unpacked(self.letters), numbers_of(self.widths))
+
+    def classed(self, classes: Classes) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Each document's class; the distinct keys led by a class, sorted; the number among
+        them of each entry; and of each place in the order of the texts."""
+        keys, of = self.keys(), classes.of(classes.place(self.features()))
+        used, key = np.unique(of[self.doc] * len(keys) + self.key, return_inverse=True)
+        own = [bytes([k]) + keys[j] for k, j in zip((used // len(keys)).tolist(), (used % len(keys)).tolist(), strict=True)]
+        order = np.searchsorted(used, np.repeat(of, numbers_of(self.packed_lengths)) * len(keys) + numbers_of(self.packed_order))
+        return of, own, key, order
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the distinct pairs of a key and the one before it, which of them
@@ -232,9 +264,8 @@ def _sums(texts: DataFrame, of_block, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in batches:
-            for row in batch.to_pylist():
-                total += of_block(_Texts(row))
+        for row in _rows(batches):
+            total += of_block(_Texts(row))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "v"])
 
@@ -288,61 +319,109 @@ def find_classes(texts: DataFrame, most: int = 16, least_gain: float = 0.25) ->
     return classes
 
 
-def classed(texts: DataFrame, classes: Classes) -> DataFrame:
-    """Rows (block, w, number, c), a key of the block led by its document's class, its number
-    there and its count in training documents; and a row without w a block."""
-    id_type = texts.schema["ids"].dataType
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type.elementType.simpleString(), pa.string())
-    kinds = [pa.list_(id_arrow), *[pa.binary()] * 7]
-    names = ["block", "w", "number", "c", "ids", "sizes", "key", "times", "classes", "order", "lengths", "pair"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                t = _Texts(row)
-                keys, of = t.keys(), classes.of(classes.place(t.features()))
-                used, key = np.unique(of[t.doc] * len(keys) + t.key, return_inverse=True)
-                c = np.bincount(key, t.times * t.train[t.doc], len(used)).astype(np.int64)
-                for at in range(0, len(used), 50_000):
-                    some = used[at : at + 50_000]
-                    n = len(some)
-                    own = [bytes([k]) + keys[j] for k, j in zip((some // len(keys)).tolist(), (some % len(keys)).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t.block)), pa.array(own, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(c[at : at + n]), *(pa.nulls(n, k) for k in kinds)], names=names)
-                lengths = numbers_of(row["lengths"])
-                order = np.searchsorted(used, np.repeat(of, lengths) * len(keys) + numbers_of(row["order"]))
-                whole = [t.ids, row["sizes"], packed(key), row["times"], of.astype(np.uint8).tobytes(), packed(order), row["lengths"], packed(t.pairs()[1])]
-                yield pa.RecordBatch.from_arrays([pa.array([t.block]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), *(pa.array([x], k) for x, k in zip(whole, kinds, strict=True))], names=names)
-
-    return texts.mapInArrow(run, f"block long, w binary, number int, c long, ids {id_type.simpleString()}, sizes binary, key binary, times binary, classes binary, order binary, lengths binary, pair binary")
-
-
-# -- pairs of words
-
-
-def paired(texts: DataFrame, n_blocks: int) -> DataFrame:
-    """(of, sums): for each block, by bucket, the counts in all training documents of its pairs,
-    in the order of their hashes. A bucket holds the hashes of a range, of about 8 blocks' worth."""
-    buckets = 64 + n_blocks // 8
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, _, c = _Texts(row).pairs()
-                at = np.searchsorted(hashes >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-                full = np.flatnonzero(np.diff(at))
-                some = [slice(at[k], at[k + 1]) for k in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["block"])), pa.array([hashes[k].tobytes() for k in some], pa.binary()), pa.array([packed(c[k]) for k in some], pa.binary())], names=["bucket", "of", "hashes", "c"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+# -- words and pairs by bucket
+
+
+def bucket_of(keys: list[bytes], buckets: int) -> np.ndarray:
+    """By the first four bytes after the class, so keys with a common beginning share a bucket."""
+    return np.array([zlib.crc32(k[1:5]) % buckets for k in keys], np.int64)
+
+
+WORDS = {"bucket": pa.int32(), "of": pa.int64(), "letters": pa.binary(), "widths": pa.binary(), "c": pa.binary()}
+VOCABULARY = {**WORDS, "numbers": pa.binary(), "in_all": pa.binary(), "n_train": pa.int64(), "v_train": pa.int64()}
+SCORED = {"bucket": pa.int32(), "seen": pa.binary(), "spelled": pa.binary()}
+ANSWERS = {"of": pa.int64(), "bucket": pa.int32(), "is_pair": pa.bool_(), "seen": pa.binary(), "spelled": pa.binary()}
+SPARK = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
+
+
+def _schema(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {SPARK[kind]}" for name, kind in kinds.items())
+
+
+def vocabulary(texts: DataFrame, classes: Classes, buckets: int) -> DataFrame:
+    """A row a bucket (of is -1) with its distinct keys, sorted, their counts in training
+    documents with this class and with all, and the bucket's numbers of training tokens; and a
+    row a block and bucket with the numbers there of the block's keys, in their order."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            t = _Texts(row)
+            _, own, key, _ = t.classed(classes)
+            c = np.bincount(key, t.times * t.train[t.doc], len(own)).astype(np.int64)
+            of = bucket_of(own, buckets)
+            by = np.argsort(of, kind="stable")
+            for some in np.split(by, np.flatnonzero(np.diff(of[by])) + 1):
+                keys = [own[k] for k in some.tolist()]
+                part = {"bucket": int(of[some[0]]), "of": t.block, "letters": packed(b"".join(keys)), "widths": packed(np.array([len(k) for k in keys])), "c": packed(c[some])}
+                yield _binary([part], WORDS)
+
+    def count(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        parts = [pa.array(_split(unpacked(r["letters"]), numbers_of(r["widths"])), pa.binary()) for r in rows]
+        found = pa.concat_arrays(parts).dictionary_encode()
+        by = pc.sort_indices(found.dictionary).to_numpy()
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        number = rank[found.indices.to_numpy()]
+        keys = found.dictionary.take(pa.array(by)).to_pylist()
+        c = np.bincount(number, np.concatenate([numbers_of(r["c"]) for r in rows]), len(keys)).astype(np.int64)
+        words = pa.array([k[1:] for k in keys], pa.binary()).dictionary_encode().indices.to_numpy()
+        in_all = np.bincount(words, c).astype(np.int64)
+        token = np.zeros(len(in_all), bool)
+        token[words] = [is_token(k) for k in keys]  # of all classes of a word or of none
+        bucket = rows[0]["bucket"]
+        out = [{"bucket": bucket, "of": -1, "letters": packed(b"".join(keys)), "widths": packed(np.array([len(k) for k in keys])), "c": packed(c), "numbers": None, "in_all": packed(in_all[words]), "n_train": int(in_all[token].sum()), "v_train": int((in_all[token] > 0).sum())}]
+        for r, own in zip(rows, np.split(number, np.cumsum([len(x) for x in parts])[:-1]), strict=True):
+            out.append({"bucket": bucket, "of": r["of"], "letters": None, "widths": None, "c": None, "numbers": packed(np.diff(own, prepend=0)), "in_all": None, "n_train": 0, "v_train": 0})
+        return pa.Table.from_batches([_binary(out, VOCABULARY)])
+
+    return texts.mapInArrow(deal, _schema(WORDS)).groupBy("bucket").applyInArrow(count, _schema(VOCABULARY))
+
+
+def word_answers(vocab: DataFrame, scored: DataFrame) -> DataFrame:
+    """For each block and bucket, how often its keys were seen and their spelled scores."""
+
+    def look(own: pa.Table, score: pa.Table) -> pa.Table:
+        rows, score = own.to_pylist(), score.to_pylist()
+        out = []
+        if score:
+            seen, spelled = numbers_of(score[0]["seen"]), np.frombuffer(unpacked(score[0]["spelled"]), "<f4")
+            for r in rows:
+                at = np.cumsum(numbers_of(r["numbers"]))
+                planes = np.ascontiguousarray(spelled[at].view(np.uint8).reshape(-1, 4).T).tobytes()
+                out.append({"of": r["of"], "bucket": r["bucket"], "is_pair": False, "seen": packed(seen[at]), "spelled": packed(planes)})
+        return pa.Table.from_batches([_binary(out, ANSWERS)])
+
+    blocks_keys = vocab.where("of >= 0").select("bucket", "of", "numbers")
+    return blocks_keys.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(look, _schema(ANSWERS))
+
+
+def pair_answers(texts: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket, the counts in all training documents of its pairs, in the
+    order of their hashes. A bucket holds the hashes of a range; 40 bits below it tell its
+    pairs apart, whatever the number of buckets."""
+    kinds = {"bucket": pa.int32(), "of": pa.int64(), "hashes": pa.binary(), "c": pa.binary()}
+    edges = [(k << 64) // buckets for k in range(buckets)]
+    shift = np.uint64(max(0, 64 - (buckets.bit_length() - 1) - 40))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.array(edges, np.uint64)
+        for row in _rows(batches):
+            hashes, _, c = _Texts(row).pairs()
+            at = [*np.searchsorted(hashes, starts).tolist(), len(hashes)]
+            for k in np.flatnonzero(np.diff(at)).tolist():
+                some = (hashes[at[k] : at[k + 1]] - starts[k]) >> shift
+                yield _binary([{"bucket": k, "of": row["block"], "hashes": packed(np.diff(some, prepend=np.uint64(0))), "c": packed(c[at[k] : at[k + 1]])}], kinds)
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        hashes = [np.cumsum(numbers_of(r["hashes"])) for r in rows]
         _, pair = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(pair, np.concatenate([numbers_of(x) for x in pdf["c"]]))[pair]
+        total = np.bincount(pair, np.concatenate([numbers_of(r["c"]) for r in rows])).astype(np.int64)[pair]
         own = np.split(total, np.cumsum([len(x) for x in hashes])[:-1])
-        return pd.DataFrame({"bucket": pdf["bucket"], "of": pdf["of"], "n": [packed(x) for x in own]})
+        return pa.Table.from_batches([_binary([{"of": r["of"], "bucket": r["bucket"], "is_pair": True, "seen": packed(x), "spelled": None} for r, x in zip(rows, own, strict=True)], ANSWERS)])
 
-    rows = texts.mapInArrow(run, "bucket int, of long, hashes binary, c binary")
-    sums = rows.groupBy("bucket").applyInPandas(add, "bucket int, of long, n binary")
-    return sums.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("bucket", "n")))["n"].alias("sums"))  # buckets of one block
+    return texts.mapInArrow(deal, _schema(kinds)).groupBy("bucket").applyInArrow(add, _schema(ANSWERS))
 
 
 def mixed(c: np.ndarray, n: np.ndarray, spelled: np.ndarray, strength: float) -> np.ndarray:
@@ -408,22 +487,33 @@ class _Bits:
                 yield 8 * d + k, live_now, at, bit[at], slots, run, np.add.reduceat(self.count[live_now], at)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Keys, counts and the last column, in lots of whole groups of equal first five bytes if
-    rows come sorted."""
-    words: list[bytes] = []
-    counts: list[int] = []
-    others: list[int] = []
-    for batch in batches:
-        for w, c, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.columns[-1].to_pylist(), strict=True):
-            if len(words) >= rows and w[:5] != words[-1][:5]:
-                yield words, np.array(counts), np.array(others)
-                words, counts, others = [], [], []
-            words.append(w)
-            counts.append(c)
-            others.append(other)
-    if words:
-        yield words, np.array(counts), np.array(others)
+def _spelled(row: dict) -> tuple[list[bytes], np.ndarray]:
+    """The keys of a bucket that are spelled, and their places among all."""
+    keys = _split(unpacked(row["letters"]), numbers_of(row["widths"]))
+    at = np.flatnonzero(np.array([is_spelled(k) for k in keys], bool))
+    return [keys[k] for k in at.tolist()], at
+
+
+def _lots(keys: list[bytes], rows: int = 50_000) -> Iterator[slice]:
+    """Slices of whole groups of equal first five bytes, of so many keys if groups allow."""
+    at = 0
+    while at < len(keys):
+        end = min(len(keys), at + rows)
+        while end < len(keys) and keys[end][:5] == keys[end - 1][:5]:
+            end += 1
+        yield slice(at, end)
+        at = end
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bits]:
+    """Lots of the keys that training documents hold."""
+    for row in _rows(batches):
+        keys, at = _spelled(row)
+        c = numbers_of(row["c"])[at]
+        keep = np.flatnonzero(c)
+        keys, c = [keys[k] for k in keep.tolist()], c[keep]
+        for lot in _lots(keys):
+            yield _Bits(keys[lot], c[lot])
 
 
 def short_contexts(vocab: DataFrame) -> np.ndarray:
@@ -433,11 +523,7 @@ def short_contexts(vocab: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(part * CHUNKS)
-        for words, c, _ in _flushes(batches):
-            keep = c > 0
-            if not keep.any():
-                continue
-            bits = _Bits([w for w, k in zip(words, keep, strict=True) if k], c[keep])
+        for bits in _trained(batches):
             for depth, _, _, bit, slots, _, n in bits.columns():
                 for t in range(4 if depth < 40 else 3):
                     np.add.at(counts, slots[t] * 2 + bit, n)
@@ -452,7 +538,7 @@ def short_contexts(vocab: DataFrame) -> np.ndarray:
             own[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<f8")
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "n": [own.astype("<f8").tobytes()]})
 
-    found = vocab.select("w", "c").mapInArrow(run, "chunk long, at binary, n binary").groupBy("chunk").applyInPandas(add, "chunk long, n binary").toPandas()  # CHUNKS rows
+    found = vocab.select("letters", "widths", "c").mapInArrow(run, "chunk long, at binary, n binary").groupBy("chunk").applyInPandas(add, "chunk long, n binary").toPandas()  # CHUNKS rows
     counts = np.zeros(part * CHUNKS)
     for k, n in zip(found["chunk"], found["n"], strict=True):
         counts[k * part : (k + 1) * part] = np.frombuffer(n, "<f8")
@@ -515,11 +601,7 @@ def learn(vocab: DataFrame, counts: np.ndarray, sweeps: int = 2, rate: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(counts, Mixer.start())
         mass, seen, ones = np.zeros(N_GATES), np.zeros((N_GATES, BUCKETS)), np.zeros((N_GATES, BUCKETS))
-        for words, c, _ in _flushes(batches):
-            keep = c > 0
-            if not keep.any():
-                continue
-            bits = _Bits([w for w, k in zip(words, keep, strict=True) if k], c[keep])
+        for bits in _trained(batches):
             lot = []  # inputs do not change from sweep to sweep
             for column in bits.columns():
                 x, gate = mixer.inputs(column, True)
@@ -540,7 +622,7 @@ def learn(vocab: DataFrame, counts: np.ndarray, sweeps: int = 2, rate: float = 0
         rows = np.concatenate([(mixer.weights * mass[:, None]).ravel(), mass, seen.ravel(), ones.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows)], names=["at", "v"])
 
-    found = vocab.select("w", "c").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # as many rows as parameters
+    found = vocab.select("letters", "widths", "c").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # as many rows as parameters
     a, b = N_GATES * N_INPUTS, N_GATES * BUCKETS
     v = np.zeros(a + N_GATES + 2 * b)
     v[found["at"]] = found["v"]
@@ -552,78 +634,85 @@ def learn(vocab: DataFrame, counts: np.ndarray, sweeps: int = 2, rate: float = 0
 
 
 def code_lengths(vocab: DataFrame, mixer: Mixer) -> DataFrame:
-    """(w, in_all, spelled): log10 of the probability of each spelled key."""
+    """(bucket, seen, spelled): how often each key was seen in training, -1 less that for what
+    is no token of its own, and log10 of its probability, 0 for what is not spelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, c, seen in _flushes(batches):
-            bits = _Bits(words, c)
-            total = np.zeros(len(words))
-            for column in bits.columns():
-                _, live, at, bit, _, _, _ = column
-                x, gate = mixer.inputs(column, False)
-                p = mixer.probability(mixer.mix(x, gate), gate)
-                total[live] += np.repeat(np.log10(np.where(bit == 1, p, 1 - p)), np.diff(at, append=len(live)))
-            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in bits.order], pa.binary()), pa.array(seen[bits.order]), pa.array(total.astype(np.float32))], names=["w", "in_all", "spelled"])
-
-    return vocab.select("w", "c", "in_all").mapInArrow(run, "w binary, in_all long, spelled float")
+        for row in _rows(batches):
+            keys, at = _spelled(row)
+            c, in_all = numbers_of(row["c"]), numbers_of(row["in_all"])
+            total, spelled = np.zeros(len(c)), np.zeros(len(at))
+            for lot in _lots(keys):
+                bits = _Bits(keys[lot], c[at[lot]])
+                own = np.zeros(len(keys[lot]))
+                for column in bits.columns():
+                    _, live, first, bit, _, _, _ = column
+                    x, gate = mixer.inputs(column, False)
+                    p = mixer.probability(mixer.mix(x, gate), gate)
+                    own[live] += np.repeat(np.log10(np.where(bit == 1, p, 1 - p)), np.diff(first, append=len(live)))
+                spelled[lot.start + bits.order] = own
+            total[at] = spelled
+            token = np.array([is_token(k) for k in _split(unpacked(row["letters"]), numbers_of(row["widths"]))], bool)
+            yield _binary([{"bucket": row["bucket"], "seen": packed(np.where(token, in_all, -1 - in_all)), "spelled": packed(total.astype("<f4").tobytes())}], SCORED)
+
+    return vocab.select("bucket", "letters", "widths", "c", "in_all").mapInArrow(run, _schema(SCORED))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries_a_block: int = 500_000) -> DataFrame:
-    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), a row a row of docs."""
+    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row
+    a row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    plain = saved(blocks(rows, entries_a_block), "blocks")
-    classes = find_classes(plain)
-    texts = saved(classed(plain, classes), "texts")
-    pairs = saved(paired(plain, plain.count()), "pairs")
-    forget(plain)
-    # keys of one class with the same first four bytes are in one partition, in order
-    counted = texts.where("w IS NOT NULL").groupBy("w").agg(F.sum("c").alias("c"))
-    every = Window.partitionBy(F.expr("substring(w, 2)"))  # a row a class
-    vocab = saved(counted.withColumn("in_all", F.sum("c").over(every)).withColumn("first", F.min("w").over(every) == F.col("w")), "vocabulary")
-    keys = vocab.where(is_spelled()).repartition(F.substring("w", 1, 5)).sortWithinPartitions("w")
-    n_train, v_train = vocab.where(is_token() & F.col("first") & (F.col("in_all") > 0)).agg(F.coalesce(F.sum("in_all"), F.lit(0)), F.count("*")).first()
-    counts = short_contexts(vocab.where(is_spelled()))  # sums, in any order
-    mixer = learn(keys, counts)
-    spelled = code_lengths(keys, mixer)
-    # seen: how often a token occurs in training; -1 less that for what is no token of its own
-    whole = vocab.where(~is_spelled()).select("w", "in_all", F.lit(0.0).cast("float").alias("spelled"))
-    scored = spelled.unionByName(whole).select("w", F.when(is_token(), F.col("in_all")).otherwise(-1 - F.col("in_all")).alias("seen"), "spelled")
-    scored = saved(scored, "scored")
-
-    id_type = rows.schema["id"].dataType.simpleString()
-
+    texts = saved(blocks(rows, entries_a_block), "blocks")
+    classes, buckets = find_classes(texts), 32 + texts.count() // 2
+    vocab = saved(vocabulary(texts, classes, buckets), "vocabulary")
+    words = vocab.where("of = -1")
+    n_train, v_train = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("v_train"), F.lit(0))).first()
+    mixer = learn(words, short_contexts(words))
+    answers = word_answers(vocab, saved(code_lengths(words, mixer), "scored")).unionAll(pair_answers(texts, 32 + 2 * buckets))
+
+    id_type = rows.schema["id"].dataType
+    id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type.simpleString(), pa.string())
     prior = np.log10(classes.prior)
 
-    def total(values: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        text = block.iloc[0]
-        sizes, key, times = (numbers_of(text[name]) for name in ("sizes", "key", "times"))
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        out = {"id": list(text["ids"])}
-        seen, spelled = np.zeros(len(values)), np.zeros(len(values))
-        seen[values["number"]], spelled[values["number"]] = values["seen"], values["spelled"]
+    def total(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        t = _Texts(row)
+        classes_of, own, key, order = t.classed(classes)
+        seen, spelled = np.zeros(len(own)), np.zeros(len(own))
+        of = bucket_of(own, buckets)
+        by = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[by], np.arange(buckets + 1))
+        sums = []
+        for a in sorted(answers.to_pylist(), key=lambda a: a["bucket"]):
+            if a["is_pair"]:
+                sums.append(numbers_of(a["seen"]))
+                continue
+            at = by[starts[a["bucket"]] : starts[a["bucket"] + 1]]
+            seen[at] = numbers_of(a["seen"])
+            spelled[at] = np.ascontiguousarray(np.frombuffer(unpacked(a["spelled"]), np.uint8).reshape(4, -1).T).view("<f4").ravel()
+        _, pair, _ = t.pairs()
+        n_docs = len(t.ids)
         base = np.where(seen >= 0, np.log10((np.maximum(seen, 0) + 0.5) / (n_train + 0.5 * (v_train + 1))), 0)
-        for name, of in (("token", seen >= 0), ("known", seen > 0), ("base", base)):
-            out[name] = np.bincount(doc, times * of[key], len(sizes))
-        order, lengths, pair = (numbers_of(text[name]) for name in ("order", "lengths", "pair"))
-        place = np.repeat(np.arange(len(lengths)), lengths)
-        train = np.repeat([not held_out(k) for k in text["ids"]], lengths)
+        lengths = numbers_of(row["lengths"])
+        place, train = np.repeat(np.arange(n_docs), lengths), np.repeat(t.train, lengths)
         n = np.where(seen >= 0, seen, -1 - seen)[before(order, lengths)]
-        c, p, own = np.concatenate([numbers_of(x) for x in text["sums"]])[pair].astype(float), spelled[order], prior[np.frombuffer(text["classes"], np.uint8)]
-        out["spelled"] = list(np.stack([own + np.bincount(place, mixed(c, n, p, k), len(lengths)) for k in STRENGTHS], 1))
+        c, p = np.concatenate(sums)[pair].astype(float), spelled[order]
+        scores = np.stack([prior[classes_of] + np.bincount(place, mixed(c, n, p, k), n_docs) for k in STRENGTHS], 1)
         # the block's sums with each training occurrence left out, in its first row
-        out["left_out"] = [np.array([mixed(c[train] - 1, n[train] - 1, p[train], k).sum() for k in STRENGTHS]), *[None] * (len(lengths) - 1)]
-        return pd.DataFrame(out)
+        left_out = [[float(mixed(c[train] - 1, n[train] - 1, p[train], k).sum()) for k in STRENGTHS], *[None] * (n_docs - 1)]
+        columns = [pa.array(t.ids, id_arrow), *(pa.array(np.bincount(t.doc, t.times * x[key], n_docs)) for x in (seen >= 0, seen > 0, base))]
+        lists = pa.list_(pa.float64())
+        return pa.Table.from_arrays([*columns, pa.array(numbers_of(row["n_bytes"])), pa.array(list(scores), lists), pa.array(left_out, lists)], names=["id", "token", "known", "base", "n_bytes", "spelled", "left_out"])
 
-    values = texts.where("w IS NOT NULL").select("w", "block", "number").join(scored, "w").drop("w")
-    whole_blocks = texts.where("w IS NULL").select(F.col("block").alias("of"), "ids", "sizes", "key", "times", "classes", "order", "lengths", "pair").join(pairs, "of")
-    sums = values.groupBy("block").cogroup(whole_blocks.groupBy("of")).applyInPandas(total, f"id {id_type}, token double, known double, base double, spelled array<double>, left_out array<double>")
+    sums = texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(total, f"id {id_type.simpleString()}, token double, known double, base double, n_bytes long, spelled array<double>, left_out array<double>")
     sums = saved(sums, "sums")
     left_out = sums.where("left_out IS NOT NULL").agg(*(F.coalesce(F.sum(F.get("left_out", F.lit(k))), F.lit(0.0)) for k in range(len(STRENGTHS)))).first()
     best = int(np.argmax(left_out))
     held = F.coalesce(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5 == 1, F.lit(False))
+    score = F.get("spelled", F.lit(best))
     return sums.select(
         F.col("id").alias(id_col), held.alias("held_out"), F.col("token").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.get("spelled", F.lit(best)).alias("score"),
+        F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"), (-score * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 
