@@ -38,7 +38,6 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,46 +101,45 @@ class _Numbers(dict):
         return number
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[tuple]:
-    """Blocks of whole documents with about so many entries, one a document and distinct key:
-    ids, entries of each document, sorted keys, the key's number and the count of each entry,
-    the spelled keys' numbers in the order of the text, how many a document has, and its bytes."""
-    numbers, ids, sizes, key, times, order, lengths, n_bytes = _Numbers(), [], [], array("I"), array("I"), array("I"), [], []
+def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple]:
+    """Blocks of whole documents with about so many tokens: ids, sorted keys, the spelled keys'
+    numbers in the order of the text, how many a document has, its bytes, and, as pairs of a
+    document's place and a number, the keys that are counted but not spelled."""
+    new = lambda: (_Numbers(), [], array("I"), [], [], array("I"))
+    numbers, ids, order, lengths, n_bytes, whole = new()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "replace")
-            n_bytes.append(len(raw))
             units: list = raw.lower().split()
-            count: Counter = Counter(units)
-            long = [w for w in count if len(w) > PIECE]
-            for word in long:
-                c = count.pop(word)
-                for part in spell(word):
-                    count[(part,)] += c  # in a tuple, as it is no word
-            if long:
-                units = [u for w in units for u in ([w] if len(w) <= PIECE else [(part,) for part in spell(w)[1:]])]
+            if len(raw) > PIECE and any(len(w) > PIECE for w in units):
+                spelled = []
+                for word in units:
+                    if len(word) <= PIECE:
+                        spelled.append(word)
+                        continue
+                    first, *parts = spell(word)
+                    whole.extend((len(ids), numbers[(first,)]))
+                    spelled += [(part,) for part in parts]  # in a tuple, as it is no word
+                units = spelled
             units.append((END,))
-            count[(END,)] += 1
             ids.append(doc_id)
-            sizes.append(len(count))
-            key.extend(map(numbers.__getitem__, count))
-            times.extend(count.values())
             order.extend(map(numbers.__getitem__, units))
             lengths.append(len(units))
-            if len(key) >= entries or len(order) >= 4 * entries:
-                yield _block(numbers, ids, sizes, key, times, order, lengths, n_bytes)
-                numbers, ids, sizes, key, times, order, lengths, n_bytes = _Numbers(), [], [], array("I"), array("I"), array("I"), [], []
+            n_bytes.append(len(raw))
+            if len(order) >= tokens:
+                yield _block(numbers, ids, order, lengths, n_bytes, whole)
+                numbers, ids, order, lengths, n_bytes, whole = new()
     if ids:
-        yield _block(numbers, ids, sizes, key, times, order, lengths, n_bytes)
+        yield _block(numbers, ids, order, lengths, n_bytes, whole)
 
 
-def _block(numbers: _Numbers, ids: list, sizes: list[int], key: array, times: array, order: array, lengths: list[int], n_bytes: list[int]) -> tuple:
+def _block(numbers: _Numbers, ids: list, order: array, lengths: list[int], n_bytes: list[int], whole: array) -> tuple:
     keys = [k + BLANK if type(k) is bytes else k[0] for k in numbers]
     by = sorted(range(len(keys)), key=keys.__getitem__)
-    rank = np.empty(len(keys), np.uint32)
-    rank[by] = np.arange(len(keys), dtype=np.uint32)
-    key, times, order = (np.frombuffer(x, np.uint32) for x in (key, times, order))
-    return ids, np.array(sizes), [keys[k] for k in by], rank[key], times, rank[order], np.array(lengths), np.array(n_bytes)
+    rank = np.empty(len(keys), np.int64)
+    rank[by] = np.arange(len(keys))
+    pairs = np.frombuffer(whole, np.uint32).astype(np.int64).reshape(-1, 2)
+    return ids, [keys[k] for k in by], rank[np.frombuffer(order, np.uint32)], np.array(lengths), np.array(n_bytes), np.stack([pairs[:, 0], rank[pairs[:, 1]]])
 
 
 def packed(x: np.ndarray | bytes) -> bytes:
@@ -169,23 +167,28 @@ def _binary(rows: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in kinds.items()], names=list(kinds))
 
 
-def blocks(docs: DataFrame, entries_a_block: int) -> DataFrame:
-    """Texts as blocks, a row each: ids, entries of each document, sorted keys (end to end, and
-    their lengths), the bin of each key, the key's number and the count of each entry, the
-    numbers of the spelled keys in order, how many a document has, and its bytes."""
+BLOCK = ("letters", "widths", "bins", "by_count", "order", "lengths", "n_bytes", "whole")
+
+
+def blocks(docs: DataFrame, tokens_a_block: int) -> DataFrame:
+    """Texts as blocks, a row each: ids, sorted keys (end to end, and their lengths), the bin of
+    each key, the keys by descending count, the order of the texts as places in that, how many
+    spelled keys a document has, its bytes, and the keys that are counted but not spelled."""
     id_type = docs.schema["id"].dataType.simpleString()
     id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for no, (ids, sizes, keys, key, times, order, lengths, n_bytes) in enumerate(_blocks(batches, entries_a_block)):
-            widths = np.array([len(k) for k in keys])
+        for no, (ids, keys, order, lengths, n_bytes, whole) in enumerate(_blocks(batches, tokens_a_block)):
+            by = np.argsort(-np.bincount(order, minlength=len(keys)), kind="stable")
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
             bins = bytes(zlib.crc32(k) % BINS for k in keys)
-            rest = map(packed, [sizes, b"".join(keys), widths, bins, key, times, order, lengths, n_bytes])
+            rest = map(packed, [b"".join(keys), np.array([len(k) for k in keys]), bins, by, place[order], lengths, n_bytes, whole.ravel()])
             columns = [pa.array([part << 24 | no]), pa.array([ids], pa.list_(id_arrow)), *(pa.array([x], pa.binary()) for x in rest)]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "letters", "widths", "bins", "key", "times", "order", "lengths", "n_bytes"])
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", *BLOCK])
 
-    kinds = ", ".join(f"{name} binary" for name in ("sizes", "letters", "widths", "bins", "key", "times", "order", "lengths", "n_bytes"))
+    kinds = ", ".join(f"{name} binary" for name in BLOCK)
     return docs.select("id", "text").mapInArrow(run, f"block long, ids array<{id_type}>, {kinds}")
 
 
@@ -199,15 +202,19 @@ class _Texts:
 
     def __init__(self, row: dict):
         self.block, self.ids = row["block"], row["ids"]
-        self.sizes, self.key, self.times = (numbers_of(row[name]) for name in ("sizes", "key", "times"))
+        self.lengths = numbers_of(row["lengths"])
+        self.order = numbers_of(row["by_count"])[numbers_of(row["order"])]
         self.bins, self.letters, self.widths = np.frombuffer(unpacked(row["bins"]), np.uint8), row["letters"], row["widths"]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = np.array([not held_out(k) for k in self.ids])
-        self.packed_order, self.packed_lengths = row["order"], row["lengths"]
+        # entries: each document's distinct keys and their counts there
+        doc, key = numbers_of(row["whole"]).reshape(2, -1)
+        n = len(self.bins)
+        used, self.times = np.unique(np.concatenate([np.repeat(np.arange(len(self.ids)), self.lengths) * n + self.order, doc * n + key]), return_counts=True)
+        self.doc, self.key = used // n, used % n
 
     def features(self) -> np.ndarray:
         """Square roots of each bin's share of a document: rows of length 1."""
-        n = len(self.sizes)
+        n = len(self.ids)
         x = np.bincount(self.doc * BINS + self.bins[self.key], self.times, n * BINS).reshape(n, BINS)
         return np.sqrt(x / x.sum(1, keepdims=True))
 
@@ -220,13 +227,13 @@ class _Texts:
         keys, of = self.keys(), classes.of(classes.place(self.features()))
         used, key = np.unique(of[self.doc] * len(keys) + self.key, return_inverse=True)
         own = [bytes([k]) + keys[j] for k, j in zip((used // len(keys)).tolist(), (used % len(keys)).tolist(), strict=True)]
-        order = np.searchsorted(used, np.repeat(of, numbers_of(self.packed_lengths)) * len(keys) + numbers_of(self.packed_order))
+        order = np.searchsorted(used, np.repeat(of, self.lengths) * len(keys) + self.order)
         return of, own, key, order
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the distinct pairs of a key and the one before it, which of them
         each place in the texts has, and each one's count in training documents."""
-        order, lengths = numbers_of(self.packed_order), numbers_of(self.packed_lengths)
+        order, lengths = self.order, self.lengths
         own = np.array([xxhash.xxh3_64_intdigest(k) for k in self.keys()], np.uint64)
         x = own[before(order, lengths)] * np.uint64(0x9E3779B97F4A7C15) + own[order]
         x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
@@ -284,7 +291,7 @@ def find_classes(texts: DataFrame, most: int = 16, least_gain: float = 0.25) ->
     """
 
     def moments(t: _Texts) -> np.ndarray:
-        x = np.hstack([t.features(), np.ones((len(t.sizes), 1))])[t.train]
+        x = np.hstack([t.features(), np.ones((len(t.ids), 1))])[t.train]
         return (x.T @ x).ravel()
 
     m = _sums(texts, moments, (BINS + 1) ** 2).reshape(BINS + 1, BINS + 1)
@@ -658,11 +665,11 @@ def code_lengths(vocab: DataFrame, mixer: Mixer) -> DataFrame:
     return vocab.select("bucket", "letters", "widths", "c", "in_all").mapInArrow(run, _schema(SCORED))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries_a_block: int = 500_000) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_a_block: int = 1_000_000) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row
     a row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = saved(blocks(rows, entries_a_block), "blocks")
+    texts = saved(blocks(rows, tokens_a_block), "blocks")
     classes, buckets = find_classes(texts), 32 + texts.count() // 2
     vocab = saved(vocabulary(texts, classes, buckets), "vocabulary")
     words = vocab.where("of = -1")
@@ -693,7 +700,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _, pair, _ = t.pairs()
         n_docs = len(t.ids)
         base = np.where(seen >= 0, np.log10((np.maximum(seen, 0) + 0.5) / (n_train + 0.5 * (v_train + 1))), 0)
-        lengths = numbers_of(row["lengths"])
+        lengths = t.lengths
         place, train = np.repeat(np.arange(n_docs), lengths), np.repeat(t.train, lengths)
         n = np.where(seen >= 0, seen, -1 - seen)[before(order, lengths)]
         c, p = np.concatenate(sums)[pair].astype(float), spelled[order]

@@ -254,7 +254,7 @@ def test_fingerprints(spark):
 def test_language_model(spark):
     rng = random.Random(9)
     texts = [None, "", "X" * 200, *(words(rng, rng.randrange(1, 60), 40) for _ in range(80))]
-    got = {r.doc_id: r for r in language_model.score_texts(docs_of(spark, texts), entries_a_block=50).collect()}
+    got = {r.doc_id: r for r in language_model.score_texts(docs_of(spark, texts), tokens_a_block=100).collect()}
     tokens = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
     count: dict = {}
@@ -275,7 +275,7 @@ def test_language_model_sees_word_order(spark):
     line = "the quick brown fox jumps over a lazy dog today"
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1]
     texts = [" ".join(rng.sample(line.split(), 10)) if k in held[1:] else line for k in range(200)]
-    got = {r.doc_id: r for r in language_model.score_texts(docs_of(spark, texts), entries_a_block=50).collect()}
+    got = {r.doc_id: r for r in language_model.score_texts(docs_of(spark, texts), tokens_a_block=100).collect()}
     assert all(got[held[0]].score > got[k].score + 1 for k in held[1:])
     assert len({round(got[k].base_score, 6) for k in held}) == 1  # the words are the same
 
