@@ -38,8 +38,8 @@ from .common import saved
 _CHUNK = re.compile(r" ?[^\W\d_]+| ?(?:'[^\W\d_]*|[\d_]|[^\w\s'])+|\s+(?!\S)|\s+")
 #: Python takes these for white space, the tokenizer's pattern does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: What a task remembers of chunks met before: so many short ones, in each of two
-#: generations (about 60 MB in all). Texts are read in lots of so many bytes.
+#: What a worker remembers of chunks met before: so many short ones, in each of two
+#: generations (about 40 MB in all, whatever the texts). Texts are read in lots of so many bytes.
 _CACHE_ROWS, _CACHE_CHARS, _LOT_CHARS = 100_000, 24, 2_000_000
 
 
@@ -57,6 +57,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def _chunks(path: str) -> _Chunks:
+    return _Chunks(path)
+
+
 class _Chunks:
     """Ids of chunks as bytes; those met lately are remembered, as many as the bounds allow."""
 
@@ -123,7 +128,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunks = _Chunks(tokenizer_path)
+        chunks = _chunks(tokenizer_path)
         for batch in batches:
             for at, stop in _lots(batch.column(1)):
                 part = batch.slice(at, stop - at)
