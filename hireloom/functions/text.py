@@ -10,6 +10,10 @@ from __future__ import annotations
 
 import unicodedata
 
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +21,21 @@ SPACE = r"\t\n\x0B\f\r    -     　﻿"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+_HELD: dict[tuple[str, str], Any] = {}
+
+
+def held(key: str, build: Callable[[], Any]) -> Any:
+    """What build() returns, made once a session and key: columns that name their inputs can
+    stand in any plan, and building thousands of them takes seconds."""
+    context = SparkContext._active_spark_context
+    known = (context.applicationId if context else "", key)
+    if known not in _HELD:
+        if len(_HELD) >= 256:
+            _HELD.clear()
+        _HELD[known] = build()
+    return _HELD[known]
+
+
 def js(pattern: str, flags: str = "iu") -> str:
     """An ECMAScript pattern as a Java one: \\b, \\s and \\d by its rules."""
     out = pattern.replace(r"\b", _EDGE).replace(r"\d", "[0-9]")
@@ -109,6 +128,7 @@ def metadata_string(metadata: str, key: str, most: int = 2000) -> Column:
 
 
 def requirement_level(text: Column) -> Column:
+    """text is named three times: bind it first."""
     return (
         F.when(matches(text, r"\b(?:preferred|nice to have|desirable|bonus)\b"), "PREFERRED")
         .when(matches(text, r"\boptional\b"), "OPTIONAL")

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import company_key_of, comparison_key, key_of
+from ..functions.text import company_key_of, comparison_key, held, key_of
 from . import vocabulary as V
 from .normalize import HardFilterConfig
 
@@ -146,8 +146,13 @@ def expiry(processing_time: str) -> Column:
     return _when(at <= F.lit(processing_time).cast("timestamp"), said)
 
 
+def _filters(candidate: Candidate, config: HardFilterConfig, processing_time: str) -> Column:
+    parts = [country(config), work_authorization(candidate), language(candidate, config), seniority(config), experience(config), phd(candidate, config), company(config), industry(config), title(config), expiry(processing_time)]
+    return F.concat(*(p.cast(f"array<{REASON}>") for p in parts))
+
+
 def hard_filters(normalized: DataFrame, candidate: Candidate, config: HardFilterConfig, processing_time: str) -> DataFrame:
     """normalized plus reasons and filter_decision (ELIGIBLE or REJECTED)."""
-    parts = [country(config), work_authorization(candidate), language(candidate, config), seniority(config), experience(config), phd(candidate, config), company(config), industry(config), title(config), expiry(processing_time)]
-    out = normalized.withColumn("reasons", F.concat(*(p.cast(f"array<{REASON}>") for p in parts)))
+    reasons = held(f"filters {candidate} {config} {processing_time}", lambda: _filters(candidate, config, processing_time))
+    out = normalized.withColumn("reasons", reasons)
     return out.withColumn("filter_decision", F.when(F.size("reasons") > 0, "REJECTED").otherwise("ELIGIBLE"))

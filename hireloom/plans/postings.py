@@ -31,6 +31,9 @@ def pick(values: list[str], n: Column) -> Column:
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings in the input shape of normalize()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a file of one row group is one task otherwise
+        docs = docs.repartition(cores)
     i = F.col("doc_id")
     null = lambda kind: F.lit(None).cast(kind)
     url = F.concat(F.lit("https://jobs.example.test/"), (i % 997).cast("string"))
