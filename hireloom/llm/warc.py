@@ -13,7 +13,9 @@ offset. A payload can hold the version line too, even a whole record; so only th
 candidates that the chain from the file's start reaches are records. Reachability
 is pointer jumping: every round doubles the length of the jumps, and the work is
 spread over all candidates of all files. A record's block is its own stretch and
-the false candidates' that follow it.
+the false candidates' that follow it. A chain has to end where its file ends: if
+one doesn't (a cut or damaged file), reading fails and names the file, as records
+after the break can't be told from payloads.
 
 Null payloads are empty ones. Repeated rows are written and read as they are;
 rows that share the largest id are all responses. An empty table writes
@@ -86,12 +88,18 @@ def _with_first(rows: DataFrame, many: DataFrame, total: int, share: int = 1000)
 def _stretches(spark: SparkSession, path: str) -> DataFrame:
     """(file, split, at, value, head, length): what stands after each version line."""
     lines = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"),
     )
     rows = lines.withColumn("cut", _end("value")).withColumn("head", F.when(F.col("cut") > 0, F.decode(F.substring(F.col("value"), F.lit(1), F.col("cut") - 1), "ISO-8859-1"))).drop("cut")
-    length = F.regexp_extract("head", r"(?im)^Content-Length:[ \t]*([0-9]{1,18})", 1)
-    return rows.withColumn("length", F.when(length != "", length.cast("bigint")))
+    # lines end with CRLF alone; no file is as long as 16 digits say
+    length = header("head", "Content-Length", "0*([0-9]{1,15})")
+    return rows.withColumn("length", F.when(length != "", length.try_cast("bigint")))
+
+
+def header(head: str, name: str, value: str) -> Column:
+    """The group of value in a header field that is all of value; empty where there is none."""
+    return F.regexp_extract(head, rf"(?:^|\r\n)(?i:{name}):[ \t]*{value}[ \t]*(?:\r\n|\z)", 1)
 
 
 def _end(value: str) -> Column:
@@ -110,15 +118,16 @@ def _payload(block: str) -> Column:
 
 def _own(upto: Column | None = None) -> Column:
     """The bytes of a stretch after its header, upto so many."""
-    return F.substring(F.col("value"), F.length("head") + len(END) + 1, F.octet_length("value") if upto is None else upto)
+    size = F.octet_length("value")
+    return F.substring(F.col("value"), F.length("head") + len(END) + 1, size if upto is None else F.least(upto, size.cast("bigint")).cast("int"))
 
 
 def _chain(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The records, and the false candidates inside payloads, without payloads."""
     whole = F.coalesce(F.octet_length("value") >= F.length("head") + len(END) + F.col("length"), F.lit(False))
-    block = F.when(whole, _own(F.col("length").cast("int")))
+    block = F.when(whole, _own(F.col("length")))
     rows = stretches.withColumn("block", block).withColumn("payload", _payload("block"))
-    slim = rows.select("file", "split", "at", (F.octet_length("value") + len(MAGIC)).alias("size"), "head", "length", whole.alias("whole"), F.octet_length("payload").cast("long").alias("n_bytes"), base32_sha1(F.col("payload")).alias("digest"))
+    slim = rows.select("file", "file_size", "split", "at", (F.octet_length("value") + len(MAGIC)).alias("size"), "head", "length", whole.alias("whole"), F.octet_length("payload").cast("long").alias("n_bytes"), base32_sha1(F.col("payload")).alias("digest"))
     slim = saved(slim, "candidates")
 
     # A version line stands where the stretches before it end.
@@ -131,9 +140,19 @@ def _chain(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
     # what stands before the first version line of a file is no candidate
     placed = saved(placed.where("offset >= 0").withColumn("next", successor).drop("size", "base"), "placed")
     real = saved(reachable(placed), "reached")
+    _check_ends(slim, placed, real)
     return placed.join(real, ["file", "offset"], "left_semi"), placed.join(real, ["file", "offset"], "left_anti")
 
 
+def _check_ends(slim: DataFrame, placed: DataFrame, real: DataFrame) -> None:
+    """Fail if a file's chain doesn't end at the file's end."""
+    ends = placed.join(real, ["file", "offset"], "left_semi").groupBy("file").agg(F.max_by(F.coalesce("next", F.lit(-1)), "offset").alias("end"), F.max("offset").alias("last"))
+    sizes = slim.groupBy("file").agg(F.max("file_size").alias("file_size"))
+    broken = sizes.join(ends, "file", "left").where(~F.col("end").eqNullSafe(F.col("file_size"))).first()
+    if broken:
+        raise ValueError(f"{broken['file']}: no chain of records to the end of the file; the last record found is at {broken['last']}")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, head, n_bytes, digest, payload) of each record, in any order.
 
@@ -151,11 +170,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     parts = stretches.select("file", "split", "at", "value", "head").join(marks.select("file", "split", "at", "offset", "owner", "mine", F.col("length").alias("want")), ["file", "split", "at"])
     piece = F.when(F.col("mine"), F.hex(_own())).otherwise(F.concat(F.hex(F.lit(MAGIC)), F.hex("value")))
     joined = parts.groupBy("file", "owner").agg(F.max("want").alias("want"), F.array_sort(F.collect_list(F.struct("offset", piece.alias("piece")))).alias("p"))
-    block = F.substring(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")), F.lit(1), F.col("want").cast("int"))
+    block = F.substring(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")), F.lit(1), F.least(F.col("want"), F.lit(2**31 - 1)).cast("int"))
     mended = joined.select("file", F.col("owner").alias("offset"), block.alias("block")).withColumn("payload", _payload("block"))
     mended = torn.select("file", "offset", "head").join(mended.select("file", "offset", F.octet_length("payload").cast("long").alias("n_bytes"), base32_sha1(F.col("payload")).alias("digest"), "payload"), ["file", "offset"])
 
-    plain = stretches.select("file", "split", "at", "value", "head", "length").withColumn("block", _own(F.col("length").cast("int")))
+    plain = stretches.select("file", "split", "at", "value", "head", "length").withColumn("block", _own(F.col("length")))
     plain = plain.select("file", "split", "at", _payload("block").alias("payload"))
     good = real.where("whole")
     # a left join by a unique key: dropped by the optimizer where payload is not used
@@ -198,8 +217,8 @@ def op2_warc_boundary_chain(spark, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     records = read_warc(spark, path)
-    number = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: <urn:hireloom:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
-    text = lambda name, value: F.regexp_extract("head", rf"(?m)^{name}: {value}", 1)
+    number = lambda name: F.nullif(header("head", name, "<urn:hireloom:page:(-?[0-9]*)>"), F.lit("")).cast("long")
+    text = lambda name, value: header("head", name, value)
     kind = text("WARC-Type", "([a-z]+)")
     again = kind == "revisit"
     return records.select(
