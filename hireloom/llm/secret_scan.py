@@ -3,10 +3,13 @@
 Strong kinds (assigned secrets, access identifiers, long hex runs) are always
 reported. Weak parts (account identifiers, unlabelled tokens, endpoints) are
 only reported where parts that complete each other lie within one scope: the
-parts of a text are rows with an interval, and two parts meet if the gap between
-them is at most ``scope`` code points, however long they are. The largest end
-so far of each role, and the least start that follows, tell whether a part meets
-one, so a text full of parts costs its length and never its square.
+parts of a text are intervals, and two parts meet if they don't overlap and the
+gap from the end of one to the start of the other is at most ``scope`` code points,
+however long they are; a string is never its own complement. The interval join is
+a sweep: ends and starts of all parts are events in order of place. At a part's
+start the last end of each role so far is the nearest before it, at its end the
+next start of each role the nearest after it, so a text full of parts costs its
+length and never its square.
 
 Spans are code points, end exclusive. A null text is an empty one; an empty
 text has no spans. Repeated rows get equal results, whatever their ids. Other
@@ -84,12 +87,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     parts = rows.where(F.size("weak") > 0).select("_hl_key", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     role = F.get(F.array(*(F.lit(ROLE[k]) for k in ORDER)), F.col("s.rank"))
-    until = Window.partitionBy("_hl_key").orderBy("s.start").rangeBetween(Window.unboundedPreceding, 0)
-    since = Window.partitionBy("_hl_key").orderBy(F.desc("s.start")).rangeBetween(Window.unboundedPreceding, 0)
-    end = lambda r: F.max(F.when(role == r, F.col("s.end"))).over(until)
-    start = lambda r: F.min(F.when(role == r, F.col("s.start"))).over(since)
-    met = parts.select("_hl_key", "s", role.alias("role"), *(F.coalesce(end(r) >= F.col("s.start") - scope, F.lit(False)).alias(f"before_{r}") for r in ("id", "secret")), *(F.coalesce(start(r) <= F.col("s.end") + scope, F.lit(False)).alias(f"after_{r}") for r in ("id", "secret")))
-    met = met.select("_hl_key", "s", "role", *((F.col(f"before_{r}") | F.col(f"after_{r}")).alias(f"has_{r}") for r in ("id", "secret")))
+    event = lambda name, is_start: F.struct(F.col(f"s.{name}").alias("at"), F.lit(is_start).alias("is_start"))
+    events = parts.select("_hl_key", "s", role.alias("role"), F.explode(F.array(event("end", 0), event("start", 1))).alias("e")).select("_hl_key", "s", "role", "e.at", "e.is_start")
+    # ends before starts at one place: parts that touch meet
+    until = Window.partitionBy("_hl_key").orderBy("at", "is_start").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("_hl_key").orderBy(F.desc("at"), F.desc("is_start")).rowsBetween(Window.unboundedPreceding, 0)
+    end = lambda r: F.max(F.when((F.col("role") == r) & (F.col("is_start") == 0), F.col("at"))).over(until)
+    start = lambda r: F.min(F.when((F.col("role") == r) & (F.col("is_start") == 1), F.col("at"))).over(since)
+    near = lambda r: F.when(F.col("is_start") == 1, F.col("at") - end(r) <= scope).otherwise(start(r) - F.col("at") <= scope)
+    met = events.select("_hl_key", "s", "role", *(F.coalesce(near(r), F.lit(False)).alias(f"has_{r}") for r in ("id", "secret")))
+    met = met.groupBy("_hl_key", "s", "role").agg(*(F.bool_or(f"has_{r}").alias(f"has_{r}") for r in ("id", "secret")))
     needs = {"id": F.col("has_secret"), "secret": F.col("has_id"), "endpoint": F.col("has_id") & F.col("has_secret")}
     weak = met.where((F.col("s.rank") >= len(STRONG)) & F.coalesce(*(F.when(F.col("role") == r, c) for r, c in needs.items())))
     linked = weak.groupBy("_hl_key").agg(F.collect_list("s").alias("linked"))  # the parts of one text
