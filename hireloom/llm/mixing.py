@@ -2,11 +2,14 @@
 
 Every source gets a target number of words: a share of the whole mix by weight,
 water-filled under a cap of so many times the source's own size. A source's
-target over its size is the expected number of copies of each of its documents.
-The whole part of it is certain: every document is taken that often. For the
-rest, documents are ranked by random odds over inclusion odds (Rosen's Pareto
-order sampling), and the lowest ranks are taken until the source's remaining
-words are reached, so the sample's size is fixed and not binomial.
+target over its size is the expected number of copies of its words. The whole
+part of it is certain: every document is taken that often. For the rest, documents
+are ranked by random odds over inclusion odds (Rosen's Pareto order sampling), and
+the lowest ranks are taken until the source's remaining words are reached, so the
+sample's size is fixed and not binomial. Inclusion odds differ between documents:
+the source's remaining share of copies, as odds, times the root of the document's
+size over the mean of its source, so that long documents, which hold more of what is
+still to be taken, are likelier, but less than in proportion.
 
 The cut-off of a source is found from counts by digits of the rank: three rounds
 of 4096 bins each, so a source with a third of all rows is a few thousand rows
@@ -37,7 +40,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), mix: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, target): targets share mix * all words by weight, none
+    """(source, source_size, documents, target): targets share mix * all words by weight, none
     above cap * its source's size.
 
     Resharing the excess until none is left ends where one level times the weight,
@@ -45,10 +48,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), mix:
     capped up to a place; the level follows from sums before that place. The one
     window without a partition has a row a source.
     """
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (place % len(weights) + 1).cast("int"))
-    ranked = sums.select("source", "source_size", w.alias("w"), (F.col("source_size") * float(cap)).alias("most"))
+    ranked = sums.select("source", "source_size", "documents", w.alias("w"), (F.col("source_size") * float(cap)).alias("most"))
     up = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
     before = up.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -57,7 +60,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), mix:
     # among the free places the first has the level that holds for all after it
     first = F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     target = F.least(F.col("most"), F.coalesce(first, F.col("level")) * F.col("w"))
-    return leveled.select("source", "source_size", target.alias("target"))
+    return leveled.select("source", "source_size", "documents", target.alias("target"))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -74,8 +77,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), mix: float = 1.5,
     goals = goals.withColumn("rate", rate).withColumn("sure", F.floor(F.col("rate") + 1e-12)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("sure")))
     goals = saved(goals.withColumn("rest", F.col("part") * F.col("source_size")), "goals")
 
-    # The rank q = odds(u) / odds(part), held as q / (1 + q) in (0, 1) and cut into digits.
-    u, odds = uniform(F.col(id_col)), F.col("part") / (1 - F.col("part"))
+    # The rank q = odds(u) / odds of inclusion, held as q / (1 + q) in (0, 1) and cut into digits.
+    u, mean = uniform(F.col(id_col)), F.col("source_size") / F.col("documents")
+    odds = F.col("part") / (1 - F.col("part")) * F.sqrt(F.greatest(F.col("size"), F.lit(1)) / mean)
     q = (u / (1 - u)) / odds
     key = F.when(F.col("part") > 0, F.least(F.floor(q / (1 + q) * float(2 ** (BITS * ROUNDS))), F.lit(2 ** (BITS * ROUNDS) - 1))).cast("long")
     same = F.expr("d.source <=> g.source")
@@ -113,21 +117,23 @@ WITH RECURSIVE sizes AS (
     (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 sums AS (
-  SELECT source, sum(size)::BIGINT AS source_size, (ARRAY[3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS documents, (ARRAY[3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
   FROM sizes GROUP BY source),
 levels AS (
   SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(2.0 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM sums WINDOW b AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT arg_min(level, 2.0 * source_size / w) AS level FROM levels WHERE level * w <= 2.0 * source_size),
 goals AS (
-  SELECT source, source_size, least(2.0 * source_size, w * coalesce((SELECT level FROM level), 1e300))::DOUBLE AS target,
+  SELECT source, source_size, documents, least(2.0 * source_size, w * coalesce((SELECT level FROM level), 1e300))::DOUBLE AS target,
     CASE WHEN source_size > 0 THEN least(2.0 * source_size, w * coalesce((SELECT level FROM level), 1e300)) / source_size ELSE 0 END AS rate
   FROM sums),
 parts AS (SELECT *, floor(rate + 1e-12) AS sure, greatest(0, rate - floor(rate + 1e-12)) AS part FROM goals),
+odds AS (
+  SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.sure, g.part, g.part * g.source_size AS rest,
+    CASE WHEN g.part > 0 THEN (d.u / (1 - d.u)) / (g.part / (1 - g.part) * sqrt(greatest(d.size, 1) / (g.source_size / g.documents))) END AS q
+  FROM sizes d JOIN parts g ON d.source IS NOT DISTINCT FROM g.source),
 ranked AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, g.sure, g.part, g.part * g.source_size AS rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id) AS upto
-  FROM sizes d JOIN parts g ON d.source IS NOT DISTINCT FROM g.source)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id) AS upto FROM odds)
 SELECT doc_id, size, source_size, target,
   (size * (sure + CASE WHEN part <= 0 THEN 0 WHEN upto <= rest THEN 1 WHEN upto - size < rest AND upto - rest <= rest - (upto - size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ranked
