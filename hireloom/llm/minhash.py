@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -196,8 +196,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # candidates: the least of each bucket and its other members
     buckets = reps.select("id", F.posexplode("bands").alias("band", "value"))
-    head = F.min("id").over(Window.partitionBy("band", "value"))
-    ties = buckets.withColumn("head", head).where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    heads = buckets.groupBy("band", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = saved(heads, "heads")  # a bucket's members meet its least in a join of files, which Spark can split
+    ties = buckets.join(heads, ["band", "value"]).where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     clusters = saved(connected_components(ties), "clusters")
     sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("m")), "sizes")
     members = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("m") / block).cast("int").alias("blocks"), "m")
