@@ -66,6 +66,16 @@ def forget(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has a column of."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

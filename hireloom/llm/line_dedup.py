@@ -1,8 +1,10 @@
 """Line de-duplication within an edit bound of one, by deletion neighbourhoods.
 
 A line takes part if its trimmed, lower-cased form has min_chars characters at
-least; shorter lines are always kept. Of equal forms the earliest line (by document
-id, then place) stays. A form also goes if an earlier one is one edit away:
+least, one as a rule: only blank lines are always kept. Of equal forms the earliest
+line (by document id, then place; null ids first) stays. Of forms with near_chars
+characters and more, one also goes if an earlier one is one edit away (in shorter
+lines an edit often makes another word):
 
 * all forms with one character deleted are emitted as hashed keys, from prefix and
   suffix hashes, so a line costs its length;
@@ -20,9 +22,10 @@ Lines are told apart by 128-bit hashes. Equal lines are combined before the
 shuffle, and what is sent back to documents is the lines to keep, each of which
 exists once, so a line in every document is as cheap as any other.
 
-A null text stays null and an empty one empty. Rows with equal ids count as one
-document. An empty table gives an empty result. All columns are passed through;
-names of working columns begin with _hl_.
+A null text stays null and an empty one empty. Rows with equal ids and texts count
+as one document; of rows with one id and different texts each line is its own. An
+empty table gives an empty result. All columns are passed through, but for those
+named like the two that are added (a parameter), which are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,7 +93,7 @@ def neighbourhoods(lines: DataFrame) -> DataFrame:
 
 
 def _near_earlier(lines: DataFrame) -> DataFrame:
-    """(first, by) of lines with an earlier line one edit away; lines has first and form."""
+    """The lines (first, form) with an earlier line one edit away."""
     keys = neighbourhoods(lines)
     group = Window.partitionBy("key", F.col("kind") == 2)
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first"))).over(group)
@@ -98,45 +101,47 @@ def _near_earlier(lines: DataFrame) -> DataFrame:
     by = F.when(F.col("kind") == 0, F.col("least1")).when(F.col("kind") == 1, F.col("least0")).otherwise(F.col("least2"))
     pairs = met.withColumn("by", by).where("by < first").select("first", "by").distinct()
     a, b = lines.select("first", "form"), lines.select(F.col("first").alias("by"), F.col("form").alias("other"))
-    return pairs.join(a, "first").join(b, "by").where(F.levenshtein("form", "other", 1) == 1).select("first").distinct()
+    met = pairs.alias("p").join(a.alias("a"), F.expr("p.first <=> a.first")).join(b.alias("b"), F.expr("p.by <=> b.by"))
+    return met.where(F.levenshtein("form", "other", 1) == 1).select("p.first", "form").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 32, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated lines taken out of text, and _hl_lines, _hl_dropped: how many
-    lines there were and went."""
+def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = 32, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("_hl_lines", "_hl_dropped")) -> DataFrame:
+    """docs with repeated lines taken out of text, and counts: how many lines there were and went."""
     if max_edits not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
     ids = docs.select(F.col(id_col).alias("id"), F.explode(_numbered(F.col(text_col), min_chars)).alias("x"))
     form, n = F.col("x.form"), F.length("x.form")
     half = lambda size, side: (F.left if side == "p" else F.right)(form, F.floor(size / 2).cast("int"))
-    key = lambda size, side: F.xxhash64(size, F.lit(side), half(size, side))
+    key = lambda size, side: F.when(n >= near_chars, F.xxhash64(size, F.lit(side), half(size, side)))
     rows = ids.select(F.struct("id", "x.no").alias("first"), F.xxhash64(form).alias("h1"), F.xxhash64(F.lit("second"), form).alias("h2"), *(key(size, side).alias(f"k{i}") for i, (size, side) in enumerate(((n, "p"), (n, "s"), (n + 1, "p"), (n + 1, "s")))))
     ks = ["k0", "k1", "k2", "k3"]
     firsts = rows.groupBy("h1", "h2", *ks).agg(F.min("first").alias("first"))  # the keys depend on the hashes
     if not max_edits:
         firsts = firsts.drop(*ks)
     firsts = saved(firsts, "lines")
-    kept = firsts.select("first")
+    kept = firsts.select("first", "h1")
+    place = lambda no, h1: F.xxhash64(no, h1)  # noqa: E731  a line's place in its document, and its form
     if max_edits:
-        keyed = firsts.select("first", "h1", "h2", F.explode(F.array(*ks)).alias("k"))
+        keyed = firsts.where("k0 IS NOT NULL").select("first", "h1", "h2", F.explode(F.array(*ks)).alias("k"))
         shared = keyed.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2")).where("lo <> hi OR lo2 <> hi2").select("k")
-        wanted = keyed.join(shared, "k", "left_semi").select("first").distinct()
-        places = saved(wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.no").alias("nos")), "places")
-        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(places, "id")
-        found = found.select("id", F.explode(F.filter(_numbered(F.col("text"), min_chars), lambda x: F.array_contains("nos", x["no"]))).alias("x"))
-        lines = saved(found.select(F.struct("id", "x.no").alias("first"), F.col("x.form").alias("form")).dropDuplicates(["first"]), "forms")
+        wanted = keyed.join(shared, "k", "left_semi").select("first", "h1").distinct()
+        places = saved(wanted.groupBy(F.col("first.id").alias("of")).agg(F.collect_list(place(F.col("first.no"), F.col("h1"))).alias("places")), "places")
+        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(places, F.col("id").eqNullSafe(F.col("of")))
+        found = found.select("id", F.explode(F.filter(_numbered(F.col("text"), near_chars), lambda x: F.array_contains("places", place(x["no"], F.xxhash64(x["form"]))))).alias("x"))
+        lines = saved(found.select(F.struct("id", "x.no").alias("first"), F.col("x.form").alias("form")).distinct(), "forms")
         near = saved(_near_earlier(lines), "near")
-        kept = kept.join(near, "first", "left_anti")
-    kept = kept.groupBy(F.col("first.id").alias("_hl_id")).agg(F.collect_list("first.no").alias("_hl_kept"))
-    out = docs.join(kept, docs[id_col].eqNullSafe(F.col("_hl_id")), "left")
-    none = F.array().cast("array<int>")
-    taking = F.transform(_numbered(F.col(text_col), min_chars), lambda x: x["no"])
-    out = out.withColumn("_hl_gone", F.array_except(taking, F.coalesce("_hl_kept", none)))
+        kept = kept.alias("k").join(near.select(F.col("first").alias("f"), F.xxhash64("form").alias("g")), F.expr("k.first <=> f AND k.h1 = g"), "left_anti")
+    of, stay, gone = fresh(docs, "_hl_of", "_hl_kept", "_hl_gone")
+    kept = kept.groupBy(F.col("first.id").alias(of)).agg(F.collect_list(place(F.col("first.no"), F.col("h1"))).alias(stay))
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(of)), "left")
+    none = F.array().cast("array<bigint>")
+    taking = F.transform(_numbered(F.col(text_col), min_chars), lambda x: place(x["no"], F.xxhash64(x["form"])))
+    out = out.withColumn(gone, F.array_except(taking, F.coalesce(stay, none)))
     parts = F.split(F.col(text_col), "\n")
-    left = F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("no"), x.alias("line"))), lambda x: ~F.array_contains("_hl_gone", x["no"])), lambda x: x["line"])
-    text = F.when(F.size("_hl_gone") > 0, F.array_join(left, "\n")).otherwise(F.col(text_col))
-    out = out.withColumn("_hl_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("_hl_dropped", F.size("_hl_gone"))
-    return out.withColumn(text_col, text).select(*docs.columns, "_hl_lines", "_hl_dropped")
+    left = F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("no"), x.alias("line"))), lambda x: ~F.array_contains(gone, place(x["no"], F.xxhash64(_form(x["line"]))))), lambda x: x["line"])
+    text = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col(text_col))
+    out = out.withColumns({counts[0]: F.coalesce(F.size(parts), F.lit(0)), counts[1]: F.size(gone)})
+    return out.withColumn(text_col, text).select(*(c for c in docs.columns if c not in counts), *counts)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

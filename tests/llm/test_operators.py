@@ -135,9 +135,9 @@ def test_lines_within_one_edit(spark):
             text = "\n".join(kept)
         want[k] = text
     docs = docs_of(spark, texts)
-    out = line_dedup.dedup_lines(docs, min_chars=8)
+    out = line_dedup.dedup_lines(docs, min_chars=8, near_chars=8)
     assert out.columns == [*docs.columns, "_hl_lines", "_hl_dropped"] and {r.doc_id: r.text for r in out.collect()} == want
-    assert line_dedup.dedup_lines(docs.limit(0), min_chars=8).count() == 0
+    assert line_dedup.dedup_lines(docs.limit(0), min_chars=8, near_chars=8).count() == 0
 
 
 # -- 4: near-duplicates and components
