@@ -35,9 +35,10 @@ def test_token_ids_are_the_tokenizers(vocabulary_file):
 
     rng = random.Random(1)
     alphabet = "ab é'’.,  \n\t 　\x1c12²ⅷ_-!?ñ日本́\U0001f600sStTdDmlLvre'"
-    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)] + ["don't I'LL it''s", "<|endoftext|> a", "", "\n\n x"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)] + ["don't I'LL it''s", "<|endoftext|> a", "", "\n\n x", " " * 300_000, "a" * 50_000, "日" * 20_000]
+    texts += [f"a{c}b1{c}1 {c}!{c}'{c}s  {c} {c}\n{c}" for c in map(chr, range(1, 0x30000, 61)) if not "\ud800" <= c <= "\udfff"]
     plain = Tokenizer.from_file(vocabulary_file)
-    for text, ids in zip(texts, packing._Chunks(vocabulary_file)(texts), strict=True):
+    for text, ids in zip(texts, packing._encode(texts, vocabulary_file), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
