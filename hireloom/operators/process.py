@@ -47,10 +47,15 @@ def check_limit(limit: int) -> int:
     return limit
 
 
+def first_references(references: DataFrame) -> DataFrame:
+    """(job_id, ref): each posting's first source reference, by first_seen_at and id."""
+    return references.groupBy("job_id").agg(F.min_by(F.struct("source_id", "external_id", "source_url"), F.struct("first_seen_at", "id")).alias("ref"))
+
+
 def processable(jobs: DataFrame, references: DataFrame, revisions: DataFrame, limit: int) -> DataFrame:
     """The batch: earliest collected first, with each job's first source reference and latest revision."""
     batch = jobs.orderBy("last_collected_at", "id").limit(check_limit(limit))
-    first = references.groupBy("job_id").agg(F.min_by(F.struct("source_id", "external_id", "source_url"), F.struct("first_seen_at", "id")).alias("ref"))
+    first = first_references(references)
     latest = revisions.groupBy("job_id").agg(F.max("revision_number").alias("revision"))
     out = batch.join(first, batch["id"] == first["job_id"], "left").drop("job_id").join(latest, batch["id"] == latest["job_id"], "left").drop("job_id")
     return out.withColumns({"source_id": F.col("ref.source_id"), "external_id": F.col("ref.external_id"), "source_url": F.coalesce("ref.source_url", "canonical_url"), "input_revision_number": F.coalesce("revision", F.lit(0))}).drop("ref", "revision")
@@ -85,10 +90,11 @@ def process(jobs: DataFrame, decisions: DataFrame, candidate: Candidate, config:
     """New decisions only. If any posting is pending, all are classified, as candidates for
     duplicates, and those that are decided are left out of the result."""
     todo = pending(jobs, decisions, config_fingerprint(candidate, config))
+    if todo.isEmpty():  # nothing is normalized or classified then
+        return decide(jobs.limit(0), candidate, config, processing_time)
     made = decide(jobs, candidate, config, processing_time)
     keys = todo.select(F.col("id").alias("job_id"), "input_revision_number")
-    out = made.join(keys, ["job_id", "input_revision_number"], "left_semi")
-    return out.where(F.lit(False)) if todo.isEmpty() else out
+    return made.join(keys, ["job_id", "input_revision_number"], "left_semi")
 
 
 def summary(considered: DataFrame, made: DataFrame, cancelled: bool = False) -> DataFrame:

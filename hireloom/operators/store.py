@@ -32,17 +32,22 @@ def revision_snapshot(fields: list[str], old: str = "old", new: str = "new") ->
     return F.to_json(F.map_filter(both, lambda k, _: F.array_contains(changed, k)), {"ignoreNullFields": "false"})
 
 
-def resolve_identity(incoming: DataFrame, jobs: DataFrame, references: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """incoming plus job_ids found by external id, source URL, canonical URL and fingerprint,
-    by_reference, and outcome so far: CREATED, CONFLICT or null (one job found)."""
-    external = references.select("source_id", "external_id", F.col("job_id").alias("by_external"))
-    source = references.select("source_id", "source_url", F.col("job_id").alias("by_url"))
-    canonical = jobs.select("canonical_url", F.col("id").alias("by_canonical"))
-    print_ = fingerprints.select("fingerprint", F.col("job_id").alias("by_fingerprint"))
-    out = incoming.join(external, ["source_id", "external_id"], "left").join(source, ["source_id", "source_url"], "left").join(canonical, "canonical_url", "left").join(print_, "fingerprint", "left")
-    ids = F.array_distinct(F.array_compact(F.array("by_external", "by_url", "by_canonical", "by_fingerprint")))
-    out = out.withColumn("job_ids", ids).withColumn("by_reference", F.coalesce("by_external", "by_url"))
-    return out.withColumn("identity", F.when(F.size("job_ids") == 0, "CREATED").when(F.size("job_ids") > 1, "JOB_IDENTITY_CONFLICT"))
+def resolve_identity(incoming: DataFrame, jobs: DataFrame, references: DataFrame, fingerprints: DataFrame, key: str) -> DataFrame:
+    """incoming plus job_ids, the set of stored postings that external id, source URL, canonical
+    URL and fingerprint lead to, reference_id, the reference found by external id or else by
+    URL, known_fingerprint, and identity: CREATED, JOB_IDENTITY_CONFLICT or null (one found)."""
+    refs = references.select("source_id", "external_id", "source_url", "job_id", F.col("id").alias("ref"))
+    none = F.lit(None).cast(references.schema["id"].dataType)
+    hits = [
+        incoming.join(refs.drop("source_url"), ["source_id", "external_id"]).select(key, "job_id", F.col("ref").alias("by_external"), none.alias("by_url"), F.lit(False).alias("by_print")),
+        incoming.join(refs.drop("external_id"), ["source_id", "source_url"]).select(key, "job_id", none.alias("by_external"), F.col("ref").alias("by_url"), F.lit(False).alias("by_print")),
+        incoming.join(jobs.select("canonical_url", F.col("id").alias("job_id")), "canonical_url").select(key, "job_id", none.alias("by_external"), none.alias("by_url"), F.lit(False).alias("by_print")),
+        incoming.join(fingerprints.select("fingerprint", "job_id"), "fingerprint").select(key, "job_id", none.alias("by_external"), none.alias("by_url"), F.lit(True).alias("by_print")),
+    ]
+    found = hits[0].unionAll(hits[1]).unionAll(hits[2]).unionAll(hits[3])
+    sets = found.groupBy(key).agg(F.sort_array(F.collect_set("job_id")).alias("job_ids"), F.min("by_external").alias("by_external"), F.min("by_url").alias("by_url"), F.bool_or("by_print").alias("known_fingerprint"))
+    out = incoming.join(sets, key, "left").withColumn("job_ids", F.coalesce("job_ids", F.array().cast(sets.schema["job_ids"].dataType))).withColumn("reference_id", F.coalesce("by_external", "by_url")).withColumn("known_fingerprint", F.coalesce("known_fingerprint", F.lit(False)))
+    return out.drop("by_external", "by_url").withColumn("identity", F.when(F.size("job_ids") == 0, "CREATED").when(F.size("job_ids") > 1, "JOB_IDENTITY_CONFLICT"))
 
 
 def upsert_outcome(identity: Column, changed: Column, linked: Column) -> Column:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, company_key, comparison_key, html_to_text
 from ..functions.urls import normalize_url
-from ..operators import store
+from ..operators import store, upsert
 from ..operators import vocabulary as V
 from ..operators.dedup import classify, with_fingerprint
 from ..operators.filters import Candidate, hard_filters
 from ..operators.normalize import HardFilterConfig, normalize
-from ..operators.process import decide, process, processable, summary
+from ..operators.process import decide, first_references, pending, processable, summary
 from .postings import POSTINGS_SQL, SUFFIXES, postings
 
 CONFIG = HardFilterConfig(
@@ -215,20 +215,30 @@ def process_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def pending_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRC03, PRC09: rows without a decision; labels stand for decisions."""
-    return _read(spark, sf_dir, "documents").select("doc_id").join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """PRC03, PRC09: postings without a decision of these versions; labels stand for decisions, toxic ones for an older version's."""
+    jobs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("input_revision_number"))
+    made = _read(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("job_id"), F.lit(0).alias("input_revision_number"), F.lit(V.NORMALIZATION_VERSION).alias("normalization_version"),
+        F.lit(V.FINGERPRINT_VERSION).alias("fingerprint_version"), F.lit(V.FILTER_VERSION).alias("filter_rules_version"), F.lit("x").alias("config_fingerprint"),
+    )
+    return pending(jobs, made, "x").select(F.col("id").alias("doc_id"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1000")
 def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC11, PRC01: the bounded batch, earliest first."""
-    return _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").limit(1000)
+    """SRC11, PRC01: the bounded batch, earliest first, with first references and latest revisions."""
+    o = _read(spark, sf_dir, "orders")
+    jobs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("last_collected_at"), F.lit("u").alias("canonical_url"))
+    refs = o.select(F.col("o_orderkey").alias("job_id"), F.lit("s").alias("source_id"), F.col("o_custkey").cast("string").alias("external_id"), F.lit("u").alias("source_url"), F.col("o_orderdate").alias("first_seen_at"), F.col("o_orderkey").alias("id"))
+    none = o.limit(0).select(F.col("o_orderkey").alias("job_id"), F.lit(1).alias("revision_number"))
+    return processable(jobs, refs, none, 1000).select(F.col("id").alias("o_orderkey"), F.col("external_id").cast("long").alias("o_custkey"), F.col("last_collected_at").alias("o_orderdate"))
 
 
 @query("SELECT conv_id, arg_min(role, turn) AS role, min(turn) AS turn FROM conversations GROUP BY conv_id")
 def first_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC11: the first row of each key."""
-    return _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"), F.min("turn").alias("turn"))
+    """SRC11: each posting's first source reference."""
+    c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), F.col("role").alias("source_id"), F.col("turn").alias("external_id"), F.lit("u").alias("source_url"), F.col("turn").alias("first_seen_at"), F.col("turn").alias("id"))
+    return first_references(c).select(F.col("job_id").alias("conv_id"), F.col("ref.source_id").alias("role"), F.col("ref.external_id").alias("turn"))
 
 
 @query("SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -243,33 +253,103 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.status_changes(_read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", F.lit("NEW")).select("event_id", "user_id", "from_status", "event_type")
 
 
-_HALVES = "a AS (SELECT doc_id % 500 AS k, lang, source, n_chars FROM documents WHERE doc_id < 500), b AS (SELECT doc_id % 500 AS k, nullif(lang, 'es') AS lang, source, n_chars FROM documents WHERE doc_id >= 500 AND doc_id < 1000)"
+_FIELDS = ["lang", "source", "n_chars"]
+_CHANGED = "CASE WHEN b.lang IS NOT NULL AND a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN b.source IS NOT NULL AND a.source IS DISTINCT FROM b.source THEN 'source' END, CASE WHEN b.n_chars IS NOT NULL AND a.n_chars IS DISTINCT FROM b.n_chars THEN 'n_chars' END"
 
 
-@query(f"WITH {_HALVES} SELECT b.k, concat_ws(',', CASE WHEN b.lang IS NOT NULL AND a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN a.source <> b.source THEN 'source' END, CASE WHEN a.n_chars <> b.n_chars THEN 'n_chars' END) AS changed FROM b JOIN a USING (k)")
+@query(f"""WITH a AS (SELECT doc_id + 1 AS k, lang, source, n_chars FROM documents), b AS (SELECT doc_id AS k, nullif(lang, 'es') AS lang, source, n_chars FROM documents)
+SELECT b.k, concat_ws(',', {_CHANGED}) AS changed FROM b JOIN a USING (k)""")
 def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UPS07: which fields of a row differ from what is stored; absence clears nothing."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    old = d.where("doc_id < 500").select((F.col("doc_id") % 500).alias("k"), F.struct("lang", "source", "n_chars").alias("old"))
-    new = d.where("doc_id >= 500 AND doc_id < 1000").select((F.col("doc_id") % 500).alias("k"), F.struct(F.nullif("lang", F.lit("es")).alias("lang"), "source", "n_chars").alias("new"))
-    return new.join(old, "k").select("k", F.array_join(store.changed_fields(["lang", "source", "n_chars"]), ",").alias("changed"))
+    """UPS07: which fields of a row differ from what is stored, here the row before it; absence clears nothing."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", *_FIELDS)
+    old = d.select((F.col("doc_id") + 1).alias("k"), F.struct(*_FIELDS).alias("old"))
+    new = d.select(F.col("doc_id").alias("k"), F.struct(F.nullif("lang", F.lit("es")).alias("lang"), "source", "n_chars").alias("new"))
+    return new.join(old, "k").select("k", F.array_join(store.changed_fields(_FIELDS), ",").alias("changed"))
 
 
 @query("""WITH i AS (SELECT o_orderkey AS k, o_custkey % 700 AS c, o_orderkey % 900 AS u FROM orders), j AS (SELECT c_custkey AS id FROM customer)
 SELECT i.k, CASE WHEN x.id IS NULL AND y.id IS NULL THEN 'CREATED' WHEN x.id <> y.id THEN 'JOB_IDENTITY_CONFLICT' ELSE 'FOUND' END AS identity FROM i LEFT JOIN j x ON x.id = i.c LEFT JOIN j y ON y.id = i.u""")
 def identity_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UPS03, UPS04: signals that find none, one or several stored rows."""
-    i = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 700).alias("c"), (F.col("o_orderkey") % 900).alias("u"))
-    j = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    out = i.join(j.withColumnRenamed("id", "x"), F.col("c") == F.col("x"), "left").join(j.withColumnRenamed("id", "y"), F.col("u") == F.col("y"), "left")
-    n = F.size(F.array_distinct(F.array_compact(F.array("x", "y"))))
-    return out.select("k", F.when(n == 0, "CREATED").when(n > 1, "JOB_IDENTITY_CONFLICT").otherwise("FOUND").alias("identity"))
+    """UPS03, UPS04: signals that find none, one or several stored postings."""
+    none = F.lit(None).cast("string")
+    i = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit("s").alias("source_id"), (F.col("o_custkey") % 700).alias("external_id"), none.alias("source_url"), (F.col("o_orderkey") % 900).alias("canonical_url"), none.alias("fingerprint"))
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    jobs = c.select("id", F.col("id").alias("canonical_url"))
+    refs = c.select("id", F.col("id").alias("job_id"), F.lit("s").alias("source_id"), F.col("id").alias("external_id"), F.lit("u").alias("source_url"))
+    prints = c.select(F.lit("f").alias("fingerprint"), F.col("id").alias("job_id"))
+    out = store.resolve_identity(i, jobs, refs, prints, "k")
+    return out.select("k", F.coalesce("identity", F.lit("FOUND")).alias("identity"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as postings: each turn is a collection of one posting, from two sources."""
+    c = _read(spark, sf_dir, "conversations")
+    conv, source = F.col("conv_id").cast("string"), F.when(F.col("turn") % 3 == 2, "b").otherwise("a")
+    url = F.concat(F.lit("https://jobs.example.test/"), conv)
+    return c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.concat(F.lit("job "), conv).alias("id"), source.alias("source_id"), conv.alias("external_id"), url.alias("source_url"), url.alias("canonical_url"),
+        F.sha2(conv, 256).alias("fingerprint"), F.format_string("2026-07-29T10:%02d:00.000Z", "turn").alias("collected_at"), F.col("role").alias("title"), F.lit("Example Labs").alias("company"),
+    )
+
+
+_TURNS = """t AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN 'b' ELSE 'a' END AS source_id, lag(role) OVER w AS before, row_number() OVER w AS n,
+   row_number() OVER (PARTITION BY conv_id, CASE WHEN turn % 3 = 2 THEN 'b' ELSE 'a' END ORDER BY turn) AS n_source FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ o AS (SELECT *, CASE WHEN n = 1 THEN 'CREATED' WHEN role <> before THEN 'UPDATED' WHEN n_source = 1 THEN 'LINKED_TO_EXISTING' ELSE 'UNCHANGED' END AS outcome FROM t)"""
+
+
+@query(f"WITH {_TURNS} SELECT conv_id * 1000 + turn AS position, 'job ' || conv_id AS job_id, outcome, CASE WHEN outcome = 'UPDATED' THEN count_if(outcome = 'UPDATED') OVER (PARTITION BY conv_id ORDER BY turn) END::INT AS revision_number FROM o")
+def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPS03-12, UPS15: postings upserted in order, with revision numbers."""
+    turns = _turns(spark, sf_dir)
+    return upsert.upsert(turns, upsert.empty_store(turns))[0].select("position", "job_id", "outcome", "revision_number")
+
+
+@query(f"WITH {_TURNS} SELECT 'job ' || conv_id AS id, arg_max(role, turn) AS title, printf('2026-07-29T10:%02d:00.000Z', min(turn)) AS first_seen_at, printf('2026-07-29T10:%02d:00.000Z', max(turn)) AS last_seen_at, count(DISTINCT source_id) AS n_references, count_if(outcome = 'UPDATED') AS n_revisions FROM o GROUP BY conv_id")
+def upserted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPS05, 06, 08, 10, 11: the store's tables after an upsert, a row a posting."""
+    turns = _turns(spark, sf_dir)
+    _, after = upsert.upsert(turns, upsert.empty_store(turns))
+    n = lambda rows, name: rows.groupBy(F.col("job_id").alias("id")).agg(F.count("*").alias(name))
+    out = after.jobs.select("id", "title", "first_seen_at", "last_seen_at").join(n(after.references, "n_references"), "id", "left").join(n(after.revisions, "n_revisions"), "id", "left")
+    return out.withColumn("n_revisions", F.coalesce("n_revisions", F.lit(0)))
+
+
+_SOURCES = """c AS (SELECT user_id AS source_id, count(*) AS raw, count_if(value > 90) AS invalid, count_if(event_type = 'click') AS created, count_if(event_type = 'view') AS unchanged, count_if(event_type = 'purchase') AS failed FROM events GROUP BY user_id),
+ s AS (SELECT source_id, CASE WHEN source_id % 7 = 0 THEN 'FAILED' WHEN failed > 0 THEN 'PARTIALLY_FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN source_id % 7 = 0 THEN 0 ELSE raw END AS raw, CASE WHEN source_id % 7 = 0 THEN 0 ELSE invalid END AS invalid,
+   CASE WHEN source_id % 7 = 0 THEN 0 ELSE created END AS created, CASE WHEN source_id % 7 = 0 THEN 0 ELSE unchanged END AS unchanged, CASE WHEN source_id % 7 = 0 THEN 0 ELSE failed END AS failed FROM c)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source results over events: users stand for sources, types for outcomes."""
+    e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), "event_type", "value")
+    counts = e.groupBy("source_id").agg(F.count("*").alias("raw_job_count"), F.count_if(F.col("value") > 90).alias("invalid_job_count"))
+    kind = F.col("event_type")
+    outcomes = e.select("source_id", F.when(kind == "click", "CREATED").when(kind == "view", "UNCHANGED").when(kind == "purchase", "JOB_IDENTITY_CONFLICT").alias("outcome"))
+    failures = counts.where(F.col("source_id") % 7 == 0).select("source_id", F.lit("HTTP_TIMEOUT").alias("code"), F.lit("The request timed out.").alias("message"))
+    return upsert.source_results(counts, outcomes, failures)
+
+
+@query(f"""WITH {_SOURCES} SELECT source_id, CASE WHEN status = 'SUCCEEDED' THEN 'COMPLETED' ELSE status END AS status, raw::BIGINT AS discovered_count, created::BIGINT AS inserted_count, unchanged::BIGINT AS duplicate_count, invalid::BIGINT AS invalid_count,
+ (invalid + failed)::BIGINT AS failed_count, CASE status WHEN 'FAILED' THEN 'HTTP_TIMEOUT' WHEN 'PARTIALLY_FAILED' THEN 'JOB_PERSISTENCE_FAILED' END AS error_code FROM s""")
+def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUN02, RUN04, RUN06: each source's stored result."""
+    return upsert.stored_results(_results(spark, sf_dir), "run").select("source_id", "status", "discovered_count", "inserted_count", "duplicate_count", "invalid_count", "failed_count", "error_code")
+
+
+@query(f"""WITH {_SOURCES} SELECT CASE WHEN bool_and(status = 'FAILED') THEN 'FAILED' WHEN bool_or(status <> 'SUCCEEDED') THEN 'PARTIALLY_FAILED' ELSE 'COMPLETED' END AS status, count(*) AS attempted_source_count, count_if(status <> 'FAILED') AS succeeded_source_count, count_if(status = 'FAILED') AS failed_source_count,
+ sum(raw)::BIGINT AS raw_jobs_found, sum(created)::BIGINT AS created_jobs, sum(unchanged)::BIGINT AS duplicate_count, sum(invalid + failed)::BIGINT AS failed_count, count_if(status <> 'SUCCEEDED')::BIGINT AS n_errors FROM s""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUN01, RUN03-08: a collection run's row."""
+    out = upsert.run_summary(_results(spark, sf_dir), "run", NOW, NOW)
+    errors = F.size(F.from_json("error_summary", "array<struct<sourceId:string,code:string>>")).cast("long").alias("n_errors")
+    return out.select("status", "attempted_source_count", "succeeded_source_count", "failed_source_count", "raw_jobs_found", "created_jobs", "duplicate_count", "failed_count", errors)
 
 
 @query("SELECT event_type, count(*) AS found, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS created, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RUN03: totals of counters."""
-    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("found"), F.sum((F.col("value") > 50).cast("long")).alias("created"), F.countDistinct("user_id").alias("users"))
+    """RUN03: totals of counters over sources; users stand for sources, types for runs."""
+    results = _read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("found"), F.count_if(F.col("value") > 50).alias("created")).withColumn("users", F.lit(1))
+    return store.run_totals(results, ["found", "created", "users"], ["event_type"])
 
 
 @query("SELECT o_custkey, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'FAILED' WHEN bool_or(o_orderstatus IN ('F', 'P')) THEN 'PARTIALLY_FAILED' ELSE 'COMPLETED' END AS status, count_if(o_orderstatus = 'F') AS failed FROM orders GROUP BY o_custkey")
