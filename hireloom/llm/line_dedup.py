@@ -46,10 +46,29 @@ def _form(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
 
 
+def _lines(text: Column) -> Column:
+    """array<struct<no, form>> of all lines."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, i: F.struct(i.alias("no"), _form(x).alias("form")))
+
+
 def _numbered(text: Column, min_chars: int) -> Column:
     """array<struct<no, form>> of the lines that take part."""
-    rows = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, i: F.struct(i.alias("no"), _form(x).alias("form")))
-    return F.filter(rows, lambda x: F.length(x["form"]) >= min_chars)
+    return F.filter(_lines(text), lambda x: F.length(x["form"]) >= min_chars)
+
+
+def _place(no: Column, h1: Column) -> Column:
+    """A line's number in its document, in the low 31 bits, under bits of its hash: so sets of
+    lines are sets of numbers, which Spark intersects by hashing."""
+    return F.shiftleft(h1, 31).bitwiseOR(no.cast("bigint"))
+
+
+def _number(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(2**31 - 1)).cast("int")
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body is evaluated for each line."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _neighbourhood(form: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -120,28 +139,34 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = 32, max_e
         firsts = firsts.drop(*ks)
     firsts = saved(firsts, "lines")
     kept = firsts.select("first", "h1")
-    place = lambda no, h1: F.xxhash64(no, h1)  # noqa: E731  a line's place in its document, and its form
+    placed = lambda rows: F.transform(rows, lambda x: _place(x["no"], F.xxhash64(x["form"])))
     if max_edits:
         keyed = firsts.where("k0 IS NOT NULL").select("first", "h1", "h2", F.explode(F.array(*ks)).alias("k"))
         shared = keyed.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2")).where("lo <> hi OR lo2 <> hi2").select("k")
         wanted = keyed.join(shared, "k", "left_semi").select("first", "h1").distinct()
-        places = saved(wanted.groupBy(F.col("first.id").alias("of")).agg(F.collect_list(place(F.col("first.no"), F.col("h1"))).alias("places")), "places")
+        places = saved(wanted.groupBy(F.col("first.id").alias("of")).agg(F.collect_list(_place(F.col("first.no"), F.col("h1"))).alias("places")), "places")
         found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(places, F.col("id").eqNullSafe(F.col("of")))
-        found = found.select("id", F.explode(F.filter(_numbered(F.col("text"), near_chars), lambda x: F.array_contains("places", place(x["no"], F.xxhash64(x["form"]))))).alias("x"))
+        chosen = _bound(F.struct(_lines(F.col("text")).alias("rows"), F.col("places")), lambda s: F.transform(F.array_intersect(placed(s["rows"]), s["places"]), lambda p: F.get(s["rows"], _number(p))))
+        found = found.select("id", F.explode(chosen).alias("x"))
         lines = saved(found.select(F.struct("id", "x.no").alias("first"), F.col("x.form").alias("form")).distinct(), "forms")
         near = saved(_near_earlier(lines), "near")
         kept = kept.alias("k").join(near.select(F.col("first").alias("f"), F.xxhash64("form").alias("g")), F.expr("k.first <=> f AND k.h1 = g"), "left_anti")
-    of, stay, gone = fresh(docs, "_hl_of", "_hl_kept", "_hl_gone")
-    kept = kept.groupBy(F.col("first.id").alias(of)).agg(F.collect_list(place(F.col("first.no"), F.col("h1"))).alias(stay))
+    of, stay, state = fresh(docs, "_hl_of", "_hl_kept", "_hl_state")
+    kept = kept.groupBy(F.col("first.id").alias(of)).agg(F.collect_list(_place(F.col("first.no"), F.col("h1"))).alias(stay))
     out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(of)), "left")
     none = F.array().cast("array<bigint>")
-    taking = F.transform(_numbered(F.col(text_col), min_chars), lambda x: place(x["no"], F.xxhash64(x["form"])))
-    out = out.withColumn(gone, F.array_except(taking, F.coalesce(stay, none)))
-    parts = F.split(F.col(text_col), "\n")
-    left = F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("no"), x.alias("line"))), lambda x: ~F.array_contains(gone, place(x["no"], F.xxhash64(_form(x["line"]))))), lambda x: x["line"])
-    text = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col(text_col))
-    out = out.withColumns({counts[0]: F.coalesce(F.size(parts), F.lit(0)), counts[1]: F.size(gone)})
-    return out.withColumn(text_col, text).select(*(c for c in docs.columns if c not in counts), *counts)
+
+    def resolve(s: Column) -> Column:
+        taking = placed(F.filter(s["rows"], lambda x: F.length(x["form"]) >= min_chars))
+        blank = placed(F.filter(s["rows"], lambda x: F.length(x["form"]) < min_chars))
+        left = F.array_intersect(taking, F.coalesce(s["kept"], none))
+        return F.struct(F.size(s["rows"]).alias("n"), (F.size(taking) - F.size(left)).alias("gone"), F.sort_array(F.transform(F.concat(left, blank), _number)).alias("left"))
+
+    out = out.withColumn(state, _bound(F.struct(_lines(F.col(text_col)).alias("rows"), F.col(stay).alias("kept")), resolve))
+    joined = _bound(F.struct(F.split(text_col, "\n").alias("parts"), F.col(f"{state}.left").alias("left")), lambda s: F.array_join(F.transform(s["left"], lambda no: F.get(s["parts"], no)), "\n"))
+    text = F.when(F.col(f"{state}.gone") > 0, joined).otherwise(F.col(text_col))
+    out = out.withColumns({counts[0]: F.when(F.col(text_col).isNull(), 0).otherwise(F.col(f"{state}.n")), counts[1]: F.col(f"{state}.gone"), text_col: text})
+    return out.select(*(c for c in docs.columns if c not in counts), *counts)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
