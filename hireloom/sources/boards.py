@@ -52,7 +52,8 @@ def board_a(bodies: DataFrame) -> DataFrame:
     """Items of {jobs: [...]}: id (string or number), title, absolute_url and optional fields."""
     rows = _items(bodies, "$.jobs")
     id_kind = F.schema_of_variant(F.expr("try_variant_get(item, '$.id', 'variant')"))
-    id_ = F.when(id_kind.isin("STRING", "BIGINT"), F.try_variant_get("item", "$.id", "string"))
+    number = F.regexp_replace(F.try_variant_get("item", "$.id", "string"), r"(\.[0-9]*?)0+$", "$1")
+    id_ = F.when(id_kind == "STRING", F.try_variant_get("item", "$.id", "string")).when(id_kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"), F.regexp_replace(number, r"\.$", ""))
     title, url = _text("item", "$.title"), _text("item", "$.absolute_url")
     bad = id_.isNull() | title.isNull() | url.isNull() | _wrong("item", "$.content", "$.updated_at", "$.location.name")
     updated = _text("item", "$.updated_at")

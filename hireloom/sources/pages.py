@@ -14,6 +14,7 @@ from ..functions.text import clean, decode_entities, html_to_text, let, presence
 from ..functions.urls import LOOPBACK, normalize_url
 from ..operators.collect import iso_timestamp
 
+#: Limits, and the patterns and hosts by which links and boards are told.
 MOST_BLOCKS, MOST_BLOCK_BYTES, MOST_DESCRIPTION = 20, 512 * 1024, 50_000
 JOB_PATH = r"(?i)/(?:job|jobs|career|careers|position|positions|opening|openings|vacanc(?:y|ies)|role|roles)(?:/|$)"
 EXCLUDED_LINK = r"(?i)(?:privacy|cookie|login|sign-in|search|filter|category|location|department|page=|mailto:|tel:|javascript:)"
@@ -91,17 +92,41 @@ def _value(path: str) -> Column:
     return F.when(F.schema_of_variant(at).rlike("^(STRING|BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"), presence(clean(F.try_variant_get(at, "$", "string"))))
 
 
+def _said(v: Column) -> Column:
+    """A cleaned string or number of a variant, else null."""
+    return F.when(F.schema_of_variant(v).rlike("^(STRING|BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"), presence(clean(F.try_variant_get(v, "$", "string"))))
+
+
+def _first_string(path: str) -> Column:
+    """The value at a path, or the first of a list there that is a string or number."""
+    items = F.transform(F.expr(f"try_variant_get(object, '{path}', 'array<variant>')"), _said)
+    return F.coalesce(F.get(F.array_compact(items), F.lit(0)), _value(path))
+
+
+def _place(v: Column) -> Column:
+    """A place: a string, the parts of its address or of itself, or its name."""
+    part = lambda root, k: _said(F.try_variant_get(v, f"{root}.{k}", "variant"))
+    keys = ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")
+    lines = (presence(F.array_join(F.array_compact(F.array(*(part(root, k) for k in keys))), ", ")) for root in ("$.address", "$"))
+    return F.coalesce(F.when(F.schema_of_variant(v) == "STRING", _said(v)), *lines, part("$", "name"))
+
+
+def _places(path: str) -> Column:
+    """A place, or all of a list, joined."""
+    many = F.transform(F.expr(f"try_variant_get(object, '{path}', 'array<variant>')"), _place)
+    return F.coalesce(presence(F.array_join(F.array_compact(many), "; ")), _place(F.expr(f"try_variant_get(object, '{path}', 'variant')")))
+
+
 def job_postings(pages: DataFrame) -> DataFrame:
     """Decoded JobPosting objects; valid is false where required fields are missing."""
     rows = json_ld(pages)
     link = lambda path: resolve(_value(path), F.col("url"))
     organization = F.coalesce(_value("$.hiringOrganization.name"), _value("$.hiringOrganization"))
     canonical = F.coalesce(link("$.url"), link("$.mainEntityOfPage"), link("$.mainEntityOfPage.@id"), link("$.mainEntityOfPage.url"), "canonical", "url")
-    place = lambda root: F.coalesce(_value(root), *(presence(F.array_join(F.array_compact(F.array(*(_value(f"{root}{a}.{k}") for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")))), ", ")) for a in (".address", "")), _value(f"{root}.name"))
     out = rows.select(
         "url", "block", "i", "k", _value("$.title").alias("title"), F.coalesce(organization, presence(clean(F.col("company")))).alias("company"), _value("$.description").alias("description"), link("$.applicationUrl").alias("application_url"),
-        canonical.alias("canonical_url"), F.coalesce(_value("$.identifier"), _value("$.identifier.value"), _value("$.identifier.name")).alias("external_id"), F.coalesce(_value("$.employmentType[0]"), _value("$.employmentType")).alias("employment_type"),
-        F.coalesce(place("$.jobLocation"), place("$.jobLocation[0]"), place("$.applicantLocationRequirements")).alias("location_text"), _value("$.jobLocationType").alias("workplace_type"),
+        canonical.alias("canonical_url"), F.coalesce(_value("$.identifier"), _value("$.identifier.value"), _value("$.identifier.name")).alias("external_id"), _first_string("$.employmentType").alias("employment_type"),
+        F.coalesce(_places("$.jobLocation"), _places("$.applicantLocationRequirements")).alias("location_text"), _value("$.jobLocationType").alias("workplace_type"),
         iso_timestamp(_value("$.datePosted")).alias("published_at"), iso_timestamp(_value("$.validThrough")).alias("expires_at"), F.lit("json-ld").alias("strategy"), F.lit(0.95).alias("confidence"),
     )
     return out.withColumn("valid", F.col("title").isNotNull() & F.col("company").isNotNull() & (F.col("description").isNotNull() | F.col("application_url").isNotNull()))

@@ -53,9 +53,22 @@ def test_store(spark):
     rows = spark.createDataFrame([((1, "a"), (1, "b")), ((1, "a"), (None, "a"))], "old struct<x:int,y:string>, new struct<x:int,y:string>")
     assert [r.c for r in rows.select(store.changed_fields(["x", "y"]).alias("c")).collect()] == [["y"], []]
     assert rows.select(store.revision_snapshot(["x", "y"]).alias("s")).first().s == '{"y":{"before":"a","after":"b"}}'
-    incoming = spark.createDataFrame([("s", "e1", "u1", "c9", "f9"), ("s", "e9", "u9", "c9", "f9"), ("s", "e1", "u1", "c2", "f9")], "source_id string, external_id string, source_url string, canonical_url string, fingerprint string")
+    incoming = spark.createDataFrame([(1, "s", "e1", "u1", "c9", "f9"), (2, "s", "e9", "u9", "c9", "f9"), (3, "s", "e1", "u1", "c2", "f9"), (4, "s", "e1", "u2", "c9", "f1")], "k int, source_id string, external_id string, source_url string, canonical_url string, fingerprint string")
     jobs = spark.createDataFrame([("j1", "c1"), ("j2", "c2")], "id string, canonical_url string")
-    refs = spark.createDataFrame([("s", "e1", "u1", "j1")], "source_id string, external_id string, source_url string, job_id string")
-    prints = spark.createDataFrame([("f1", "j1")], "fingerprint string, job_id string")
-    got = sorted((r.external_id, r.canonical_url, str(r.identity)) for r in store.resolve_identity(incoming, jobs, refs, prints).collect())
-    assert got == [("e1", "c2", "JOB_IDENTITY_CONFLICT"), ("e1", "c9", "None"), ("e9", "c9", "CREATED")]
+    refs = spark.createDataFrame([("r1", "s", "e1", "u1", "j1"), ("r2", "s", "e2", "u2", "j1")], "id string, source_id string, external_id string, source_url string, job_id string")
+    prints = spark.createDataFrame([("f1", "j1"), ("f1", "j2")], "fingerprint string, job_id string")
+    got = {r.k: (r.job_ids, r.reference_id, r.identity) for r in store.resolve_identity(incoming, jobs, refs, prints, "k").collect()}
+    assert got == {1: (["j1"], "r1", None), 2: ([], None, "CREATED"), 3: (["j1", "j2"], "r1", "JOB_IDENTITY_CONFLICT"), 4: (["j1", "j2"], "r1", "JOB_IDENTITY_CONFLICT")}
+
+
+def test_lists_of_places_and_kinds(spark):
+    ld = {"@type": "JobPosting", "title": "Dev", "description": "Do", "employmentType": [None, {"a": 1}, "FULL_TIME", "PART_TIME"], "jobLocation": ["Rome", {"address": {"addressLocality": "Paris", "addressCountry": "FR"}}, {"name": "Bern"}, 7]}
+    pages = spark.createDataFrame([("https://x.test/a", f'<script type="application/ld+json">{json.dumps(ld)}</script>', "Co")], "url string, html string, company string")
+    j = job_postings(pages).first()
+    assert (j.location_text, j.employment_type) == ("Rome; Paris, FR; Bern", "FULL_TIME")
+
+
+def test_numeric_ids(spark):
+    jobs = [{"id": x, "title": "T", "absolute_url": "https://b.test/1"} for x in (1.5, 12, 9300000000000000000, "x", True)]
+    rows = board_a(spark.createDataFrame([("s", "Co", json.dumps({"jobs": jobs}))], "source_id string, company string, body string"))
+    assert sorted(r.external_id for r in rows.where("NOT invalid").collect()) == ["1.5", "12", "9300000000000000000", "x"] and rows.where("invalid").count() == 1
