@@ -15,10 +15,12 @@
 5. Components by alternating large-star and small-star.
 
 Bands are chosen so that a pair right at the threshold shares no key with a
-probability under 1e-6. A link is always confirmed exactly.
+probability under 1e-6. A link is always confirmed exactly; pairs whose signatures
+agree in 5.3 standard deviations fewer places than the threshold's mean are not
+looked at, which misses a pair right at the threshold with about 1e-6 too.
 
 A null or empty text has no shingles and is linked with nothing. A text of fewer
-words than a shingle has one, the whole. Rows with the same id share a result.
+words than a shingle has one, the whole. Rows with the same id and text share a result.
 An empty table gives an empty result. Columns other than id and text are not read.
 """
 
