@@ -173,7 +173,8 @@ def _decoded(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decoded(name: Column) -> Column:
-        digits = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 20), 16, 10)).otherwise(F.substring(name, 2, 20))
+        bare = F.regexp_replace(name, "^#x?0*(?=[0-9a-f])", "")  # 20 digits are more than any code point has
+        digits = F.when(name.startswith("#x"), F.conv(F.substring(bare, 1, 20), 16, 10)).otherwise(F.substring(bare, 1, 20))
         code = F.when(name.startswith("#"), digits.try_cast("bigint"))
         # a code point as UTF-32 bytes
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")

@@ -72,3 +72,11 @@ def test_numeric_ids(spark):
     jobs = [{"id": x, "title": "T", "absolute_url": "https://b.test/1"} for x in (1.5, 12, 9300000000000000000, "x", True)]
     rows = board_a(spark.createDataFrame([("s", "Co", json.dumps({"jobs": jobs}))], "source_id string, company string, body string"))
     assert sorted(r.external_id for r in rows.where("NOT invalid").collect()) == ["1.5", "12", "9300000000000000000", "x"] and rows.where("invalid").count() == 1
+
+
+def test_character_references_of_many_digits(spark):
+    from hireloom.functions.text import decode_entities
+
+    said = {"&#000000000000000000000065;": "A", "&#x0000000000000000000000041;": "A", "&#65;&#x42;": "AB", "&#0;": "\0", "&#99999999999999999999999;": " ", "&amp;": "&", "&nope;": " "}
+    rows = spark.createDataFrame([(k,) for k in said], "t string")
+    assert {r.t: r.d for r in rows.select("t", decode_entities(F.col("t")).alias("d")).collect()} == said
