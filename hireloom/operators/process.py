@@ -14,6 +14,7 @@ from . import vocabulary as V
 from .dedup import classify, with_fingerprint
 from .filters import Candidate, hard_filters
 from .normalize import HardFilterConfig, normalize
+from .store import latest
 
 DECISION_KEY = ["job_id", "input_revision_number", "normalization_version", "fingerprint_version", "filter_rules_version", "config_fingerprint"]
 #: Fixed order of the configuration's keys in its fingerprint (a locale's order, not code points').
@@ -97,6 +98,22 @@ def process(jobs: DataFrame, decisions: DataFrame, candidate: Candidate, config:
     return made.join(keys, ["job_id", "input_revision_number"], "left_semi")
 
 
+def derived(made: DataFrame) -> DataFrame:
+    """What a decision derives of a posting, a row a normalized one (UPS19)."""
+    required = F.get(F.filter("education_requirements", lambda r: r["requirement"] == "REQUIRED"), F.lit(0))
+    return made.where("valid").select(
+        "job_id", "processed_at", "normalized_title", "normalized_company", F.col("location_key").alias("normalized_location_key"), F.col("identity_url").alias("canonical_application_url"), "normalization_version",
+        F.col("issues").alias("normalization_issues"), "seniority", F.when(F.size("experience_requirements") > 0, F.col("experience_requirements")).alias("required_experience"), required["level"].alias("required_education"),
+        F.col("language_requirements").alias("required_languages"), F.col("skill_requirements").alias("skills"), F.transform("skill_requirements", lambda x: x["canonical_name"]).alias("normalized_skills"),
+    )
+
+
+def current(derived_rows: DataFrame) -> DataFrame:
+    """Each posting's latest derived columns (PRC15), kept apart from the collected ones, so
+    that collecting an unchanged posting again makes no revision."""
+    return latest(derived_rows, ["job_id"], [F.desc("processed_at")])
+
+
 def summary(considered: DataFrame, made: DataFrame, cancelled: bool = False) -> DataFrame:
     """One row of counters and the run's status; normalization failures are no errors."""
     names = {"normalization_failed_count": "NORMALIZATION_FAILED", "duplicate_count": "DUPLICATE", "possible_duplicate_count": "POSSIBLE_DUPLICATE", "rejected_count": "REJECTED", "eligible_count": "ELIGIBLE", "error_count": "ERROR"}

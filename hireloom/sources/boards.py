@@ -7,6 +7,8 @@ one. Values keep their JSON types, so a numeric title is an invalid item and not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +79,25 @@ def board_b(bodies: DataFrame) -> DataFrame:
     ))
 
 
-#: Source type to loader; the legacy type yields no collectable source.
-REGISTRY = {"greenhouse": board_a, "lever": board_b}
+def registry(*entries: tuple[str, Callable[[DataFrame], DataFrame]]) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Source types to loaders, in order; a type that comes twice is an error."""
+    out: dict[str, Callable[[DataFrame], DataFrame]] = {}
+    for source_type, load in entries:
+        if source_type in out:
+            raise ValueError(f'SOURCE_CONFIGURATION_INVALID: Collector type "{source_type}" is registered more than once.')
+        out[source_type] = load
+    return out
+
+
+#: The legacy type yields no collectable source.
+REGISTRY = registry(("greenhouse", board_a), ("lever", board_b))
+
+
+def supported_types(known: dict[str, Callable[[DataFrame], DataFrame]] = REGISTRY) -> tuple[str, ...]:
+    return tuple(known)
 
 
-def loader(source_type: str):
-    if source_type not in REGISTRY:
-        raise KeyError("COLLECTOR_NOT_FOUND")
-    return REGISTRY[source_type]
+def loader(source_type: str, known: dict[str, Callable[[DataFrame], DataFrame]] = REGISTRY) -> Callable[[DataFrame], DataFrame]:
+    if source_type not in known:
+        raise KeyError(f'COLLECTOR_NOT_FOUND: No collector is registered for source type "{source_type}".')
+    return known[source_type]

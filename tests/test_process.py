@@ -76,3 +76,13 @@ def test_config_fingerprint_ignores_order():
 def test_limit(limit):
     with pytest.raises(ValueError):
         check_limit(limit)
+
+
+def test_derived_columns(spark):
+    from hireloom.operators.process import current, derived
+
+    jobs = spark.createDataFrame([job(1, description="Candidates must have a PhD degree. Python and SQL required."), job(2, title=" ")], SCHEMA)
+    one = derived(decide(jobs, Candidate(), HardFilterConfig(), NOW))
+    later = one.withColumns({"processed_at": F.lit("2026-07-30T12:00:00.000Z"), "seniority": F.lit("lead")})
+    (r,) = current(one.unionByName(later)).collect()
+    assert (r.job_id, r.required_education, r.normalized_skills, r.required_experience, r.seniority) == ("0001", "doctorate", ["Python", "SQL"], None, "lead")

@@ -80,3 +80,15 @@ def test_character_references_of_many_digits(spark):
     said = {"&#000000000000000000000065;": "A", "&#x0000000000000000000000041;": "A", "&#65;&#x42;": "AB", "&#0;": "\0", "&#99999999999999999999999;": " ", "&amp;": "&", "&nope;": " "}
     rows = spark.createDataFrame([(k,) for k in said], "t string")
     assert {r.t: r.d for r in rows.select("t", decode_entities(F.col("t")).alias("d")).collect()} == said
+
+
+def test_registry():
+    import pytest
+
+    from hireloom.sources.boards import loader, registry, supported_types
+
+    assert supported_types() == ("greenhouse", "lever") and loader("lever") is board_b
+    with pytest.raises(KeyError, match="COLLECTOR_NOT_FOUND"):
+        loader("other")
+    with pytest.raises(ValueError, match="registered more than once"):
+        registry(("a", board_a), ("a", board_b))
