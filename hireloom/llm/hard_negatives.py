@@ -98,7 +98,7 @@ class _Tile:
     """The rows of one task; scores between them and anchors."""
 
     def __init__(self, pdf: pd.DataFrame, dim: int, places: int) -> None:
-        ids = pdf["ids"].tolist()
+        ids = [v[:places] for v in pdf["ids"]]
         self.x, self.label = _ints(pdf["x"], dim), pdf["label"].to_numpy()
         self.codes = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), -1)
         self.rest, self.count = pdf["rest"].to_numpy(), np.array([len(v) for v in ids], np.int64)
