@@ -376,10 +376,6 @@ def geo_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("suppliers"), F.count_if(F.col("s_acctbal") > 0).alias("in_credit"))
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("url", "html", F.lit("Example Labs").alias("company"))
-
-
 @query("SELECT page_id, CASE WHEN regexp_matches(lower(html), 'captcha|verify you are human|challenge required') THEN 'captcha' WHEN regexp_matches(lower(html), 'access denied|request blocked|forbidden') THEN 'access-denied' END AS reason FROM pages")
 def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT02: pages that show a barrier instead of content."""
@@ -388,14 +384,6 @@ def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", blocked_reason(F.col("html")).alias("reason"))
 
 
-@query()
-def semantic_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EXT14-16, EXT21: postings from headings and content."""
-    from ..sources.pages import semantic_jobs
-
-    return semantic_jobs(_pages(spark, sf_dir))
-
-
 @query()
 def board_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC01-04, COL01-12: board payloads built from documents, to postings and counts."""

@@ -1,18 +1,23 @@
-"""Pages (url, html, company) to postings, links and detections, in SQL functions.
+"""Pages (url, html, company) to postings, links, detections and warnings.
 
-Structured data comes from JSON-LD blocks by way of variants; what a page shows comes
-from patterns over its markup. Patterns see no tree, so an element ends at its first
-closing tag of the same name.
+A page's markup becomes an element table (elements.py); what a page shows is found in
+it by windows and joins. Structured data comes from JSON-LD blocks by way of variants.
+extract() puts the stages together as a page's state asks for; crawl.py follows links.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, decode_entities, html_to_text, let, presence
-from ..functions.urls import LOOPBACK, normalize_url
+from ..functions.text import clean, decode_entities, let, presence
+from ..functions.urls import normalize_url
 from ..operators.collect import iso_timestamp
+from ..scratch import checkpointed
+from .elements import KEY, attribute, block_text, has_class, inner_texts, is_item, labelled_values, nodes
 
 #: Limits, and the patterns and hosts by which links and boards are told.
 MOST_BLOCKS, MOST_BLOCK_BYTES, MOST_DESCRIPTION = 20, 512 * 1024, 50_000
@@ -21,7 +26,8 @@ EXCLUDED_LINK = r"(?i)(?:privacy|cookie|login|sign-in|search|filter|category|loc
 JOB_TEXT = r"(?i)apply|engineer|developer|manager|designer|analyst|role|position|opening"
 APPLY_TEXT = r"(?i)^(?:apply|apply now|submit application)$"
 ATS_HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "boards-api.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "api.lever.co": "lever"}
-_BLOCK = r"(?is)<script\b[^>]*type\s*=\s*[\"']?\s*application/ld\+json\s*[\"']?[^>]*>(.*?)</script>"
+NOISE = ["script", "style", "noscript", "svg", "canvas", "iframe", "template", "nav", "footer"]
+LINE_ENDS = ["br", "p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dt", "dd"]
 
 #: What stands before the body, said or not: the first other tag or text begins it.
 _HEAD = r"(?is)\A\s*+(?:(?:<!doctype\b[^>]*>|</?(?:html|head|noscript)(?=[\s/>])[^>]*>|<(?:meta|link|base)\b[^>]*>|<(script|style|title|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z))\s*+)*+"
@@ -70,20 +76,54 @@ def _resolve(raw: Column, base: Column, cross: bool) -> Column:
     return let(normalize_url(absolute)["value"], allowed)
 
 
-def json_ld(pages: DataFrame) -> DataFrame:
-    """(url, company, canonical, pos, object): JobPosting objects of the pages' JSON-LD blocks,
-    also those in lists and in @graph; malformed and oversized blocks are left out."""
-    canonical = F.coalesce(*(F.nullif(F.regexp_extract("html", p, 1), F.lit("")) for p in (r"(?is)<link\b[^>]*rel\s*=\s*[\"']canonical[\"'][^>]*href\s*=\s*[\"']([^\"']*)[\"']", r"(?is)<link\b[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*rel\s*=\s*[\"']canonical[\"']")))
-    blocks = F.slice(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1)), F.lit(1), F.lit(MOST_BLOCKS))
-    rows = pages.select("url", "company", resolve(canonical, F.col("url"), False).alias("canonical"), F.posexplode(blocks).alias("block", "text"))
-    rows = rows.where(F.octet_length("text") <= MOST_BLOCK_BYTES).withColumn("v", F.try_parse_json(F.btrim("text")))
-    one = lambda c: F.coalesce(F.try_variant_get(c, "$", "array<variant>"), F.array(F.col(c)))
-    rows = rows.select("url", "company", "canonical", "block", F.posexplode(one("v")).alias("i", "w"))
-    graph = F.coalesce(F.expr("try_variant_get(w, '$.@graph', 'array<variant>')"), F.array().cast("array<variant>"))
-    rows = rows.select("url", "company", "canonical", "block", "i", F.posexplode(F.concat(F.array("w"), graph)).alias("k", "object"))
-    kind = F.expr("try_variant_get(object, '$.@type', 'string')")
-    kinds = F.expr("try_variant_get(object, '$.@type', 'array<string>')")
-    return rows.where(F.coalesce(kind == "JobPosting", F.lit(False)) | F.coalesce(F.array_contains(kinds, "JobPosting"), F.lit(False)))
+def page_tree(pages: DataFrame) -> DataFrame:
+    """The element tree of pages, with marks for the areas of job links and for what is no content."""
+    name = F.col("name")
+    hidden = attribute("hidden").isNotNull() | F.coalesce(attribute("aria-hidden") == "true", F.lit(False))
+    return nodes(pages, {"area": name.isin("main", "article") | has_class("job"), "noise": name.isin(NOISE) | hidden | has_class("cookie")})
+
+
+def canonical_links(tree: DataFrame) -> DataFrame:
+    """(url, page, canonical): what the first link of rel canonical leads to, if it is of the page's origin."""
+    rel = F.array_contains(F.split(F.lower(attribute("rel")), r"\s+"), "canonical")
+    first = tree.where((F.col("name") == "link") & rel).groupBy(*KEY).agg(F.min_by("attrs", "pos").alias("attrs"))
+    return first.select(*KEY, resolve(attribute("href"), F.col("url"), False).alias("canonical")).where("canonical IS NOT NULL")
+
+
+# -- structured data
+
+
+def _one(v: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.col(v)).startswith("ARRAY"), F.lit(False))
+
+
+def json_ld(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Objects (url, page, block, path, object) and rejects (url, page, block, message).
+
+    Objects of type JobPosting at any depth of lists and of @graph lists, in the order of
+    (block, path); lists are taken apart a level at a time until none is left. Blocks that
+    are no JSON, too large or beyond the limit of a page are rejects.
+    """
+    is_block = (F.col("name") == "script") & (F.lower(F.btrim(attribute("type"))) == "application/ld+json")
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")) - 1
+    blocks = tree.where(is_block).select(*KEY, nth.alias("block"), F.btrim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("text"))
+    sized = F.octet_length("text") <= MOST_BLOCK_BYTES
+    read = checkpointed(blocks.where((F.col("text") != "") | (F.col("block") == MOST_BLOCKS)).withColumn("v", F.when(sized & (F.col("block") < MOST_BLOCKS), F.try_parse_json("text"))).select(*KEY, "block", sized.alias("sized"), "v"))
+    said = F.when(F.col("block") == MOST_BLOCKS, "The JSON-LD block limit was reached.").when(~F.col("sized"), "An oversized JSON-LD block was skipped.").otherwise("A malformed JSON-LD block was skipped.")
+    rejects = read.where(F.col("v").isNull() & (F.col("block") <= MOST_BLOCKS)).select(*KEY, "block", said.alias("message"))
+    rows = read.where("v IS NOT NULL").select(*KEY, "block", F.array().cast("array<int>").alias("path"), "v")
+    kind, kinds = F.expr("try_variant_get(v, '$.@type', 'string')"), F.expr("try_variant_get(v, '$.@type', 'array<variant>')")
+    # A list of types may hold others than strings.
+    named = F.exists(kinds, lambda k: F.coalesce(F.when(F.schema_of_variant(k) == "STRING", F.try_variant_get(k, "$", "string") == "JobPosting"), F.lit(False)))
+    posting = F.when(F.schema_of_variant(F.expr("try_variant_get(v, '$.@type', 'variant')")) == "STRING", kind == "JobPosting").otherwise(named)
+    found = []
+    while not rows.isEmpty():
+        found.append(rows.where(~_one("v") & F.coalesce(posting, F.lit(False))).select(*KEY, "block", "path", F.col("v").alias("object")))
+        items = F.when(_one("v"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.expr("try_variant_get(v, '$.@graph', 'array<variant>')"))
+        rows = rows.select(*KEY, "block", "path", F.posexplode(items).alias("i", "w")).select(*KEY, "block", F.concat("path", F.array("i")).alias("path"), F.col("w").alias("v"))
+        rows = checkpointed(rows.where("v IS NOT NULL"))
+    none = read.where(F.lit(False)).select(*KEY, "block", F.array().cast("array<int>").alias("path"), F.col("v").alias("object"))
+    return reduce(DataFrame.unionAll, found, none), rejects
 
 
 def _value(path: str) -> Column:
@@ -118,51 +158,111 @@ def _places(path: str) -> Column:
 
 
 def job_postings(pages: DataFrame) -> DataFrame:
-    """Decoded JobPosting objects; valid is false where required fields are missing."""
-    rows = json_ld(pages)
+    """Decoded JobPosting objects of pages; valid is false where required fields are missing."""
+    tree = checkpointed(page_tree(_with_page(pages)))
+    return _decoded_postings(_with_page(pages), tree, json_ld(tree)[0])
+
+
+def _with_page(pages: DataFrame) -> DataFrame:
+    return pages if "page" in pages.columns else pages.withColumn("page", F.xxhash64("html", "company"))
+
+
+def _salary() -> Column:
+    """baseSalary as JSON, if it is there."""
+    return F.expr("CASE WHEN try_variant_get(object, '$.baseSalary', 'variant') IS NOT NULL THEN to_json(try_variant_get(object, '$.baseSalary', 'variant')) END")
+
+
+def _decoded_postings(pages: DataFrame, tree: DataFrame, objects: DataFrame) -> DataFrame:
+    """objects as postings, with evidence for title, company and URL."""
+    about = pages.select(*KEY, "company").distinct().join(canonical_links(tree), KEY, "left")
+    rows = objects.join(about, KEY)
     link = lambda path: resolve(_value(path), F.col("url"))
     organization = F.coalesce(_value("$.hiringOrganization.name"), _value("$.hiringOrganization"))
-    canonical = F.coalesce(link("$.url"), link("$.mainEntityOfPage"), link("$.mainEntityOfPage.@id"), link("$.mainEntityOfPage.url"), "canonical", "url")
+    rows = rows.withColumns({"organization": organization, "own": link("$.url"), "entity": F.coalesce(link("$.mainEntityOfPage"), link("$.mainEntityOfPage.@id"), link("$.mainEntityOfPage.url"))})
+    by = F.when(F.col("own").isNotNull(), "json-ld.url").when(F.col("entity").isNotNull(), "json-ld.mainEntityOfPage").when(F.col("canonical").isNotNull(), "html-canonical").otherwise("final-url")
+    proof = lambda field, source, confidence: F.struct(F.lit(field).alias("field"), source.alias("source"), F.lit(confidence).alias("confidence"))
+    evidence = F.array(proof("title", F.lit("json-ld.title"), 1.0), proof("company", F.when(F.col("organization").isNull(), "configured-company").otherwise("json-ld.hiringOrganization"), 0.95), proof("canonicalUrl", by, 0.95))
+    direct = F.expr("try_variant_get(object, '$.directApply', 'variant')")
     out = rows.select(
-        "url", "block", "i", "k", _value("$.title").alias("title"), F.coalesce(organization, presence(clean(F.col("company")))).alias("company"), _value("$.description").alias("description"), link("$.applicationUrl").alias("application_url"),
-        canonical.alias("canonical_url"), F.coalesce(_value("$.identifier"), _value("$.identifier.value"), _value("$.identifier.name")).alias("external_id"), _first_string("$.employmentType").alias("employment_type"),
+        *KEY, "block", "path", _value("$.title").alias("title"), F.coalesce("organization", presence(clean(F.col("company")))).alias("company"), _value("$.description").alias("description"), link("$.applicationUrl").alias("application_url"),
+        F.coalesce("own", "entity", "canonical", "url").alias("canonical_url"), F.coalesce(_value("$.identifier"), _value("$.identifier.value"), _value("$.identifier.name")).alias("external_id"), _first_string("$.employmentType").alias("employment_type"),
         F.coalesce(_places("$.jobLocation"), _places("$.applicantLocationRequirements")).alias("location_text"), _value("$.jobLocationType").alias("workplace_type"),
-        iso_timestamp(_value("$.datePosted")).alias("published_at"), iso_timestamp(_value("$.validThrough")).alias("expires_at"), F.lit("json-ld").alias("strategy"), F.lit(0.95).alias("confidence"),
+        iso_timestamp(_value("$.datePosted")).alias("published_at"), iso_timestamp(_value("$.validThrough")).alias("expires_at"), F.lit("json-ld").alias("strategy"), F.lit(0.95).alias("confidence"), evidence.alias("evidence"),
+        F.when(direct.isNotNull(), F.coalesce(F.schema_of_variant(direct) == "BOOLEAN", F.lit(False)) & F.coalesce(F.try_variant_get(direct, "$", "boolean"), F.lit(False))).alias("direct_apply"),
+        _value("$.industry").alias("industry"), _value("$.occupationalCategory").alias("occupational_category"), _salary().alias("base_salary"),
     )
     return out.withColumn("valid", F.col("title").isNotNull() & F.col("company").isNotNull() & (F.col("description").isNotNull() | F.col("application_url").isNotNull()))
 
 
-def links(pages: DataFrame, maximum: int = 50) -> DataFrame:
-    """(url, link, reason, pos): job-like links of a page in first-seen order, maximum at most."""
-    area = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<(?:main|article)\b.*?</(?:main|article)>|<[a-z]+\b[^>]*class\s*=\s*[\"'][^\"']*job[^\"']*[\"'].*?</"), F.lit(0)), "\n")
-    anchor = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-    found = F.arrays_zip(F.regexp_extract_all(area, F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all(area, F.lit(anchor), F.lit(2)).alias("inner"))
-    rows = pages.select("url", F.posexplode(found).alias("pos", "a"))
-    rows = rows.select("url", "pos", F.col("a.href").alias("href"), F.coalesce(inner_text(F.col("a.inner")), F.lit("")).alias("text"))
-    rows = rows.where(~F.col("href").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(APPLY_TEXT)).withColumn("link", resolve(F.col("href"), F.col("url")))
+# -- what a page shows
+
+
+def anchors(tree: DataFrame) -> DataFrame:
+    """(url, page, pos, href, text, offered): anchors with a target; offered: in an area of
+    job links, or marked as an item's URL."""
+    here = tree.where(F.col("name") == "a").withColumn("href", attribute("href")).where("href IS NOT NULL")
+    offered = (F.col("in_area") - has_class("job").cast("int") > 0) | is_item("url")
+    text = inner_texts(here, tree).select(*KEY, "pos", clean(F.col("inner")).alias("text"))
+    return here.select(*KEY, "pos", "href", offered.alias("offered")).join(text, [*KEY, "pos"])
+
+
+def job_links(found: DataFrame, maximum: int) -> DataFrame:
+    """(url, page, link, reason, pos): job-like links among anchors in first-seen order, maximum a page."""
+    rows = found.where(F.col("offered") & ~F.col("href").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(APPLY_TEXT)).withColumn("link", resolve(F.col("href"), F.col("url")))
     path = F.regexp_extract("link", r"^[a-z]+://[^/]*([^?#]*)", 1)
     rows = rows.withColumn("path", path).where((F.col("link") != F.col("url")) & ~F.col("path").rlike("(?i)/apply(?:/|$)") & (F.col("path").rlike(JOB_PATH) | F.col("text").rlike(JOB_TEXT)))
-    first = rows.groupBy("url", "link").agg(F.min("pos").alias("pos"), F.any_value("path").alias("path"))
-    from pyspark.sql import Window
+    first = rows.groupBy(*KEY, "link").agg(F.min("pos").alias("pos"), F.any_value("path").alias("path"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy("pos"))).where(F.col("n") <= maximum)
+    return ranked.select(*KEY, "link", F.when(F.col("path").rlike(JOB_PATH), "job-like-path").otherwise("job-like-anchor-text").alias("reason"), "pos")
+
 
-    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).where(F.col("n") <= maximum)
-    return ranked.select("url", "link", F.when(F.col("path").rlike(JOB_PATH), "job-like-path").otherwise("job-like-anchor-text").alias("reason"), "pos")
+def links(pages: DataFrame, maximum: int = 50) -> DataFrame:
+    """(url, link, reason, pos): job-like links of a page in first-seen order, maximum at most."""
+    company = pages if "company" in pages.columns else pages.withColumn("company", F.lit(None).cast("string"))
+    return job_links(anchors(page_tree(_with_page(company))), maximum).drop("page")
 
 
 def semantic_jobs(pages: DataFrame) -> DataFrame:
-    """A posting from a page's heading and content, with its confidence."""
-    tags = {
-        "title_tag": r"(?is)itemprop\s*=\s*[\"']title[\"'][^>]*>(.*?)<", "h1": r"(?is)<h1\b[^>]*>(.*?)</h1>", "site": r"(?is)<meta\b[^>]*property\s*=\s*[\"']og:site_name[\"'][^>]*content\s*=\s*[\"']([^\"']*)[\"']",
-        "organization": r"(?is)itemprop\s*=\s*[\"']hiringOrganization[\"'][^>]*>(.*?)<", "marked": r"(?is)<[a-z]+\b[^>]*(?:class|id)\s*=\s*[\"'][^\"']*job-description[^\"']*[\"'][^>]*>(.*?)</(?:div|section|article|main)>",
-        "article": r"(?is)<article\b[^>]*>(.*?)</article>", "main": r"(?is)<main\b[^>]*>(.*?)</main>", "apply": r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>\s*(?:apply|apply now|submit application)\s*</a>",
+    """A posting from a page's heading and content, with its confidence and evidence."""
+    tree = checkpointed(page_tree(_with_page(pages)))
+    return _semantic(_with_page(pages), tree, anchors(tree))
+
+
+def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame) -> DataFrame:
+    name = F.col("name")
+    e = tree.where("name IS NOT NULL").withColumns({"prop": attribute("itemprop"), "of": F.when(name == "meta", attribute("property")), "when": attribute("datetime")})
+    prop = lambda p: F.coalesce(F.col("prop") == p, F.lit(False))
+    id_ = F.coalesce(F.lower(attribute("id")).contains("job-description"), F.lit(False))
+    wanted = {
+        "title": prop("title") | (name == "h1"), "organization": prop("hiringOrganization"), "site": prop("hiringOrganization") | F.coalesce(F.col("of") == "og:site_name", F.lit(False)),
+        "content": prop("description") | has_class("job-description") | id_ | name.isin("article", "main"), "place": prop("jobLocation") | (name == "address"), "kind": prop("employmentType"),
+        "date": prop("datePosted") | ((name == "time") & F.col("when").isNotNull()),
     }
-    noise = r"(?is)<(script|style|noscript|svg|canvas|iframe|template|nav|footer)\b.*?</\1>"
-    found = pages.select("url", "company", *(F.regexp_extract("html", p, 1).alias(k) for k, p in tags.items()))
-    first = lambda *names: F.coalesce(*(F.nullif(n, F.lit("")) for n in names))
-    found = found.select("url", "company", first("title_tag", "h1").alias("title"), first("site", "organization").alias("named"), F.regexp_replace(first("marked", "article", "main"), noise, " ").alias("content"), first("apply").alias("apply"))
-    a = found.select("url", inner_text(F.col("title")).alias("title"), presence(clean(F.col("named"))).alias("named"), presence(clean(F.col("company"))).alias("configured"), F.left(html_to_text(F.col("content")), F.lit(MOST_DESCRIPTION)).alias("description"), resolve(F.col("apply"), F.col("url")).alias("application_url"))
-    confidence = F.least(F.lit(1.0), 0.4 + F.when(F.col("description").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col("named").isNotNull(), 0.2).otherwise(0.1) + F.when(F.col("application_url").isNotNull(), 0.15).otherwise(0.0))
-    out = a.select("url", "title", F.coalesce("named", "configured").alias("company"), "description", "application_url", F.round(confidence, 4).alias("confidence"), F.lit("semantic-html").alias("strategy"))
+    spot = F.struct("pos", "idx", "last", F.col("attrs.content").alias("content"), "when", "in_noise")
+    first = e.groupBy(*KEY).agg(*(F.min(F.when(on, spot)).alias(k) for k, on in wanted.items()))
+    texts = first.select(*KEY, F.explode(F.array(*(F.struct(F.lit(k).alias("of"), F.col(f"{k}.pos").alias("pos"), F.col(f"{k}.idx").alias("idx"), F.col(f"{k}.last").alias("last")) for k in ("title", "organization", "place", "kind")))).alias("x")).select(*KEY, "x.*").where("pos IS NOT NULL")
+    spoken = texts.join(inner_texts(texts.select(*KEY, "pos", "idx", "last").distinct(), tree), [*KEY, "pos"]).select(*KEY, "of", presence(clean(F.col("inner"))).alias("inner"))
+    spoken = spoken.groupBy(*KEY).pivot("of", ["title", "organization", "place", "kind"]).agg(F.first("inner"))
+    boxes = first.where("content IS NOT NULL").select(*KEY, "content.pos", "content.idx", "content.last", "content.in_noise")
+    body = block_text(boxes, tree, LINE_ENDS, "noise", MOST_DESCRIPTION).select(*KEY, F.col("text").alias("description"))
+    labelled = labelled_values(tree, ["location", "employment type"]).groupBy(*KEY).pivot("label", ["location", "employment type"]).agg(F.first("value"))
+    apply = found.where(F.col("text").rlike(APPLY_TEXT)).withColumn("link", resolve(F.col("href"), F.col("url"))).where("link IS NOT NULL").groupBy(*KEY).agg(F.min_by("link", "pos").alias("application_url"))
+    site = first.select(*KEY, F.col("site.content").alias("site"), F.col("date.when").alias("date"))
+    rows = pages.select(*KEY, "company").distinct()
+    for part in (site, spoken, body, labelled, apply, canonical_links(tree)):
+        rows = rows.join(part, KEY, "left")
+    # The first of either kind may say nothing; then an organization's own text counts.
+    rows = rows.withColumn("named", presence(clean(F.when(F.col("site").isNotNull(), F.col("site")).otherwise(F.col("organization")))))
+    score = F.round(F.least(F.lit(1.0), 0.4 + F.when(F.col("description").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col("named").isNotNull(), 0.2).otherwise(0.1) + F.when(F.col("application_url").isNotNull(), 0.15).otherwise(0.0)), 4)
+    proof = lambda field, source, confidence: F.struct(F.lit(field).alias("field"), source.alias("source"), confidence.alias("confidence"))
+    evidence = F.array_compact(F.array(
+        proof("title", F.lit("semantic-heading"), F.lit(0.8)), proof("company", F.when(F.col("named").isNull(), "configured-company").otherwise("semantic-organization"), F.when(F.col("named").isNull(), 0.7).otherwise(0.8)),
+        F.when(F.col("description").isNotNull(), proof("description", F.lit("semantic-content-container"), F.lit(0.7))),
+    ))
+    out = rows.select(
+        *KEY, "title", F.coalesce("named", presence(clean(F.col("company")))).alias("company"), "description", "application_url", F.coalesce("canonical", "url").alias("canonical_url"), F.coalesce("location", "place").alias("location_text"),
+        F.coalesce("employment type", "kind").alias("employment_type"), iso_timestamp(presence(clean(F.col("date")))).alias("published_at"), F.lit("semantic-html").alias("strategy"), score.alias("confidence"), evidence.alias("evidence"),
+    )
     return out.where("title IS NOT NULL AND company IS NOT NULL AND (description IS NOT NULL OR application_url IS NOT NULL) AND confidence >= 0.65")
 
 
@@ -173,20 +273,58 @@ def browser_reason(html: Column, n_links: Column) -> Column:
     return F.when(body.rlike("(?i)javascript (?:is )?required|enable javascript"), "javascript-required").when((n_links == 0) & scripts & (root | (F.length(body) < 300)), "client-rendered-app-shell")
 
 
-def crawl(pages: DataFrame, roots: DataFrame, depth: int = 2, most_pages: int = 60, most_links: int = 50) -> DataFrame:
-    """(url, depth) of the pages reached from roots over job-like links, breadth first."""
-    from ..scratch import checkpointed
-
-    if not 0 <= depth <= 2:
-        raise ValueError("depth is 0, 1 or 2")
-    seen = checkpointed(roots.select("url", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for d in range(1, depth + 1):
-        room = most_pages - seen.count()
-        if room <= 0:
-            break
-        found = links(pages.join(frontier.select("url"), "url", "left_semi"), most_links)
-        new = found.groupBy(F.col("link").alias("url")).agg(F.min(F.struct("url", "pos")).alias("at")).join(seen, "url", "left_anti").join(pages.select("url").distinct(), "url", "left_semi")
-        frontier = checkpointed(new.orderBy("at").limit(room).select("url", F.lit(d).alias("depth")))
-        seen = checkpointed(seen.unionAll(frontier))
-    return seen
+# -- a page's stages together
+
+_POSTING = ["title", "company", "description", "application_url", "canonical_url", "external_id", "employment_type", "location_text", "workplace_type", "published_at", "expires_at", "strategy", "confidence", "evidence", "direct_apply", "industry", "occupational_category", "base_salary"]
+
+
+@dataclass
+class Extraction:
+    """By (url, page): postings with their place on the page (nth), links, and one row a page
+    with its state: blocked_reason, n_postings, n_links, browser_reason, messages
+    (warnings in order) and detections (a known board's provider and host)."""
+
+    postings: DataFrame
+    links: DataFrame
+    pages: DataFrame
+
+
+def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
+    """What pages (url, html, company) hold. A blocked page has a warning and nothing else;
+    headings are read only where neither JSON-LD nor links gave anything; a browser is asked
+    for only where no posting was found. Repeated pages count once; a null html is an empty page."""
+    pages = _with_page(pages).select(*KEY, "company", F.coalesce("html", F.lit("")).alias("html")).groupBy(*KEY).agg(F.first("company").alias("company"), F.first("html").alias("html"))
+    pages = checkpointed(pages.withColumn("blocked_reason", blocked_reason(F.col("html"))))
+    clear = pages.where("blocked_reason IS NULL")
+    tree = checkpointed(page_tree(clear))
+    objects, rejects = json_ld(tree)
+    decoded = checkpointed(_decoded_postings(clear, tree, objects))
+    found = checkpointed(anchors(tree))
+    linked = checkpointed(job_links(found, most_links))
+    structured = decoded.where("valid")
+    told = structured.select(*KEY).unionAll(linked.select(*KEY)).distinct()
+    bare = clear.join(told, KEY, "left_anti")
+    shown = _semantic(bare, tree.join(bare.select(*KEY), KEY, "left_semi"), found.join(bare.select(*KEY), KEY, "left_semi"))
+    both = structured.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "path"))).unionByName(shown.withColumn("nth", F.lit(1)), allowMissingColumns=True)
+    postings = checkpointed(both.select(*KEY, "nth", *_POSTING))
+
+    canonical = canonical_links(tree)
+    said = lambda order, url: F.struct(F.lit(order).alias("o"), F.col("nth").alias("nth"), F.col(url).alias("v"))
+    named = [
+        pages.where("blocked_reason IS NULL").select(*KEY, F.struct(F.lit(0).alias("o"), F.lit(0).alias("nth"), F.col("url").alias("v")).alias("x")), canonical.select(*KEY, F.struct(F.lit(1).alias("o"), F.lit(0).alias("nth"), F.col("canonical").alias("v")).alias("x")),
+        postings.select(*KEY, F.explode(F.array(said(2, "canonical_url"), said(2, "application_url"))).alias("x")), linked.select(*KEY, F.struct(F.lit(3).alias("o"), F.col("pos").alias("nth"), F.col("link").alias("v")).alias("x")),
+    ]
+    hosts = reduce(DataFrame.unionAll, named).select(*KEY, F.col("x.o").alias("o"), F.col("x.nth").alias("nth"), ats_provider(F.col("x.v")).alias("provider"), host(F.col("x.v")).alias("host")).where("provider IS NOT NULL")
+    each = hosts.groupBy(*KEY, "provider").agg(F.min(F.struct("o", "nth")).alias("first"), F.max_by("host", F.struct("o", "nth")).alias("host"))
+    detections = each.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "provider", "host"))), lambda x: F.struct(x["provider"].alias("provider"), x["host"].alias("host"))).alias("detections"))
+    skipped = decoded.where("NOT valid").select(*KEY, F.lit(1).alias("stage"), "block", "path", F.lit("A malformed or incomplete JobPosting object was skipped.").alias("message"))
+    warned = rejects.select(*KEY, F.lit(0).alias("stage"), "block", F.array().cast("array<int>").alias("path"), "message").unionAll(skipped)
+    messages = warned.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "block", "path", "message"))), lambda x: x["message"]).alias("messages"))
+    state = pages
+    for part in (postings.groupBy(*KEY).agg(F.count("*").alias("n_postings")), linked.groupBy(*KEY).agg(F.count("*").alias("n_links")), messages, detections):
+        state = state.join(part, KEY, "left")
+    state = state.withColumns({"n_postings": F.coalesce("n_postings", F.lit(0)), "n_links": F.coalesce("n_links", F.lit(0)), "detections": F.coalesce("detections", F.array().cast("array<struct<provider:string,host:string>>"))})
+    stop = F.array(F.concat(F.lit("Blocked page detected: "), F.col("blocked_reason"), F.lit(".")))
+    state = state.withColumn("messages", F.when(F.col("blocked_reason").isNotNull(), stop).otherwise(F.coalesce("messages", F.array().cast("array<string>"))))
+    reason = F.when(F.col("blocked_reason").isNull() & (F.col("n_postings") == 0), browser_reason(F.col("html"), F.col("n_links")))
+    return Extraction(postings, linked, checkpointed(state.withColumn("browser_reason", reason).drop("html")))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from hireloom.operators import store
 from hireloom.operators.collect import normalize_candidates, source_counts
 from hireloom.sources.boards import board_a, board_b, invalid_envelopes
-from hireloom.sources.pages import blocked_reason, crawl, job_postings, links, semantic_jobs
+from hireloom.sources.crawl import crawl
+from hireloom.sources.pages import blocked_reason, job_postings, links, semantic_jobs
 
 AT = "2026-07-29T10:00:00.000Z"
 
@@ -45,7 +46,7 @@ def test_semantic_blocked_and_crawl(spark):
     s = {r.url: r for r in semantic_jobs(pages).collect()}["https://x.test/jobs/1"]
     assert (s.title, s.company, s.application_url, s.confidence) == ("Dev", "Co", "https://x.test/apply", 0.9) and "Work & play" in s.description
     assert [r.b for r in pages.select(blocked_reason(F.col("html")).alias("b")).collect()] == [None, None, "captcha"]
-    reached = crawl(pages, spark.createDataFrame([("https://x.test/",)], "url string"), depth=1).collect()
+    reached = crawl(pages, spark.createDataFrame([("https://x.test/", 1)], "url string, depth int")).visits.collect()
     assert {(r.url, r.depth) for r in reached} == {("https://x.test/", 0), ("https://x.test/jobs/1", 1)}
 
 
