@@ -8,8 +8,8 @@ gap from the end of one to the start of the other is at most ``scope`` code poin
 however long they are; a string is never its own complement. The interval join is
 a sweep: ends and starts of all parts are events in order of place. At a part's
 start the last end of each role so far is the nearest before it, at its end the
-next start of each role the nearest after it, so a text full of parts costs its
-length and never its square.
+next start of each role the nearest after it. Places are running sums over a text's matches as rows, so a
+text full of parts costs its length and never its square.
 
 Spans are code points, end exclusive. A null text is an empty one; an empty
 text has no spans. Repeated rows get equal results, whatever their ids. Other
@@ -41,26 +41,23 @@ ORDER = [*STRONG, *(k for k, _, _ in WEAK)]
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def find_spans(text: Column, kind: str, pattern: str, least: tuple[int, int] | None = None) -> Column:
-    """All leftmost non-overlapping matches as sorted array<struct<start, rank, end>>.
-
-    The pieces between matches, from split(), give the positions: a match starts
-    after the pieces and matches before it. least: a group and the length it needs.
-    """
+def lengths(text: Column, pattern: str, least: tuple[int, int] | None = None) -> Column:
+    """All leftmost non-overlapping matches in order, as array<struct<gap, hit, kept>>: the
+    lengths of what stands before a match and of itself. least: a group and the length it needs."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(least[0])) if least else found
-    gaps = F.split(text, pattern, -1)
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), part.alias("part"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), part.alias("part"))
+    sized = F.transform(rows, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["part"]) >= (least[1] if least else 1)).alias("kept")))
+    return F.when(text.rlike(pattern), sized).otherwise(F.array().cast("array<struct<gap:int,hit:int,kept:boolean>>"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(ORDER.index(kind)).alias("rank"), end.alias("end"))
-        kept = F.length(x["part"]) >= (least[1] if least else 1)
-        return F.struct(end.alias("at"), F.when(kept, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, state, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+def places(matches: DataFrame) -> DataFrame:
+    """(_hl_key, s): spans of the matches (_hl_key, and lengths() under the names of ORDER), a row each."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.col(k).alias("m")) for i, k in enumerate(ORDER))))
+    rows = matches.select("_hl_key", each.alias("x")).where(F.size("x.m") > 0).select("_hl_key", F.col("x.rank").alias("rank"), F.posexplode("x.m").alias("nth", "m"))
+    end = F.sum(F.col("m.gap") + F.col("m.hit")).over(Window.partitionBy("_hl_key", "rank").orderBy("nth")).cast("int")
+    rows = rows.withColumn("end", end).where("m.kept")
+    return rows.select("_hl_key", F.struct((F.col("end") - F.col("m.hit")).alias("start"), "rank", "end").alias("s"))
 
 
 def render(spans: Column) -> Column:
@@ -79,13 +76,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     strong = {"assign": (ASSIGN, (2, 6)), "access": (ACCESS, None), "hex": (HEX, None)}
     rows = docs.select(
         F.col(id_col).alias(id_col), wide_hash(text).alias("_hl_key"), F.length(text).alias("n_chars"),
-        *(find_spans(text, k, p, least).alias(k) for k, (p, least) in strong.items()),
-        *(find_spans(text, k, p).alias(k) for k, p, _ in WEAK),
+        *(lengths(text, p, least).alias(k) for k, (p, least) in strong.items()),
+        *(lengths(text, p).alias(k) for k, p, _ in WEAK),
     )
-    rows = rows.withColumn("base", F.array_sort(F.concat(*STRONG))).withColumn("weak", F.array_sort(F.concat(*(k for k, _, _ in WEAK))))
-    rows = saved(rows.drop(*ORDER), "spans")
+    rows = saved(rows, "matches")
+    # Equal texts are looked at once.
+    some = F.greatest(*(F.size(k) for k in ORDER)) > 0
+    found = saved(places(rows.where(some).groupBy("_hl_key").agg(*(F.first(k).alias(k) for k in ORDER))), "spans")
 
-    parts = rows.where(F.size("weak") > 0).select("_hl_key", F.explode(F.concat("base", "weak")).alias("s")).distinct()
+    weak_keys = found.where(F.col("s.rank") >= len(STRONG)).select("_hl_key").distinct()
+    parts = found.join(weak_keys, "_hl_key", "left_semi")
     role = F.get(F.array(*(F.lit(ROLE[k]) for k in ORDER)), F.col("s.rank"))
     event = lambda name, is_start: F.struct(F.col(f"s.{name}").alias("at"), F.lit(is_start).alias("is_start"))
     events = parts.select("_hl_key", "s", role.alias("role"), F.explode(F.array(event("end", 0), event("start", 1))).alias("e")).select("_hl_key", "s", "role", "e.at", "e.is_start")
@@ -99,9 +99,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     met = met.groupBy("_hl_key", "s", "role").agg(*(F.bool_or(f"has_{r}").alias(f"has_{r}") for r in ("id", "secret")))
     needs = {"id": F.col("has_secret"), "secret": F.col("has_id"), "endpoint": F.col("has_id") & F.col("has_secret")}
     weak = met.where((F.col("s.rank") >= len(STRONG)) & F.coalesce(*(F.when(F.col("role") == r, c) for r, c in needs.items())))
-    linked = weak.groupBy("_hl_key").agg(F.collect_list("s").alias("linked"))  # the parts of one text
-    spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN))))
-    return rows.join(linked, "_hl_key", "left").select(id_col, "n_chars", "base", spans.alias("spans"))
+    every = found.where(F.col("s.rank") < len(STRONG)).unionAll(weak.select("_hl_key", "s"))
+    # The spans of one text; of a text without any there is no row.
+    spans = every.groupBy("_hl_key").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    none = F.array().cast(SPAN)
+    out = rows.select(id_col, "n_chars", "_hl_key").join(saved(spans, "sorted"), "_hl_key", "left").select(id_col, "n_chars", F.coalesce("spans", none).alias("spans"))
+    return out.select(id_col, "n_chars", F.filter("spans", lambda s: s["rank"] < len(STRONG)).alias("base"), "spans")
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
