@@ -16,9 +16,11 @@ of distinct vectors by its nature (a tile meets every tile); rows sent are the
 number of vectors times the number of tiles.
 
 A vector that is null, empty, zero or holds a null or non-finite component is linked
-with nothing; vectors of different lengths are not linked. Rows with equal ids
-share a component. An empty table gives an empty result. Labels and other columns
-are not read.
+with nothing; vectors of different lengths are not linked. Rows stand for themselves,
+whatever their ids: those of equal ids are linked by their vectors only, those of null
+id are linked like others. component_id is the least id that is there in a component,
+null if none is; a row is kept if its id is that. An empty table gives an empty result.
+Labels and other columns are not read.
 """
 
 from __future__ import annotations
@@ -125,35 +127,37 @@ def _compare(dealt: DataFrame, axes: np.ndarray, threshold: float, id_type: str)
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = 4096, least_tiles: int = 16) -> DataFrame:
     """(id_col, n_links, component_id, kept): one row a row of vectors."""
-    id_type = vectors.schema[id_col].dataType.simpleString()
     x = F.col(vector_col).cast("array<double>")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(odd, F.lit(True)) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.when(good, F.col(vector_col)).alias("x"))
     plain = F.transform("x", lambda v: v + F.lit(0.0))  # -0.0 is 0.0
     rows = rows.withColumn("h1", F.when(F.col("x").isNotNull(), F.xxhash64(plain))).withColumn("h2", F.xxhash64(F.lit("second"), plain))
-    classes = saved(rows.where("x IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("x").alias("x")), "vectors")
+    classes = rows.where("x IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("x").alias("x"))
+    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     found = None
     for dim, count in classes.groupBy(F.size("x")).count().collect():  # as a rule one
         of = classes.where(F.size("x") == dim)
         axes = principal_axes(of, dim)
         tiles = max(least_tiles, -(-count // tile))
-        own = F.pmod(F.xxhash64("id", "h1"), F.lit(tiles)).cast("int")
+        own = F.pmod(F.xxhash64("cid"), F.lit(tiles)).cast("int")
         pair = lambda t, k: F.struct(F.least(t, k).alias("i"), F.greatest(t, k).alias("j"))
-        dealt = of.select("id", "n", "x", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("k"))
+        dealt = of.select(F.col("cid").alias("id"), "n", "x", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("k"))
         dealt = dealt.select("id", "n", "x", "tile", pair(F.col("tile"), F.col("k")).alias("p")).select("id", "n", "x", "tile", "p.i", "p.j")
-        part = _compare(dealt, axes, threshold, id_type)
+        part = _compare(dealt, axes, threshold, "long")
         found = part if found is None else found.unionAll(part)
     if found is None:
-        found = classes.select("id", F.col("n").alias("links"), F.col("id").alias("other"))
+        found = classes.select(F.col("cid").alias("id"), F.col("n").alias("links"), F.col("cid").alias("other"))
     found = saved(found, "links")
-    counts = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
+    counts = found.where("links IS NOT NULL").groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = classes.select("h1", "h2", "id", "n").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    named = saved(named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "named")
+    named = classes.select("h1", "h2", "id", "n", "cid").join(counts, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    named = saved(named.select("h1", "h2", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "cid").alias("group")), "named")
+    least = saved(named.groupBy("group").agg(F.min("id").alias("component")), "least")
+    named = saved(named.select("h1", "h2", "links", "group").join(least, "group").select("h1", "h2", "links", "component"), "component")
     out = rows.select("id", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op7_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
