@@ -34,16 +34,37 @@ def normalize_url(url: Column, removed: list[str] | tuple[str, ...] = (), strip_
     return let(parts, lambda p: _assemble(url, p, list(removed), strip_slash, sort))
 
 
+def host_of(url: Column) -> Column:
+    """struct<scheme, user, host> of a URL, in lower case but for the user; nulls if it is none."""
+    part = lambda k: F.when(url.rlike(_PARTS), F.regexp_extract(url, _PARTS, k))
+    return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("user"), F.lower(part(3)).alias("host"))
+
+
 def _path(path: Column, strip_slash: bool) -> Column:
-    path = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"(?i)%2e", ".")
-    path = F.regexp_replace(F.regexp_replace(path, r"/\.(?=/|$)", ""), " ", "%20")
-    for _ in range(6):  # a/../ at a time
-        path = F.regexp_replace(path, r"^/\.\.(?=/|$)|/(?!\.\.(?:/|$))[^/]*/\.\.(?=/|$)", "")
+    """The path with its dot segments resolved, however many: a stack over the segments that
+    come from the end, of which only the number of segments still to be left out is kept."""
+    path = F.replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"(?i)%2e", "."), F.lit(" "), F.lit("%20"))
+    path = let(path, lambda x: F.when(x.rlike(r"/\.\.?(?:/|$)"), _without_dots(x)).otherwise(x))
     if strip_slash:
         path = F.regexp_replace(path, "/+$", "")
     return let(path, lambda x: F.when(x == "", "/").otherwise(x))
 
 
+def _without_dots(path: Column) -> Column:
+    """/a/./b/../c as /a/c; one that ends in dots keeps its slash."""
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    state = F.struct(F.lit(0).alias("skip"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        drop = (x == ".") | (x == "..") | (s["skip"] > 0)
+        skip = F.when(x == "..", s["skip"] + 1).when((x != ".") & (s["skip"] > 0), s["skip"] - 1).otherwise(s["skip"])
+        return F.struct(skip.alias("skip"), F.when(drop, s["out"]).otherwise(F.concat(F.lit("/"), x, s["out"])).alias("out"))
+
+    end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    # Dots at the end leave an empty last segment, which is no segment to be left out by them.
+    return F.concat(F.aggregate(F.reverse(segments), state, step, lambda s: s["out"]), end)
+
+
 def _assemble(url: Column, p: Column, removed: list[str], strip_slash: bool, sort: bool) -> Column:
     scheme, host, number = F.lower(p["scheme"]), F.lower(p["host"]), p["port"].try_cast("int")
     default = F.when(scheme == "https", "443").when(scheme == "http", "80")

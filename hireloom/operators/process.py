@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .dedup import classify, with_fingerprint
 from .filters import Candidate, hard_filters
+from .mapping import CODE, broken_rule
 from .normalize import HardFilterConfig, normalize
 from .store import latest
 
 DECISION_KEY = ["job_id", "input_revision_number", "normalization_version", "fingerprint_version", "filter_rules_version", "config_fingerprint"]
+#: Fixed value: what a decision says of a posting's own error; the field is beside it.
+ERROR_MESSAGE = "Job processing failed. See structured diagnostics."
 #: Fixed order of the configuration's keys in its fingerprint (a locale's order, not code points').
 _CONFIG_KEYS = {
     "allowedCountries": "allowed_countries", "allowedCountryGroups": "allowed_country_groups", "allowMandatoryPhd": "allow_mandatory_phd", "companyLegalSuffixes": "company_legal_suffixes",
@@ -67,15 +70,20 @@ def status(decision: Column, filtered: Column) -> Column:
 
 
 def decide(jobs: DataFrame, candidate: Candidate, config: HardFilterConfig, processing_time: str) -> DataFrame:
-    """A decision for every posting of the batch."""
-    normalized = with_fingerprint(normalize(jobs, config))
+    """A decision for every posting of the batch. One that cannot be read is an ERROR of its
+    own, with a code and a safe message; it takes no part in the others' decisions."""
+    told = jobs.withColumn("_broken", broken_rule(jobs))
+    wrong = told.where("_broken IS NOT NULL")
+    normalized = with_fingerprint(normalize(told.where("_broken IS NULL").drop("_broken"), config))
     good = hard_filters(classify(normalized.where("valid")), candidate, config, processing_time)
     # confirmed duplicates are not filtered
     dup = F.col("duplicate_decision") == "DUPLICATE"
     good = good.withColumn("reasons", F.when(~dup, F.col("reasons"))).withColumn("filter_decision", F.when(~dup, F.col("filter_decision")))
     good = good.withColumn("processing_status", status(F.col("duplicate_decision"), F.col("filter_decision")))
     bad = normalized.where("NOT valid").withColumn("processing_status", F.lit("NORMALIZATION_FAILED"))
-    out = good.unionByName(bad, allowMissingColumns=True)
+    error = {"processing_status": F.lit("ERROR"), "error_code": F.lit(CODE), "error_field": F.col("_broken.field"), "error_message": F.lit(ERROR_MESSAGE)}
+    failed = wrong.withColumns(error).select("id", "input_revision_number", *error)
+    out = good.unionByName(bad, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True)
     versions = {"normalization_version": V.NORMALIZATION_VERSION, "fingerprint_version": V.FINGERPRINT_VERSION, "filter_rules_version": V.FILTER_VERSION, "config_fingerprint": config_fingerprint(candidate, config), "processed_at": processing_time}
     return out.withColumnRenamed("id", "job_id").withColumns({k: F.lit(v) for k, v in versions.items()})
 

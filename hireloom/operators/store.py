@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The fields whose change makes a revision, in order.
 MEANINGFUL = [
@@ -20,15 +21,48 @@ def identity_fingerprint(company: Column, title: Column, url: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *(F.lower(clean(c)) for c in (company, title, url))), 256)
 
 
-def changed_fields(fields: list[str], old: str = "old", new: str = "new") -> Column:
+#: The fields that hold lists or objects, compared as JSON.
+JSON_FIELDS = ["locations", "required_experience", "required_languages", "skills", "normalized_skills", "metadata"]
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON text with its keys sorted at every level and numbers in one spelling; text that
+    is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(value)), value)
+
+
+def _plain(field: str, value: Column, kinds: dict[str, T.DataType]) -> Column:
+    """What is compared of a field: lists, maps and objects by value, whatever the order of their keys."""
+    kind = kinds.get(field, T.StringType() if field in JSON_FIELDS else None)
+    if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+        return canonical_json(F.to_json(value))
+    return canonical_json(value) if field in JSON_FIELDS and isinstance(kind, T.StringType) else value
+
+
+def kinds_of(rows: DataFrame) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in rows.schema}
+
+
+def changed_fields(fields: list[str], old: str = "old", new: str = "new", kinds: dict[str, T.DataType] | None = None) -> Column:
     """Names of fields whose incoming value is there and differs; absence never clears."""
-    return F.array_compact(F.array(*(F.when(F.col(f"{new}.{f}").isNotNull() & ~F.col(f"{old}.{f}").eqNullSafe(F.col(f"{new}.{f}")), F.lit(f)) for f in fields)))
+    pair = lambda f: (_plain(f, F.col(f"{side}.{f}"), kinds or {}) for side in (old, new))
+    return F.array_compact(F.array(*(F.when(F.col(f"{new}.{f}").isNotNull() & (lambda a, b: ~a.eqNullSafe(b))(*pair(f)), F.lit(f)) for f in fields)))
+
+
+def revision_snapshot(fields: list[str], old: str = "old", new: str = "new", kinds: dict[str, T.DataType] | None = None) -> Column:
+    """JSON of {field: {before, after}} of the changed fields; lists and objects as JSON values."""
+    kinds = kinds or {}
 
+    def value(f: str, side: str) -> Column:
+        at = F.col(f"{side}.{f}")
+        if isinstance(kinds.get(f), T.ArrayType | T.MapType | T.StructType):
+            return F.parse_json(F.to_json(at))
+        if f in JSON_FIELDS and isinstance(kinds.get(f, T.StringType()), T.StringType):
+            return F.coalesce(F.try_parse_json(at), at.cast("variant"))
+        return at.cast("string").cast("variant")
 
-def revision_snapshot(fields: list[str], old: str = "old", new: str = "new") -> Column:
-    """JSON of {field: {before, after}} of the changed fields."""
-    changed = changed_fields(fields, old, new)
-    both = F.create_map(*[x for f in fields for x in (F.lit(f), F.struct(F.col(f"{old}.{f}").cast("string").alias("before"), F.col(f"{new}.{f}").cast("string").alias("after")))])
+    changed = changed_fields(fields, old, new, kinds)
+    both = F.create_map(*[x for f in fields for x in (F.lit(f), F.struct(value(f, old).alias("before"), value(f, new).alias("after")))])
     return F.to_json(F.map_filter(both, lambda k, _: F.array_contains(changed, k)), {"ignoreNullFields": "false"})
 
 

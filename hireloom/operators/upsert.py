@@ -1,12 +1,18 @@
 """Upserting collected postings into the store's tables, and the run's bookkeeping.
 
 The store is five tables; an upsert takes tables and returns tables. Postings are
-taken in order, later ones see what earlier ones did. In Spark that is rounds: a
-posting is ready when no earlier pending one shares an identity signal or a stored
-posting with it, and all ready postings are resolved, compared and written at once
-by joins. A batch needs as many rounds as the longest chain of postings of one
-identity, two or three for a collection, whatever its size; a batch that repeats one
-identity n times needs n.
+taken in order, later ones see what earlier ones did.
+
+Almost all postings are plain: those of one canonical URL share no signal with others,
+give each external id one URL and each URL one external id, and lead to one stored
+posting or all to none. Then the state before a posting is the last value of each field
+that was there, a window over its URL's postings in order, and all of them are written
+at once, however often one identity comes: a constant number of jobs.
+
+The rest is taken in rounds: a posting is ready when no earlier pending one shares an
+identity signal or a stored posting with it, and all ready postings are resolved,
+compared and written at once by joins. That needs as many rounds as the longest chain
+of such entangled postings.
 """
 
 from __future__ import annotations
@@ -14,11 +20,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import checkpointed
-from .store import MEANINGFUL, changed_fields, collection_status, resolve_identity, revision_snapshot, run_totals, upsert_outcome
+from .store import MEANINGFUL, changed_fields, collection_status, kinds_of, resolve_identity, revision_snapshot, run_totals, upsert_outcome
 
 SEEN = ["first_seen_at", "last_seen_at", "last_collected_at"]
 REFERENCE = ["id", "job_id", "source_id", "external_id", "source_url", *SEEN]
@@ -55,24 +61,85 @@ def empty_store(incoming: DataFrame) -> Store:
     )
 
 
-def _ready(found: DataFrame, key: str) -> DataFrame:
-    """Keys of the rows that share no signal and no stored posting with an earlier row."""
+def _signals(found: DataFrame, *keep: str) -> DataFrame:
+    """(keep, signal): what a row's identity is told by, and the stored postings that it leads to."""
     said = lambda name, *cols: F.when(F.concat(*(F.col(c) for c in cols)).isNotNull(), F.to_json(F.struct(F.lit(name).alias("k"), *cols)))
     signals = F.array(said("external", "source_id", "external_id"), said("url", "source_id", "source_url"), said("canonical", "canonical_url"), said("fingerprint", "fingerprint"))
     own = F.concat(F.array_compact(signals), F.transform("job_ids", lambda x: F.concat(F.lit("job "), x.cast("string"))))
-    shared = found.select(key, F.explode(own).alias("signal"))
+    return found.select(*keep, F.explode(own).alias("signal"))
+
+
+def _ready(found: DataFrame, key: str) -> DataFrame:
+    """Keys of the rows that share no signal and no stored posting with an earlier row."""
+    shared = _signals(found, key)
     least = shared.groupBy("signal").agg(F.min(key).alias("least"))
     behind = shared.join(least, "signal").where(F.col("least") < F.col(key)).select(key)
     return found.select(key).join(behind, key, "left_anti")
 
 
+def _plain_urls(found: DataFrame) -> DataFrame:
+    """Canonical URLs whose postings touch no others and are one posting, as the module says."""
+    url = "canonical_url"
+    of = found.where(f"{url} IS NOT NULL")
+    hit = F.when(F.size("job_ids") == 1, F.get("job_ids", F.lit(0)))
+    whole = F.concat("source_id", "external_id", "source_url").isNotNull()
+    least = of.groupBy(url).agg(F.max(F.size("job_ids")).alias("most"), F.min(F.size("job_ids")).alias("least"), F.min(hit).alias("a"), F.max(hit).alias("b"), F.bool_and(whole).alias("whole"))
+    plain = least.where("whole AND most <= 1 AND most = least AND (a = b OR most = 0)").select(url)
+    # A signal of two URLs, or of one without any, is shared.
+    signals = _signals(found, url).groupBy("signal").agg(F.min(url).alias("a"), F.max(url).alias("b"), F.count_if(F.col(url).isNull()).alias("without"))
+    shared = _signals(of, url).join(signals.where("a <> b OR without > 0").select("signal"), "signal", "left_semi").select(url)
+    two = lambda by, other: of.groupBy(url, "source_id", by).agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a <> b").select(url)
+    mixed = shared.unionAll(two("external_id", "source_url")).unionAll(two("source_url", "external_id"))
+    return plain.join(mixed, url, "left_anti")
+
+
+def _apply_plain(batch: DataFrame, store: Store, fields: list[str], key: str) -> tuple[DataFrame, Store]:
+    """All postings of plain URLs at once."""
+    kinds = kinds_of(batch)
+    url = Window.partitionBy("canonical_url").orderBy(key)
+    before = url.rowsBetween(Window.unboundedPreceding, -1)
+    last = store.revisions.groupBy("job_id").agg(F.max("revision_number").alias("last_revision"))
+    both = batch.alias("new").join(store.jobs.alias("old"), F.expr("new.job_id = old.id"), "left").join(last.alias("r"), F.expr("new.job_id = r.job_id"), "left")
+    both = both.select(F.struct("new.*").alias("new"), F.struct(*(F.col(f"old.{f}") for f in fields)).alias("was"), "r.last_revision", f"new.{key}", "new.canonical_url", "new.source_id", "new.external_id")
+    state = F.struct(*(F.coalesce(F.last(F.col(f"new.{f}"), ignorenulls=True).over(before), F.col(f"was.{f}")).alias(f) for f in fields))
+    rows = both.select("new", "last_revision", state.alias("old"), F.row_number().over(url).alias("n"), F.row_number().over(Window.partitionBy("canonical_url", "source_id", "external_id").orderBy(key)).alias("n_reference"), F.first("new.id").over(url).alias("first_id"))
+    created = (F.col("n") == 1) & F.col("new.job_id").isNull()
+    changed = F.when(~created, changed_fields(fields, kinds=kinds)).otherwise(F.array().cast("array<string>"))
+    fresh = F.col("new.reference_id").isNull() & (F.col("n_reference") == 1)
+    outcome = upsert_outcome(F.when(created, "CREATED"), changed, fresh)
+    rows = rows.withColumns({"changed_fields": changed, "fresh": fresh}).withColumn("outcome", outcome)
+    number = F.coalesce("last_revision", F.lit(0)) + F.count_if(F.col("outcome") == "UPDATED").over(Window.partitionBy("new.canonical_url").orderBy(f"new.{key}"))
+    rows = rows.withColumn("revision_number", F.when(F.col("outcome") == "UPDATED", number.cast("int")))
+    snapshot = F.when(F.col("outcome") == "UPDATED", revision_snapshot(fields, kinds=kinds))
+    made = rows.select("new.*", F.coalesce("new.job_id", "first_id").alias("_job"), "changed_fields", "fresh", "outcome", "revision_number", snapshot.alias("snapshot"))
+    made = checkpointed(made.drop("job_id").withColumnRenamed("_job", "job_id"))
+
+    time = F.col("collected_at")
+    ends = made.groupBy("job_id").agg(F.min_by("collected_at", key).alias("first_seen_at"), F.max(time).alias("seen"), F.bool_or(F.col("outcome") == "CREATED").alias("created"), *(F.max_by(f, F.when(F.col(f).isNotNull(), F.col(key))).alias(f) for f in fields))
+    later = lambda c: F.greatest(f"s.{c}", "t.seen").alias(c)  # noqa: E731  a time never goes back
+    jobs = store.jobs.alias("s").join(ends.where("NOT created").alias("t"), F.expr("s.id = t.job_id"), "left").select("s.id", *(F.coalesce(f"t.{f}", f"s.{f}").alias(f) for f in fields), "s.first_seen_at", later("last_seen_at"), later("last_collected_at"))
+    new_jobs = ends.where("created").select(F.col("job_id").alias("id"), *fields, "first_seen_at", F.col("seen").alias("last_seen_at"), F.col("seen").alias("last_collected_at"))
+    known = made.where("reference_id IS NOT NULL").groupBy("reference_id").agg(F.max(time).alias("seen"))
+    references = store.references.alias("s").join(known.alias("t"), F.expr("s.id = t.reference_id"), "left").select(*(f"s.{c}" for c in REFERENCE[:6]), later("last_seen_at"), later("last_collected_at"))
+    met = made.where("reference_id IS NULL").groupBy("source_id", "external_id", "job_id").agg(F.min_by("source_url", key).alias("source_url"), F.min_by("collected_at", key).alias("first_seen_at"), F.max(time).alias("seen"))
+    met = met.select(F.concat_ws(":", "source_id", "external_id", "job_id").alias("id"), "job_id", "source_id", "external_id", "source_url", "first_seen_at", F.col("seen").alias("last_seen_at"), F.col("seen").alias("last_collected_at"))
+    prints = made.where("fingerprint IS NOT NULL AND NOT known_fingerprint").select("fingerprint", "job_id").distinct()
+    revisions = made.where("outcome = 'UPDATED'").select("job_id", "revision_number", time.alias("changed_at"), "changed_fields", "snapshot", "reference_id")
+    history = made.where("outcome = 'CREATED'").select("job_id", F.lit(None).cast("string").alias("from_status"), F.lit("NEW").alias("to_status"), time.alias("changed_at"))
+    return made, Store(
+        checkpointed(jobs.unionByName(new_jobs)), checkpointed(references.unionByName(met)),
+        store.fingerprints.unionByName(prints), store.revisions.unionByName(revisions), store.history.unionByName(history),  # parts that are files already
+    )
+
+
 def _apply(batch: DataFrame, store: Store, fields: list[str]) -> tuple[DataFrame, Store]:
     """One round: batch has resolved rows that don't touch each other."""
     last = store.revisions.groupBy("job_id").agg(F.max("revision_number").alias("last_revision"))
     both = batch.alias("new").join(store.jobs.alias("old"), F.expr("new.job_id = old.id"), "left").join(last.alias("r"), F.expr("new.job_id = r.job_id"), "left")
-    changed = F.when(F.col("new.identity").isNull(), changed_fields(fields)).otherwise(F.array().cast("array<string>"))
+    kinds = kinds_of(batch)
+    changed = F.when(F.col("new.identity").isNull(), changed_fields(fields, kinds=kinds)).otherwise(F.array().cast("array<string>"))
     outcome = upsert_outcome(F.col("new.identity"), changed, F.col("new.reference_id").isNull())
-    made = both.select("new.*", changed.alias("changed_fields"), outcome.alias("outcome"), revision_snapshot(fields).alias("snapshot"), (F.coalesce("r.last_revision", F.lit(0)) + 1).alias("next_revision"))
+    made = both.select("new.*", changed.alias("changed_fields"), outcome.alias("outcome"), revision_snapshot(fields, kinds=kinds).alias("snapshot"), (F.coalesce("r.last_revision", F.lit(0)) + 1).alias("next_revision"))
     made = made.withColumn("job_id", F.when(F.col("outcome") == "CREATED", F.col("id")).otherwise(F.col("job_id")))
     made = checkpointed(made.withColumn("revision_number", F.when(F.col("outcome") == "UPDATED", F.col("next_revision"))).drop("next_revision"))
     created, stored = made.where("outcome = 'CREATED'"), made.where("outcome IN ('UPDATED', 'LINKED_TO_EXISTING', 'UNCHANGED')")
@@ -102,12 +169,20 @@ def upsert(incoming: DataFrame, store: Store, key: str = "position") -> tuple[Da
     different stored ones is a JOB_IDENTITY_CONFLICT and writes nothing.
     """
     fields, pending, parts = _fields(incoming), checkpointed(incoming), []
+    out = [key, "source_id", "job_id", "outcome", "revision_number"]
+    found = resolve_identity(pending, store.jobs, store.references, store.fingerprints, key)
+    found = checkpointed(found.withColumn("job_id", F.when(F.size("job_ids") == 1, F.get("job_ids", F.lit(0)))))
+    plain = checkpointed(_plain_urls(found))
+    if not plain.isEmpty():
+        made, store = _apply_plain(found.join(plain, "canonical_url", "left_semi"), store, fields, key)
+        parts.append(made.select(*out))
+        pending = checkpointed(pending.join(plain, "canonical_url", "left_anti").select(incoming.columns))
     while not pending.isEmpty():
         found = resolve_identity(pending, store.jobs, store.references, store.fingerprints, key)
         found = checkpointed(found.withColumn("job_id", F.when(F.size("job_ids") == 1, F.get("job_ids", F.lit(0)))))
         ready = _ready(found, key)
         made, store = _apply(found.join(ready, key, "left_semi"), store, fields)
-        parts.append(made.select(key, "source_id", "job_id", "outcome", "revision_number"))
+        parts.append(made.select(*out))
         pending = checkpointed(found.join(ready, key, "left_anti").select(incoming.columns))
     none = incoming.limit(0).select(key, "source_id", F.col("id").alias("job_id"), F.lit("").alias("outcome"), F.lit(0).alias("revision_number"))
     return reduce(DataFrame.unionByName, parts, none), store

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, decode_entities, let, presence, unique_by
+from ..functions.text import clean, decode_entities, held, let, presence, unique_by
 
 #: Elements without content, with text only, and what starts end those whose end tags may be left out.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
@@ -142,8 +142,9 @@ def nodes(pages: DataFrame, marks: dict[str, Column] | None = None) -> DataFrame
     element = F.col("name").isNotNull()
     raw = F.regexp_replace(F.regexp_replace("t", _START, ""), r"(?is)</[a-z]+[^>]*>\z", "")
     code = F.coalesce(F.col("name").isin("script", "style"), F.lit(False))
-    text = let(F.when(~element, F.col("t")).when(F.col("raw"), raw), lambda x: F.when(code, x).otherwise(decode_entities(x)))
-    t = t.withColumns({"attrs": F.when(element, _attributes(F.regexp_extract("t", _START, 0))), "text": text}).drop("t")
+    text = held("element text", lambda: let(F.when(~element, F.col("t")).when(F.col("raw"), raw), lambda x: F.when(code, x).otherwise(decode_entities(x))))
+    attrs = held("element attributes", lambda: F.when(element, _attributes(F.regexp_extract("t", _START, 0))))
+    t = t.withColumns({"attrs": attrs, "text": text}).drop("t")
     t = t.withColumns({f"in_{k}": F.coalesce(element & on, F.lit(False)).cast("int") for k, on in marks.items()})
     # An element starts at its place and ends between two; ends come first where both are.
     place, end = F.col("pos") * F.lit(2).cast("long"), F.when(F.col("move") == 1, F.col("at").cast("long") * 2).otherwise(F.col("pos") * F.lit(2).cast("long") + 1)
@@ -177,10 +178,10 @@ def labelled_values(tree: DataFrame, labels: list[str]) -> DataFrame:
     """(url, page, label, value): the text of the element after the first dt, th, strong or b
     that says the label (a colon at its end aside), of those that have any."""
     heads = tree.where(F.col("name").isin("dt", "th", "strong", "b")).select(*KEY, "pos", "idx", "last")
-    said = inner_texts(heads, tree).select(*KEY, "pos", F.regexp_replace(F.lower(clean(F.col("inner"))), ":$", "").alias("label")).where(F.col("label").isin(labels))
+    said = inner_texts(heads, tree).select(*KEY, "pos", held("inner label", lambda: F.regexp_replace(F.lower(clean(F.col("inner"))), ":$", "")).alias("label")).where(F.col("label").isin(labels))
     after = said.join(next_elements(tree), [*KEY, "pos"]).where("next IS NOT NULL").select(*KEY, "label", F.col("next").alias("pos"), F.col("pos").alias("head"))
     some = tree.where("name IS NOT NULL").select(*KEY, "pos", "idx", "last").join(after.select(*KEY, "pos").distinct(), [*KEY, "pos"], "left_semi")
-    values = inner_texts(some, tree).select(*KEY, "pos", presence(clean(F.col("inner"))).alias("value")).where("value IS NOT NULL")
+    values = inner_texts(some, tree).select(*KEY, "pos", held("inner said", lambda: presence(clean(F.col("inner")))).alias("value")).where("value IS NOT NULL")
     return after.join(values, [*KEY, "pos"]).groupBy(*KEY, "label").agg(F.min_by("value", "head").alias("value"))
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, decode_entities, let, presence
+from ..functions.text import clean, decode_entities, held, let, presence
 from ..functions.urls import normalize_url
 from ..operators.collect import iso_timestamp
 from ..scratch import checkpointed
@@ -65,6 +65,11 @@ def resolve(href: Column, base: Column, cross: bool = True) -> Column:
     return let(F.btrim(decode_entities(href)), lambda raw: _resolve(raw, base, cross))
 
 
+def resolved(href: str, base: str = "url", cross: bool = True) -> Column:
+    """resolve() of columns by their names."""
+    return held(f"resolve {href} {base} {cross}", lambda: resolve(F.col(href), F.col(base), cross))
+
+
 def _resolve(raw: Column, base: Column, cross: bool) -> Column:
     directory = F.regexp_extract(base, r"^([^?#]*/)", 1)
     absolute = F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), raw).when(raw.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), raw)).when(raw.startswith("/"), F.concat(origin(base), raw)).when(raw == "", base).when(raw.startswith("#"), F.concat(F.substring_index(base, "#", 1), raw)).when(raw.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), raw)).otherwise(F.concat(directory, raw))
@@ -87,7 +92,7 @@ def canonical_links(tree: DataFrame) -> DataFrame:
     """(url, page, canonical): what the first link of rel canonical leads to, if it is of the page's origin."""
     rel = F.array_contains(F.split(F.lower(attribute("rel")), r"\s+"), "canonical")
     first = tree.where((F.col("name") == "link") & rel).groupBy(*KEY).agg(F.min_by("attrs", "pos").alias("attrs"))
-    return first.select(*KEY, resolve(attribute("href"), F.col("url"), False).alias("canonical")).where("canonical IS NOT NULL")
+    return first.select(*KEY, attribute("href").alias("href")).select(*KEY, resolved("href", cross=False).alias("canonical")).where("canonical IS NOT NULL")
 
 
 # -- structured data
@@ -160,7 +165,7 @@ def _places(path: str) -> Column:
 def job_postings(pages: DataFrame) -> DataFrame:
     """Decoded JobPosting objects of pages; valid is false where required fields are missing."""
     tree = checkpointed(page_tree(_with_page(pages)))
-    return _decoded_postings(_with_page(pages), tree, json_ld(tree)[0])
+    return _decoded_postings(_with_page(pages), canonical_links(tree), json_ld(tree)[0])
 
 
 def _with_page(pages: DataFrame) -> DataFrame:
@@ -172,26 +177,34 @@ def _salary() -> Column:
     return F.expr("CASE WHEN try_variant_get(object, '$.baseSalary', 'variant') IS NOT NULL THEN to_json(try_variant_get(object, '$.baseSalary', 'variant')) END")
 
 
-def _decoded_postings(pages: DataFrame, tree: DataFrame, objects: DataFrame) -> DataFrame:
+def _decoded_postings(pages: DataFrame, canonical: DataFrame, objects: DataFrame) -> DataFrame:
     """objects as postings, with evidence for title, company and URL."""
-    about = pages.select(*KEY, "company").distinct().join(canonical_links(tree), KEY, "left")
-    rows = objects.join(about, KEY)
+    about = pages.select(*KEY, "company").distinct().join(canonical, KEY, "left")
+    return objects.join(about, KEY).withColumns(held("posting URLs", _posting_urls)).select(*held("posting", _posting_columns)).withColumn("valid", F.col("title").isNotNull() & F.col("company").isNotNull() & (F.col("description").isNotNull() | F.col("application_url").isNotNull()))
+
+
+def _posting_urls() -> dict[str, Column]:
     link = lambda path: resolve(_value(path), F.col("url"))
     organization = F.coalesce(_value("$.hiringOrganization.name"), _value("$.hiringOrganization"))
-    rows = rows.withColumns({"organization": organization, "own": link("$.url"), "entity": F.coalesce(link("$.mainEntityOfPage"), link("$.mainEntityOfPage.@id"), link("$.mainEntityOfPage.url"))})
+    return {"organization": organization, "own": link("$.url"), "entity": F.coalesce(link("$.mainEntityOfPage"), link("$.mainEntityOfPage.@id"), link("$.mainEntityOfPage.url")), "application_url": link("$.applicationUrl")}
+
+
+def _proof(field: str, source: Column, confidence: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), source.alias("source"), confidence.alias("confidence"))
+
+
+def _posting_columns() -> list[Column]:
     by = F.when(F.col("own").isNotNull(), "json-ld.url").when(F.col("entity").isNotNull(), "json-ld.mainEntityOfPage").when(F.col("canonical").isNotNull(), "html-canonical").otherwise("final-url")
-    proof = lambda field, source, confidence: F.struct(F.lit(field).alias("field"), source.alias("source"), F.lit(confidence).alias("confidence"))
-    evidence = F.array(proof("title", F.lit("json-ld.title"), 1.0), proof("company", F.when(F.col("organization").isNull(), "configured-company").otherwise("json-ld.hiringOrganization"), 0.95), proof("canonicalUrl", by, 0.95))
+    evidence = F.array(_proof("title", F.lit("json-ld.title"), F.lit(1.0)), _proof("company", F.when(F.col("organization").isNull(), "configured-company").otherwise("json-ld.hiringOrganization"), F.lit(0.95)), _proof("canonicalUrl", by, F.lit(0.95)))
     direct = F.expr("try_variant_get(object, '$.directApply', 'variant')")
-    out = rows.select(
-        *KEY, "block", "path", _value("$.title").alias("title"), F.coalesce("organization", presence(clean(F.col("company")))).alias("company"), _value("$.description").alias("description"), link("$.applicationUrl").alias("application_url"),
+    return [
+        *map(F.col, KEY), F.col("block"), F.col("path"), _value("$.title").alias("title"), F.coalesce("organization", presence(clean(F.col("company")))).alias("company"), _value("$.description").alias("description"), F.col("application_url"),
         F.coalesce("own", "entity", "canonical", "url").alias("canonical_url"), F.coalesce(_value("$.identifier"), _value("$.identifier.value"), _value("$.identifier.name")).alias("external_id"), _first_string("$.employmentType").alias("employment_type"),
         F.coalesce(_places("$.jobLocation"), _places("$.applicantLocationRequirements")).alias("location_text"), _value("$.jobLocationType").alias("workplace_type"),
         iso_timestamp(_value("$.datePosted")).alias("published_at"), iso_timestamp(_value("$.validThrough")).alias("expires_at"), F.lit("json-ld").alias("strategy"), F.lit(0.95).alias("confidence"), evidence.alias("evidence"),
         F.when(direct.isNotNull(), F.coalesce(F.schema_of_variant(direct) == "BOOLEAN", F.lit(False)) & F.coalesce(F.try_variant_get(direct, "$", "boolean"), F.lit(False))).alias("direct_apply"),
         _value("$.industry").alias("industry"), _value("$.occupationalCategory").alias("occupational_category"), _salary().alias("base_salary"),
-    )
-    return out.withColumn("valid", F.col("title").isNotNull() & F.col("company").isNotNull() & (F.col("description").isNotNull() | F.col("application_url").isNotNull()))
+    ]
 
 
 # -- what a page shows
@@ -202,13 +215,13 @@ def anchors(tree: DataFrame) -> DataFrame:
     job links, or marked as an item's URL."""
     here = tree.where(F.col("name") == "a").withColumn("href", attribute("href")).where("href IS NOT NULL")
     offered = (F.col("in_area") - has_class("job").cast("int") > 0) | is_item("url")
-    text = inner_texts(here, tree).select(*KEY, "pos", clean(F.col("inner")).alias("text"))
+    text = inner_texts(here, tree).select(*KEY, "pos", held("clean inner", lambda: clean(F.col("inner"))).alias("text"))
     return here.select(*KEY, "pos", "href", offered.alias("offered")).join(text, [*KEY, "pos"])
 
 
 def job_links(found: DataFrame, maximum: int) -> DataFrame:
     """(url, page, link, reason, pos): job-like links among anchors in first-seen order, maximum a page."""
-    rows = found.where(F.col("offered") & ~F.col("href").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(APPLY_TEXT)).withColumn("link", resolve(F.col("href"), F.col("url")))
+    rows = found.where(F.col("offered") & ~F.col("href").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(EXCLUDED_LINK) & ~F.col("text").rlike(APPLY_TEXT)).withColumn("link", resolved("href"))
     path = F.regexp_extract("link", r"^[a-z]+://[^/]*([^?#]*)", 1)
     rows = rows.withColumn("path", path).where((F.col("link") != F.col("url")) & ~F.col("path").rlike("(?i)/apply(?:/|$)") & (F.col("path").rlike(JOB_PATH) | F.col("text").rlike(JOB_TEXT)))
     first = rows.groupBy(*KEY, "link").agg(F.min("pos").alias("pos"), F.any_value("path").alias("path"))
@@ -225,10 +238,10 @@ def links(pages: DataFrame, maximum: int = 50) -> DataFrame:
 def semantic_jobs(pages: DataFrame) -> DataFrame:
     """A posting from a page's heading and content, with its confidence and evidence."""
     tree = checkpointed(page_tree(_with_page(pages)))
-    return _semantic(_with_page(pages), tree, anchors(tree))
+    return _semantic(_with_page(pages), tree, anchors(tree), canonical_links(tree))
 
 
-def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame) -> DataFrame:
+def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame, canonical: DataFrame) -> DataFrame:
     name = F.col("name")
     e = tree.where("name IS NOT NULL").withColumns({"prop": attribute("itemprop"), "of": F.when(name == "meta", attribute("property")), "when": attribute("datetime")})
     prop = lambda p: F.coalesce(F.col("prop") == p, F.lit(False))
@@ -241,28 +254,18 @@ def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame) -> DataFrame:
     spot = F.struct("pos", "idx", "last", F.col("attrs.content").alias("content"), "when", "in_noise")
     first = e.groupBy(*KEY).agg(*(F.min(F.when(on, spot)).alias(k) for k, on in wanted.items()))
     texts = first.select(*KEY, F.explode(F.array(*(F.struct(F.lit(k).alias("of"), F.col(f"{k}.pos").alias("pos"), F.col(f"{k}.idx").alias("idx"), F.col(f"{k}.last").alias("last")) for k in ("title", "organization", "place", "kind")))).alias("x")).select(*KEY, "x.*").where("pos IS NOT NULL")
-    spoken = texts.join(inner_texts(texts.select(*KEY, "pos", "idx", "last").distinct(), tree), [*KEY, "pos"]).select(*KEY, "of", presence(clean(F.col("inner"))).alias("inner"))
+    spoken = texts.join(inner_texts(texts.select(*KEY, "pos", "idx", "last").distinct(), tree), [*KEY, "pos"]).select(*KEY, "of", held("inner said", lambda: presence(clean(F.col("inner")))).alias("inner"))
     spoken = spoken.groupBy(*KEY).pivot("of", ["title", "organization", "place", "kind"]).agg(F.first("inner"))
     boxes = first.where("content IS NOT NULL").select(*KEY, "content.pos", "content.idx", "content.last", "content.in_noise")
     body = block_text(boxes, tree, LINE_ENDS, "noise", MOST_DESCRIPTION).select(*KEY, F.col("text").alias("description"))
     labelled = labelled_values(tree, ["location", "employment type"]).groupBy(*KEY).pivot("label", ["location", "employment type"]).agg(F.first("value"))
-    apply = found.where(F.col("text").rlike(APPLY_TEXT)).withColumn("link", resolve(F.col("href"), F.col("url"))).where("link IS NOT NULL").groupBy(*KEY).agg(F.min_by("link", "pos").alias("application_url"))
+    apply = found.where(F.col("text").rlike(APPLY_TEXT)).withColumn("link", resolved("href")).where("link IS NOT NULL").groupBy(*KEY).agg(F.min_by("link", "pos").alias("application_url"))
     site = first.select(*KEY, F.col("site.content").alias("site"), F.col("date.when").alias("date"))
     rows = pages.select(*KEY, "company").distinct()
-    for part in (site, spoken, body, labelled, apply, canonical_links(tree)):
+    for part in (site, spoken, body, labelled, apply, canonical):
         rows = rows.join(part, KEY, "left")
-    # The first of either kind may say nothing; then an organization's own text counts.
-    rows = rows.withColumn("named", presence(clean(F.when(F.col("site").isNotNull(), F.col("site")).otherwise(F.col("organization")))))
-    score = F.round(F.least(F.lit(1.0), 0.4 + F.when(F.col("description").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col("named").isNotNull(), 0.2).otherwise(0.1) + F.when(F.col("application_url").isNotNull(), 0.15).otherwise(0.0)), 4)
-    proof = lambda field, source, confidence: F.struct(F.lit(field).alias("field"), source.alias("source"), confidence.alias("confidence"))
-    evidence = F.array_compact(F.array(
-        proof("title", F.lit("semantic-heading"), F.lit(0.8)), proof("company", F.when(F.col("named").isNull(), "configured-company").otherwise("semantic-organization"), F.when(F.col("named").isNull(), 0.7).otherwise(0.8)),
-        F.when(F.col("description").isNotNull(), proof("description", F.lit("semantic-content-container"), F.lit(0.7))),
-    ))
-    out = rows.select(
-        *KEY, "title", F.coalesce("named", presence(clean(F.col("company")))).alias("company"), "description", "application_url", F.coalesce("canonical", "url").alias("canonical_url"), F.coalesce("location", "place").alias("location_text"),
-        F.coalesce("employment type", "kind").alias("employment_type"), iso_timestamp(presence(clean(F.col("date")))).alias("published_at"), F.lit("semantic-html").alias("strategy"), score.alias("confidence"), evidence.alias("evidence"),
-    )
+    rows = rows.withColumn("named", held("organization named", lambda: presence(clean(F.when(F.col("site").isNotNull(), F.col("site")).otherwise(F.col("organization"))))))
+    out = rows.select(*held("semantic posting", _semantic_columns))
     return out.where("title IS NOT NULL AND company IS NOT NULL AND (description IS NOT NULL OR application_url IS NOT NULL) AND confidence >= 0.65")
 
 
@@ -273,6 +276,18 @@ def browser_reason(html: Column, n_links: Column) -> Column:
     return F.when(body.rlike("(?i)javascript (?:is )?required|enable javascript"), "javascript-required").when((n_links == 0) & scripts & (root | (F.length(body) < 300)), "client-rendered-app-shell")
 
 
+def _semantic_columns() -> list[Column]:
+    score = F.round(F.least(F.lit(1.0), 0.4 + F.when(F.col("description").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col("named").isNotNull(), 0.2).otherwise(0.1) + F.when(F.col("application_url").isNotNull(), 0.15).otherwise(0.0)), 4)
+    evidence = F.array_compact(F.array(
+        _proof("title", F.lit("semantic-heading"), F.lit(0.8)), _proof("company", F.when(F.col("named").isNull(), "configured-company").otherwise("semantic-organization"), F.when(F.col("named").isNull(), 0.7).otherwise(0.8)),
+        F.when(F.col("description").isNotNull(), _proof("description", F.lit("semantic-content-container"), F.lit(0.7))),
+    ))
+    return [
+        *map(F.col, KEY), F.col("title"), F.coalesce("named", presence(clean(F.col("company")))).alias("company"), F.col("description"), F.col("application_url"), F.coalesce("canonical", "url").alias("canonical_url"), F.coalesce("location", "place").alias("location_text"),
+        F.coalesce("employment type", "kind").alias("employment_type"), iso_timestamp(presence(clean(F.col("date")))).alias("published_at"), F.lit("semantic-html").alias("strategy"), score.alias("confidence"), evidence.alias("evidence"),
+    ]
+
+
 # -- a page's stages together
 
 _POSTING = ["title", "company", "description", "application_url", "canonical_url", "external_id", "employment_type", "location_text", "workplace_type", "published_at", "expires_at", "strategy", "confidence", "evidence", "direct_apply", "industry", "occupational_category", "base_salary"]
@@ -294,21 +309,21 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
     headings are read only where neither JSON-LD nor links gave anything; a browser is asked
     for only where no posting was found. Repeated pages count once; a null html is an empty page."""
     pages = _with_page(pages).select(*KEY, "company", F.coalesce("html", F.lit("")).alias("html")).groupBy(*KEY).agg(F.first("company").alias("company"), F.first("html").alias("html"))
-    pages = checkpointed(pages.withColumn("blocked_reason", blocked_reason(F.col("html"))))
+    pages = checkpointed(pages.withColumn("blocked_reason", held("blocked html", lambda: blocked_reason(F.col("html")))))
     clear = pages.where("blocked_reason IS NULL")
     tree = checkpointed(page_tree(clear))
     objects, rejects = json_ld(tree)
-    decoded = checkpointed(_decoded_postings(clear, tree, objects))
+    canonical = checkpointed(canonical_links(tree))
+    decoded = checkpointed(_decoded_postings(clear, canonical, objects))
     found = checkpointed(anchors(tree))
     linked = checkpointed(job_links(found, most_links))
     structured = decoded.where("valid")
     told = structured.select(*KEY).unionAll(linked.select(*KEY)).distinct()
     bare = clear.join(told, KEY, "left_anti")
-    shown = _semantic(bare, tree.join(bare.select(*KEY), KEY, "left_semi"), found.join(bare.select(*KEY), KEY, "left_semi"))
+    shown = _semantic(bare, tree.join(bare.select(*KEY), KEY, "left_semi"), found.join(bare.select(*KEY), KEY, "left_semi"), canonical)
     both = structured.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "path"))).unionByName(shown.withColumn("nth", F.lit(1)), allowMissingColumns=True)
     postings = checkpointed(both.select(*KEY, "nth", *_POSTING))
 
-    canonical = canonical_links(tree)
     said = lambda order, url: F.struct(F.lit(order).alias("o"), F.col("nth").alias("nth"), F.col(url).alias("v"))
     named = [
         pages.where("blocked_reason IS NULL").select(*KEY, F.struct(F.lit(0).alias("o"), F.lit(0).alias("nth"), F.col("url").alias("v")).alias("x")), canonical.select(*KEY, F.struct(F.lit(1).alias("o"), F.lit(0).alias("nth"), F.col("canonical").alias("v")).alias("x")),
@@ -326,5 +341,6 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
     state = state.withColumns({"n_postings": F.coalesce("n_postings", F.lit(0)), "n_links": F.coalesce("n_links", F.lit(0)), "detections": F.coalesce("detections", F.array().cast("array<struct<provider:string,host:string>>"))})
     stop = F.array(F.concat(F.lit("Blocked page detected: "), F.col("blocked_reason"), F.lit(".")))
     state = state.withColumn("messages", F.when(F.col("blocked_reason").isNotNull(), stop).otherwise(F.coalesce("messages", F.array().cast("array<string>"))))
-    reason = F.when(F.col("blocked_reason").isNull() & (F.col("n_postings") == 0), browser_reason(F.col("html"), F.col("n_links")))
+    asked = held("browser asked", lambda: browser_reason(F.col("html"), F.col("n_links")))
+    reason = F.when(F.col("blocked_reason").isNull() & (F.col("n_postings") == 0), asked)
     return Extraction(postings, linked, checkpointed(state.withColumn("browser_reason", reason).drop("html")))

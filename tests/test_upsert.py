@@ -1,5 +1,6 @@
 """Upserts against a sequential model, and the run's bookkeeping."""
 
+import json
 import random
 
 import pytest
@@ -84,6 +85,54 @@ def test_against_a_sequential_model(spark, seed):
     assert sorted((r.job_id, r.revision_number, tuple(r.changed_fields)) for r in state.revisions.collect()) == sorted(revisions)
 
 
+def test_one_identity_many_times_costs_as_few_jobs(spark):
+    """Plain postings are written at once: 400 of one identity take no more jobs than 4."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs_of(n):
+        rows = [posting(k, "a", "1", "https://jobs.example.test/a", title=f"T{k // 3}", description=None if k % 5 else f"d{k // 10}", at=f"2026-07-29T{10 + k % 9}:00:00.000Z") for k in range(n)]
+        frame = spark.createDataFrame(rows, KIND)
+        spark.sparkContext.setJobGroup(f"upsert {n}", "")
+        outcomes, after = U.upsert(frame, U.empty_store(frame))
+        spark.sparkContext.setJobGroup("", "")
+        jobs, _, revisions, out = model(rows)
+        assert {r.position: (r.job_id, r.outcome, r.revision_number) for r in outcomes.collect()} == out
+        assert [(r.title, r.description, r.first_seen_at, r.last_seen_at) for r in after.jobs.collect()] == [(j["title"], j["description"], j["first"], j["last"]) for j in jobs.values()]
+        assert after.revisions.count() == len(revisions) and after.references.count() == after.fingerprints.count() == 1
+        return len(tracker.getJobIdsForGroup(f"upsert {n}"))
+
+    assert jobs_of(400) <= jobs_of(4) + 2
+
+
+def test_plain_postings_of_a_stored_one(spark):
+    """Of a stored posting by external id: another canonical URL, another source, another title."""
+    rows = [posting(0, "a", "1", "https://x.test/1"), posting(1, "b", "9", "https://x.test/9"), posting(2, "a", "1", "https://x.test/2", canonical="https://x.test/2"), posting(3, "a", "1", "https://x.test/2", title="New"), posting(4, "b", "9", "https://x.test/9", description="d")]
+    frame = spark.createDataFrame(rows, KIND)
+    a, state = U.upsert(frame.where("position < 2"), U.empty_store(frame))
+    b, state = U.upsert(frame.where("position >= 2"), state)
+    jobs, refs, revisions, out = model(rows)
+    assert {r.position: (r.job_id, r.outcome, r.revision_number) for r in a.unionByName(b).collect()} == out
+    assert {r.id: (r.title, r.description, r.canonical_url) for r in state.jobs.collect()} == {k: (j["title"], j["description"], j["canonical_url"]) for k, j in jobs.items()}
+    assert sorted((r.source_id, r.external_id, r.last_seen_at) for r in state.references.collect()) == sorted((r["s"], r["e"], r["last"]) for r in refs)
+
+
+def test_lists_objects_and_json_compare_by_value(spark):
+    kind = "k int, old struct<title:string,locations:array<struct<country:string,city:string>>,skills:map<string,int>,metadata:string,description:string>, new struct<title:string,locations:array<struct<country:string,city:string>>,skills:map<string,int>,metadata:string,description:string>"
+    base = ("T", [("IT", "Rome")], {"a": 1, "b": 2}, '{"a": {"x": 1, "y": [1, 2]}, "b": 2.0}', '{"a":1}')
+    rows = [
+        (0, base, ("T", [("IT", "Rome")], {"b": 2, "a": 1}, '{"b":2,"a":{"y":[1,2],"x":1.00}}', '{"a":1}')), (1, base, ("T", [("IT", "Bern")], {"a": 1}, '{"a": {"x": 1, "y": [2, 1]}, "b": 2}', '{"a": 1}')),
+        (2, base, (None,) * 5), (3, (None,) * 5, base), (4, ("T", None, None, "not json", None), ("T", None, None, "not  json", None)),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    fields = ["title", "locations", "skills", "metadata", "description"]
+    kinds = S.kinds_of(df.select("old.*"))
+    got = {r.k: (r.c, r.s) for r in df.select("k", S.changed_fields(fields, kinds=kinds).alias("c"), S.revision_snapshot(fields, kinds=kinds).alias("s")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: [], 1: ["locations", "skills", "metadata", "description"], 2: [], 3: fields, 4: ["metadata"]}
+    said = json.loads(got[1][1])
+    assert said["locations"] == {"before": [{"country": "IT", "city": "Rome"}], "after": [{"country": "IT", "city": "Bern"}]} and said["skills"]["after"] == {"a": 1} and said["metadata"]["before"] == {"a": {"x": 1, "y": [1, 2]}, "b": 2}
+    assert json.loads(got[4][1]) == {"metadata": {"before": "not json", "after": "not  json"}} and json.loads(got[3][1])["title"] == {"before": None, "after": "T"}
+
+
 def test_runs(spark):
     counts = spark.createDataFrame([("a", 5, 1), ("b", 2, 0), ("c", 9, 9)], "source_id string, raw_job_count long, invalid_job_count long")
     outcomes = spark.createDataFrame([("a", "CREATED"), ("a", "UPDATED"), ("a", "JOB_IDENTITY_CONFLICT"), ("b", "LINKED_TO_EXISTING"), ("b", "UNCHANGED")], "source_id string, outcome string")
