@@ -48,7 +48,7 @@ class Run:
     def cancel(self) -> None:
         """Stops the run's jobs; from any thread."""
         self._stop.set()
-        self.spark.interruptTag(self.tag) if hasattr(self.spark, "interruptTag") else self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 class Cancelled(RuntimeError):
@@ -70,13 +70,12 @@ def execute(spark: SparkSession, path: str, work: Callable[[Run], dict[str, int]
         on_start(run)
     context = spark.sparkContext
     context.addJobTag(run.tag)
-    spark.addTag(run.tag)
     try:
         run.counts.update(work(run))
         errors, considered = run.counts.get("error_count", 0), run.counts.get("considered_count", 0)
         status = CANCELLED if run.cancelled else COMPLETED if errors == 0 else PARTIALLY_FAILED if errors < considered else FAILED
     except BaseException as error:
-        _untag(spark, run)
+        context.removeJobTag(run.tag)  # the closing row is not the run's own job
         status = CANCELLED if run.cancelled else FAILED
         try:
             _append(spark, path, run.run_id, 1, status, clock(), initiated_by, run.counts, versions)
@@ -85,17 +84,12 @@ def execute(spark: SparkSession, path: str, work: Callable[[Run], dict[str, int]
         if run.cancelled:
             raise Cancelled(f"Run {run.run_id} was cancelled.") from error
         raise
-    _untag(spark, run)
+    context.removeJobTag(run.tag)
     completed = clock()
     _append(spark, path, run.run_id, 1, status, completed, initiated_by, run.counts, versions)
     return {"run_id": run.run_id, "started_at": started, "completed_at": completed, "status": status, **run.counts}
 
 
-def _untag(spark: SparkSession, run: Run) -> None:
-    spark.removeTag(run.tag)
-    spark.sparkContext.removeJobTag(run.tag)
-
-
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """A row a run: its times, its status (STARTED while it is open), counts and versions as JSON."""
     return states(spark.read.schema(SCHEMA).parquet(path))
