@@ -208,7 +208,7 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What the description's sentences are rejected for; of authorizations, how many.
-_SAID = {"experience": "contains(description, '10+ years')", "education": "contains(description, 'must have a PhD')", "language": "contains(description, 'German C1')", "work_authorization": "(length(description) - length(replace(description, 'authorized to work', ''))) // length('authorized to work') + contains(description, 'No sponsorship')::INT"}
+_SAID = {"experience": "contains(description, '10+ years')", "education": "contains(description, 'must have a PhD')", "language": "contains(description, 'German C1')", "work_authorization": " + ".join(f"(length(description) - length(replace(description, '{x}', ''))) // {len(x)}" for x in ("authorized to work", "No sponsorship"))}
 _REASONS = f"""q AS (SELECT t.id, doc_id, NOT (scope IN ('WORLDWIDE', 'EU', 'EEA', 'EUROPE') OR country IS NULL OR country IN ({_EEA})) AS country, coalesce({_ORDER} > {V.SENIORITY.index("senior") + 1}, false) AS seniority,
  {_company("company")} = 'northwind' AS company, industry = 'es' AS industry, regexp_matches(' ' || {_key("title")} || ' ', ' (office manager|support) ') AS title, expired, {", ".join(f"({v}) AS {k}" for k, v in _SAID.items())}
  FROM t JOIN (SELECT id, country, scope FROM (WITH {_PLACES} SELECT * FROM l)) c USING (id))"""
