@@ -31,7 +31,8 @@ def first_by_external_id(items: DataFrame, order: str) -> DataFrame:
 
 def normalize_candidates(items: DataFrame, source_type: Column, collected_at: str) -> DataFrame:
     """items (source_id and the fields of CANDIDATE) to postings with a column rejected:
-    why one cannot be stored, or null. Items marked invalid or repeated are rejected too."""
+    why one cannot be stored, or null. Items marked invalid or repeated are rejected too; a
+    column order is kept."""
     url = normalize_url(F.col("source_url"))
     apply_url = normalize_url(F.col("application_url"))
     a = items.withColumns({"u": url, "v": F.when(F.col("application_url").isNotNull(), apply_url), "external_id": clean(F.col("external_id")), "title": clean(F.col("title")), "company": clean(F.col("company"))})
@@ -42,13 +43,14 @@ def normalize_candidates(items: DataFrame, source_type: Column, collected_at: st
     rejected = F.coalesce(*marked, required("external_id", "external ID"), required("title", "title"), required("company", "company"), said(F.col("u.code")), said(F.col("v.code")), bad_time("published_at"), bad_time("expires_at"))
     known = {"collector": source_type, "locationText": presence(clean(F.col("location_text"))), "department": presence(clean(F.col("department"))), "sourceEmploymentType": clean(F.col("raw_employment_type")), "sourceWorkplaceType": clean(F.col("raw_workplace_type"))}
     own = F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")
-    table = F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in known.items()))), lambda _, v: v.isNotNull())
+    table = F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in known.items()))), lambda _, v: v.isNotNull())
     merged = F.map_concat(F.map_filter(table, lambda k, _: ~F.map_contains_key(own, k)), own)
     out = a.select(
         F.concat_ws(":", "source_id", "external_id").alias("id"), "source_id", "external_id", F.col("u.value").alias("source_url"), F.col("u.value").alias("canonical_url"), "title", "company",
         html_to_text(F.col("description")).alias("description"), _mapped(F.col("raw_workplace_type"), V.REMOTE).alias("remote_policy"), _mapped(F.col("raw_employment_type"), V.EMPLOYMENT).alias("employment_type"),
         F.coalesce("v.value", "u.value").alias("application_url"), iso_timestamp(F.col("published_at")).alias("published_at"), iso_timestamp(F.col("expires_at")).alias("expires_at"),
         F.lit(collected_at).alias("collected_at"), F.to_json(merged).alias("metadata"), F.lower("title").alias("normalized_title"), F.lower("company").alias("normalized_company"), rejected.alias("rejected"),
+        *(["order"] if "order" in items.columns else []),
     )
     return out.withColumn("fingerprint", identity_fingerprint(F.col("company"), F.col("title"), F.col("canonical_url")))
 

@@ -145,10 +145,13 @@ def _metadata() -> Column:
 
 def page_postings(pages: DataFrame, roots: DataFrame, source_type: Column, collected_at: str) -> tuple[DataFrame, Crawl]:
     """Postings of crawled sites in the shape that is stored, with a column rejected
-    (JOB_NORMALIZATION_FAILED's reason), and the crawl they come from."""
+    (JOB_NORMALIZATION_FAILED's reason), and the crawl they come from. source_type may name
+    the column type of roots."""
     crawled = crawl(pages, roots)
     items = crawled.postings.select(
         "source_id", F.coalesce("external_id", "canonical_url").alias("external_id"), "title", F.col("canonical_url").alias("source_url"), "company", "application_url", "description", "location_text", F.lit(None).cast("string").alias("department"),
         F.col("employment_type").alias("raw_employment_type"), F.col("workplace_type").alias("raw_workplace_type"), "published_at", "expires_at", _metadata().alias("metadata"), "ordinal", "nth",
     )
-    return normalize_candidates(first_by_external_id(items.withColumn("order", F.struct("ordinal", "nth")), "order").drop("order", "ordinal", "nth"), source_type, collected_at), crawled
+    if "type" in roots.columns:
+        items = items.join(roots.select("source_id", "type").dropDuplicates(["source_id"]), "source_id")
+    return normalize_candidates(first_by_external_id(items.withColumn("order", F.struct("ordinal", "nth")), "order").withColumn("order", F.concat(F.lpad(F.col("ordinal").cast("string"), 10, "0"), F.lpad(F.col("nth").cast("string"), 10, "0"))).drop("ordinal", "nth"), source_type, collected_at), crawled
