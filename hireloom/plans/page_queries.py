@@ -42,7 +42,7 @@ def labelled_page_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(
         F.lit("<main><dl><dt>Location:"), dt, F.lit("<dd>"), _escaped(F.col("place")), F.lit("<dt>Other<dd>none</dl><table><tr><td><table><tr><th>Salary<td>"), _escaped(F.col("salary")), F.lit("<tr><th>x</table></table><p><b> TEAM </b><i>"), _escaped(F.col("title")), F.lit("</i><b>Team</b><i>later</i></main>"),
     )
-    tree = page_tree(p.select(F.col("id").alias("url"), html.alias("html")).withColumn("page", F.lit(0).cast("long")))
+    tree = page_tree(p.select(F.col("id").alias("url"), html.alias("html")))
     values = labelled_values(tree, ["location", "salary", "team"])
     return values.groupBy(F.col("url").alias("id")).pivot("label", ["location", "salary", "team"]).agg(F.first("value"))
 

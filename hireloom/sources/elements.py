@@ -24,6 +24,11 @@ nodes() has a row for each element and each text, by (url, page):
 
 A repeated page (url and html equal) counts once; a null html has no rows. Where pages
 have a column page, it tells them apart beside the url; else it is the html's hash.
+
+All of it works on pages dealt out by (url, page) to as many tasks as their markup needs
+(dealt()), so a task's sorts stay as small as they are however much there is; windows,
+groups and joins by page keep to that and shuffle nothing again. Spark's own choice
+joins partitions by the bytes of compressed html, of which a tree is many times more.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, decode_entities, held, let, presence, unique_by
+from ..scratch import checkpointed
 
 #: Elements without content, with text only, and what starts end those whose end tags may be left out.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
@@ -52,6 +58,28 @@ _ATTRIBUTE = r"""(?is)([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 
 KEY = ["url", "page"]
 
+#: Bytes of markup a task has about, the least worth a task of its own, and what a tag counts for beside its characters.
+SHARE, LEAST_SHARE, TAG = 16 * 2**20, 2**19, 512
+
+
+def tasks_for(pages: DataFrame, html: str = "html") -> int:
+    """How many tasks the markup of pages is dealt to."""
+    weight = F.octet_length(html) + F.lit(TAG).cast("long") * (F.length(html) - F.length(F.replace(F.col(html), F.lit("<"), F.lit(""))))
+    total = pages.agg(F.sum(weight)).first()[0] or 0
+    return max(1, -(-total // SHARE), min(pages.sparkSession.sparkContext.defaultParallelism, total // LEAST_SHARE))
+
+
+def dealt(pages: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """pages by their keys in tasks_for() partitions."""
+    return pages.repartition(tasks_for(pages), *keys)
+
+
+def held_tree(tree: DataFrame) -> tuple[DataFrame, int]:
+    """A tree from checkpoint files, which whatever reads it deals out as it was, and its number of tasks."""
+    kept = checkpointed(tree)
+    n = kept.rdd.getNumPartitions()
+    return kept.repartition(n, *KEY), n
+
 
 def _attributes(tag: Column) -> Column:
     """Names (lower case) to decoded values of a start tag's attributes; the first of a name counts."""
@@ -85,7 +113,7 @@ def is_item(prop: str) -> Column:
 def _tokens(pages: DataFrame) -> DataFrame:
     """(url, page, pos, name, move, raw, t): tags and texts; move is 1 for a start tag that needs an end, -1 for an end."""
     page = F.col("page") if "page" in pages.columns else F.xxhash64("html")
-    once = pages.where("html IS NOT NULL").groupBy("url", page.alias("page")).agg(F.first("html").alias("html"))
+    once = dealt(pages.where("html IS NOT NULL").select("url", page.alias("page"), "html")).groupBy(*KEY).agg(F.first("html").alias("html"))
     t = once.select(*KEY, F.posexplode(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))).alias("pos", "t"))
     t = t.where(~F.col("t").rlike(r"^<(?:[!?]|/(?![A-Za-z]))"))
     t = t.withColumn("name", F.nullif(F.lower(F.regexp_extract("t", r"^</?([A-Za-z][^\s/>]*)", 1)), F.lit("")))
@@ -160,29 +188,43 @@ def nodes(pages: DataFrame, marks: dict[str, Column] | None = None) -> DataFrame
     return t.select(*KEY, "pos", "name", "attrs", "text", "idx", "last", F.col("depth").cast("int").alias("depth"), "parent", *(F.col(f"in_{k}").cast("int").alias(f"in_{k}") for k in marks))
 
 
-def inner_texts(some: DataFrame, tree: DataFrame) -> DataFrame:
-    """(url, page, pos, inner): all text inside the elements `some` of a tree, as it stands."""
-    texts = tree.where("text IS NOT NULL").select(*KEY, F.col("last").alias("i"), F.col("text").alias("piece"))
-    spans = some.where(F.col("last") > F.col("idx")).select(*KEY, "pos", F.explode(F.sequence(F.col("idx") + 1, F.col("last"))).alias("i"))
-    joined = spans.join(texts, [*KEY, "i"]).groupBy(*KEY, "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("inner"))
-    return some.select(*KEY, "pos").join(joined, [*KEY, "pos"], "left").withColumn("inner", F.coalesce("inner", F.lit("")))
+def beside_texts(tree: DataFrame, wanted: Column, columns: list[Column | str]) -> DataFrame:
+    """(url, page, columns, texts): the rows of a tree that are wanted, each beside the list of its
+    page's texts in order, of which inner() is a slice. Pages of null url are left out."""
+    lists = tree.groupBy(*KEY).agg(F.collect_list(F.when(wanted, F.struct(*columns))).alias("_x"), _texts().alias("texts"))
+    return lists.where("url IS NOT NULL").select(*KEY, "texts", F.explode("_x").alias("_x")).select(*KEY, "_x.*", "texts")
+
+
+def _texts() -> Column:
+    """The texts of a page, by aggregation."""
+    pieces = F.collect_list(F.when(F.col("text").isNotNull(), F.struct("last", "text")))
+    return F.transform(F.array_sort(pieces), lambda x: x["text"])
+
 
+def inner(idx: str = "idx", last: str = "last") -> Column:
+    """All text inside an element, as it stands; of its page's texts."""
+    n = F.greatest(F.col(last) - F.col(idx), F.lit(0))
+    return F.array_join(F.slice("texts", (F.col(idx) + 1).cast("int"), n.cast("int")), "")
 
-def next_elements(tree: DataFrame) -> DataFrame:
-    """(url, page, pos, next): each element and the sibling element after it."""
-    w = Window.partitionBy(*KEY, "parent").orderBy("pos")
-    return tree.where("name IS NOT NULL").withColumn("next", F.lead("pos").over(w)).select(*KEY, "pos", "next")
+
+def inner_texts(some: DataFrame, tree: DataFrame) -> DataFrame:
+    """(url, page, pos, inner): all text inside the elements `some` of a tree, as it stands."""
+    texts = tree.groupBy(*KEY).agg(_texts().alias("texts"))
+    return some.select(*KEY, "pos", "idx", "last").join(texts, KEY, "left").select(*KEY, "pos", F.coalesce(inner(), F.lit("")).alias("inner"))
 
 
 def labelled_values(tree: DataFrame, labels: list[str]) -> DataFrame:
     """(url, page, label, value): the text of the element after the first dt, th, strong or b
     that says the label (a colon at its end aside), of those that have any."""
-    heads = tree.where(F.col("name").isin("dt", "th", "strong", "b")).select(*KEY, "pos", "idx", "last")
-    said = inner_texts(heads, tree).select(*KEY, "pos", held("inner label", lambda: F.regexp_replace(F.lower(clean(F.col("inner"))), ":$", "")).alias("label")).where(F.col("label").isin(labels))
-    after = said.join(next_elements(tree), [*KEY, "pos"]).where("next IS NOT NULL").select(*KEY, "label", F.col("next").alias("pos"), F.col("pos").alias("head"))
-    some = tree.where("name IS NOT NULL").select(*KEY, "pos", "idx", "last").join(after.select(*KEY, "pos").distinct(), [*KEY, "pos"], "left_semi")
-    values = inner_texts(some, tree).select(*KEY, "pos", held("inner said", lambda: presence(clean(F.col("inner")))).alias("value")).where("value IS NOT NULL")
-    return after.join(values, [*KEY, "pos"]).groupBy(*KEY, "label").agg(F.min_by("value", "head").alias("value"))
+    element = F.col("name").isNotNull()
+    next_ = F.lead(F.struct("idx", "last")).over(Window.partitionBy(*KEY, "parent", element).orderBy("pos"))
+    followed = tree.select(*KEY, "pos", "name", "text", "idx", "last", next_.alias("next"))
+    is_head = F.col("name").isin("dt", "th", "strong", "b") & F.col("next").isNotNull()
+    heads = beside_texts(followed, is_head, ["pos", "idx", "last", F.col("next.idx").alias("next_idx"), F.col("next.last").alias("next_last")])
+    label = held("inner label", lambda: F.regexp_replace(F.lower(clean(F.col("inner"))), ":$", ""))
+    said = heads.withColumn("inner", inner()).withColumn("label", label).where(F.col("label").isin(labels)).withColumn("inner", inner("next_idx", "next_last"))
+    values = said.select(*KEY, "label", "pos", held("inner said", lambda: presence(clean(F.col("inner")))).alias("value")).where("value IS NOT NULL")
+    return values.groupBy(*KEY, "label").agg(F.min_by("value", "pos").alias("value"))
 
 
 def block_text(containers: DataFrame, tree: DataFrame, breaks: list[str], mark: str, most: int) -> DataFrame:
