@@ -17,7 +17,7 @@ from ..functions.text import clean, decode_entities, held, let, presence
 from ..functions.urls import normalize_url
 from ..operators.collect import iso_timestamp
 from ..scratch import checkpointed
-from .elements import KEY, attribute, block_text, has_class, inner_texts, is_item, labelled_values, nodes
+from .elements import KEY, attribute, beside_texts, block_text, dealt, has_class, held_tree, inner, inner_texts, is_item, labelled_values, nodes
 
 #: Limits, and the patterns and hosts by which links and boards are told.
 MOST_BLOCKS, MOST_BLOCK_BYTES, MOST_DESCRIPTION = 20, 512 * 1024, 50_000
@@ -164,7 +164,7 @@ def _places(path: str) -> Column:
 
 def job_postings(pages: DataFrame) -> DataFrame:
     """Decoded JobPosting objects of pages; valid is false where required fields are missing."""
-    tree = checkpointed(page_tree(_with_page(pages)))
+    tree, _ = held_tree(page_tree(_with_page(pages)))
     return _decoded_postings(_with_page(pages), canonical_links(tree), json_ld(tree)[0])
 
 
@@ -213,10 +213,10 @@ def _posting_columns() -> list[Column]:
 def anchors(tree: DataFrame) -> DataFrame:
     """(url, page, pos, href, text, offered): anchors with a target; offered: in an area of
     job links, or marked as an item's URL."""
-    here = tree.where(F.col("name") == "a").withColumn("href", attribute("href")).where("href IS NOT NULL")
     offered = (F.col("in_area") - has_class("job").cast("int") > 0) | is_item("url")
-    text = inner_texts(here, tree).select(*KEY, "pos", held("clean inner", lambda: clean(F.col("inner"))).alias("text"))
-    return here.select(*KEY, "pos", "href", offered.alias("offered")).join(text, [*KEY, "pos"])
+    wanted = (F.col("name") == "a") & attribute("href").isNotNull()
+    here = beside_texts(tree, wanted, ["pos", "idx", "last", attribute("href").alias("href"), offered.alias("offered")]).withColumn("inner", inner())
+    return here.select(*KEY, "pos", "href", "offered", held("clean inner", lambda: clean(F.col("inner"))).alias("text"))
 
 
 def job_links(found: DataFrame, maximum: int) -> DataFrame:
@@ -237,8 +237,8 @@ def links(pages: DataFrame, maximum: int = 50) -> DataFrame:
 
 def semantic_jobs(pages: DataFrame) -> DataFrame:
     """A posting from a page's heading and content, with its confidence and evidence."""
-    tree = checkpointed(page_tree(_with_page(pages)))
-    return _semantic(_with_page(pages), tree, anchors(tree), canonical_links(tree))
+    tree, n = held_tree(page_tree(_with_page(pages)))
+    return _semantic(_with_page(pages).select(*KEY, "company").repartition(n, *KEY), tree, anchors(tree), canonical_links(tree))
 
 
 def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -308,10 +308,10 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
     """What pages (url, html, company) hold. A blocked page has a warning and nothing else;
     headings are read only where neither JSON-LD nor links gave anything; a browser is asked
     for only where no posting was found. Repeated pages count once; a null html is an empty page."""
-    pages = _with_page(pages).select(*KEY, "company", F.coalesce("html", F.lit("")).alias("html")).groupBy(*KEY).agg(F.first("company").alias("company"), F.first("html").alias("html"))
+    pages = dealt(_with_page(pages).select(*KEY, "company", F.coalesce("html", F.lit("")).alias("html"))).groupBy(*KEY).agg(F.first("company").alias("company"), F.first("html").alias("html"))
     pages = checkpointed(pages.withColumn("blocked_reason", held("blocked html", lambda: blocked_reason(F.col("html")))))
     clear = pages.where("blocked_reason IS NULL")
-    tree = checkpointed(page_tree(clear))
+    tree, n = held_tree(page_tree(clear))
     objects, rejects = json_ld(tree)
     canonical = checkpointed(canonical_links(tree))
     decoded = checkpointed(_decoded_postings(clear, canonical, objects))
@@ -320,7 +320,7 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
     structured = decoded.where("valid")
     told = structured.select(*KEY).unionAll(linked.select(*KEY)).distinct()
     bare = clear.join(told, KEY, "left_anti")
-    shown = _semantic(bare, tree.join(bare.select(*KEY), KEY, "left_semi"), found.join(bare.select(*KEY), KEY, "left_semi"), canonical)
+    shown = _semantic(bare.select(*KEY, "company").repartition(n, *KEY), tree.join(bare.select(*KEY), KEY, "left_semi"), found.join(bare.select(*KEY), KEY, "left_semi"), canonical)
     both = structured.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "path"))).unionByName(shown.withColumn("nth", F.lit(1)), allowMissingColumns=True)
     postings = checkpointed(both.select(*KEY, "nth", *_POSTING))
 
