@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..sources.crawl import MOST_PAGES, crawl
 from ..sources.crawl import page_postings as crawled_postings
-from ..sources.elements import KEY, inner_texts, labelled_values, nodes
+from ..sources.elements import KEY, beside_texts, inner, labelled_values, nodes
 from ..sources.pages import MOST_BLOCKS, extract, page_tree
 from .postings import POSTINGS_SQL, postings
 from .queries import NOW, query
@@ -28,10 +28,8 @@ def _escaped(text: Column) -> Column:
 @query()
 def element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT16-17: elements of every page by name, with the characters of text inside them and their depth."""
-    tree = nodes(_pages(spark, sf_dir))
-    of = tree.where("name IS NOT NULL")
-    chars = inner_texts(of, tree).select(*KEY, "pos", F.length("inner").alias("chars"))
-    return of.join(chars, [*KEY, "pos"]).groupBy("url", "name").agg(F.count("*").alias("elements"), F.sum("chars").alias("chars"), F.max("depth").alias("deepest"))
+    of = beside_texts(nodes(_pages(spark, sf_dir)), F.col("name").isNotNull(), ["name", "idx", "last", "depth"])
+    return of.groupBy("url", "name").agg(F.count("*").alias("elements"), F.sum(F.length(inner())).alias("chars"), F.max("depth").alias("deepest"))
 
 
 @query(f"""SELECT id, trim(regexp_replace(place, '\\s+', ' ', 'g')) AS location, trim(regexp_replace(salary_text, '\\s+', ' ', 'g')) AS salary, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS team FROM ({POSTINGS_SQL})""")
