@@ -10,6 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import checkpointed
 from . import vocabulary as V
 from .dedup import classify, with_fingerprint
 from .filters import Candidate, hard_filters
@@ -74,7 +75,8 @@ def decide(jobs: DataFrame, candidate: Candidate, config: HardFilterConfig, proc
     own, with a code and a safe message; it takes no part in the others' decisions."""
     told = jobs.withColumn("_broken", broken_rule(jobs))
     wrong = told.where("_broken IS NOT NULL")
-    normalized = with_fingerprint(normalize(told.where("_broken IS NULL").drop("_broken"), config))
+    # Read by every stage of classifying and by the filters, and by far the dearest part: made once.
+    normalized = checkpointed(with_fingerprint(normalize(told.where("_broken IS NULL").drop("_broken"), config)))
     good = hard_filters(classify(normalized.where("valid")), candidate, config, processing_time)
     # confirmed duplicates are not filtered
     dup = F.col("duplicate_decision") == "DUPLICATE"
