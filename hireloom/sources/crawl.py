@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.collect import first_by_external_id, normalize_candidates
 from ..scratch import checkpointed
-from .elements import KEY
+from .elements import KEY, tasks_for
 from .pages import extract
 
 #: Pages and rendered pages a source.
@@ -28,34 +28,43 @@ LIMIT = "TRAVERSAL_LIMIT_REACHED"
 class Crawl:
     """visits: (source_id, url, depth, ordinal, read, rendered, blocked_reason, n_postings, n_links);
     postings: the first of each canonical URL of a source; warnings: (source_id, ordinal, nth, code, message);
-    errors: (source_id, code, message) of sources that could not be read at all."""
+    errors: (source_id, code, message) of sources that could not be read at all; tasks: how many the html was dealt to."""
 
     visits: DataFrame
     postings: DataFrame
     warnings: DataFrame
     errors: DataFrame
+    tasks: int
 
 
-def _read(frontier: DataFrame, pages: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(visits, postings, links, warnings) of a frontier (source_id, url, depth, ordinal and the
-    source's settings); used: (source_id, rendered) before it."""
+def _met(frontier: DataFrame, pages: DataFrame, n: int) -> DataFrame:
+    """frontier with html, rendered and page of its URLs, in n tasks; of pages of one URL the least counts."""
     rendered = F.col("rendered") if "rendered" in pages.columns else F.lit(None).cast("string")
-    held = pages.select("url", "html", rendered.alias("rendered")).join(frontier.select("url").distinct(), "url", "left_semi")
-    held = held.groupBy("url").agg(F.min(F.struct("html", "rendered")).alias("p"))  # of pages of one URL the least
+    # An inner join, and to URLs that are dealt out too: else Spark joins first, in as many tasks as the session says.
+    held = pages.select("url", "html", rendered.alias("rendered")).repartition(n, "url").join(frontier.select("url").repartition(n, "url").distinct(), "url")
+    held = held.groupBy("url").agg(F.min(F.struct("html", "rendered")).alias("p"))
     met = frontier.join(held, "url", "left").select(*frontier.columns, F.col("p.html").alias("html"), F.col("p.rendered").alias("rendered"))
-    met = checkpointed(met.withColumn("page", F.xxhash64("html", "company")))
+    return checkpointed(met.withColumn("page", F.xxhash64("html", "company")))
+
+
+def _read(frontier: DataFrame, pages: DataFrame, n: int, used: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(visits, postings, links, warnings) of a frontier (source_id, url, depth, ordinal and the
+    source's settings); used: (source_id, rendered) before it. Html and what is made of it are dealt
+    to n tasks wherever they are moved."""
+    met = _met(frontier, pages, n)
     there = met.where("html IS NOT NULL")
     most = frontier.agg(F.max("most_links")).first()[0] or 0
     plain = extract(there.select(*KEY, "company", "html"), most)
     visit = ["source_id", "ordinal", *KEY]
-    at = there.select(*visit, "company", "rendered", "allow_browser").join(plain.pages.drop("company"), KEY)
+    at = there.select(*visit, "company", "allow_browser").join(plain.pages.drop("company"), KEY)
     wants = at.where(F.col("allow_browser") & F.col("browser_reason").isNotNull()).join(used, "source_id", "left")
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))
-    wants = checkpointed(wants.withColumn("n", nth + F.coalesce("n_rendered", F.lit(0))).where(F.col("n") <= MOST_RENDERED).select(*visit, "company", F.col("rendered").alias("html")))
+    wants = wants.withColumn("n", nth + F.coalesce("n_rendered", F.lit(0))).where(F.col("n") <= MOST_RENDERED).select(*visit, "company")
+    wants = checkpointed(there.select("source_id", "ordinal", F.col("rendered").alias("html")).repartition(n, "source_id", "ordinal").join(wants.repartition(n, "source_id", "ordinal"), ["source_id", "ordinal"]).select(*visit, "company", "html"))
     again = wants.where("html IS NOT NULL").withColumn("page", F.xxhash64("html", "company"))
     shown = plain if again.isEmpty() else extract(again.select(*KEY, "company", "html"), most)
     where = [(there.select(*visit).join(again.select("source_id", "ordinal"), ["source_id", "ordinal"], "left_anti"), plain), (again.select(*visit), shown)]
-    of = lambda name: reduce(DataFrame.unionByName, [w.join(getattr(e, name).drop("company") if name == "pages" else getattr(e, name), KEY) for w, e in where])
+    of = lambda name: reduce(DataFrame.unionByName, [w.join(getattr(e, name).drop("company") if name == "pages" else getattr(e, name).repartition(n, *KEY), KEY) for w, e in where])
     states, postings, links = checkpointed(of("pages")), checkpointed(of("postings").drop("page")), of("links").drop("page")
 
     messages = [at.select("source_id", "ordinal", F.lit(0).alias("stage"), "messages", "detections"), again.select(*visit).join(shown.pages, KEY).select("source_id", "ordinal", F.lit(2).alias("stage"), "messages", F.array().cast("array<struct<provider:string,host:string>>").alias("detections"))]
@@ -82,12 +91,13 @@ def crawl(pages: DataFrame, roots: DataFrame) -> Crawl:
     own = sources.drop("url")
     frontier = sources.select("source_id", "url", F.lit(0).alias("depth"), F.lit(0).alias("ordinal"), *own.columns[1:])
     none = sources.where(F.lit(False))
+    n = tasks_for(pages, *(c for c in ("html", "rendered") if c in pages.columns), tag=0)
     visits = postings = warnings = None
     known = sources.select("source_id", F.col("url").alias("link"), F.lit(False).alias("found"))
     depth = 0
     while not frontier.isEmpty():
         used = none.select("source_id", F.lit(0).alias("n_rendered")) if visits is None else visits.groupBy("source_id").agg(F.count("rendered").alias("n_rendered"))
-        parts = _read(frontier, pages, used)
+        parts = _read(frontier, pages, n, used)
         seen, got, links, said = parts
         visits, postings, warnings = (seen, got, said) if visits is None else (visits.unionAll(seen), postings.unionAll(got), warnings.unionAll(said))
         if depth == 2:
@@ -116,12 +126,12 @@ def crawl(pages: DataFrame, roots: DataFrame) -> Crawl:
         frontier = checkpointed(room.where("room").select("source_id", F.col("link").alias("url"), F.lit(depth).alias("depth"), (F.col("last") + F.col("n")).cast("int").alias("ordinal"), *own.columns[1:]))
         visits = checkpointed(visits)
     if visits is None:
-        visits, postings, _, warnings = _read(frontier, pages, none.select("source_id", F.lit(0).alias("n_rendered")))
+        visits, postings, _, warnings = _read(frontier, pages, n, none.select("source_id", F.lit(0).alias("n_rendered")))
     failed = visits.where("depth = 0 AND (NOT read OR blocked_reason IS NOT NULL)").select("source_id", F.when(~F.col("read"), "PAGE_EXTRACTION_FAILED").otherwise("BLOCK_PAGE_DETECTED").alias("code"), F.when(~F.col("read"), "The source's page could not be read.").otherwise(F.concat(F.lit("Generic source returned a "), "blocked_reason", F.lit(" page."))).alias("message"))
-    unique = first_by_canonical(postings)
+    unique = first_by_canonical(postings.repartition(n, "source_id", "canonical_url"))
     known_code = F.when(F.col("message").startswith("KNOWN_ATS_DETECTED"), "KNOWN_ATS_DETECTED").when(F.col("message").isin("BROWSER_FALLBACK_FAILED", LIMIT), F.col("message")).otherwise("PAGE_EXTRACTION_FAILED")
     order = F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal", "stage", "nth", "message")).alias("nth")
-    return Crawl(visits, unique, warnings.select("source_id", "ordinal", order, known_code.alias("code"), "message"), failed)
+    return Crawl(visits, unique, warnings.select("source_id", "ordinal", order, known_code.alias("code"), "message"), failed, n)
 
 
 def _limit(rows: DataFrame, stage: int) -> DataFrame:
@@ -153,5 +163,6 @@ def page_postings(pages: DataFrame, roots: DataFrame, source_type: Column, colle
         F.col("employment_type").alias("raw_employment_type"), F.col("workplace_type").alias("raw_workplace_type"), "published_at", "expires_at", _metadata().alias("metadata"), "ordinal", "nth",
     )
     if "type" in roots.columns:
-        items = items.join(roots.select("source_id", "type").dropDuplicates(["source_id"]), "source_id")
+        items = items.repartition(crawled.tasks, "source_id").join(roots.select("source_id", "type").repartition(crawled.tasks, "source_id").dropDuplicates(["source_id"]), "source_id")
+    items = items.repartition(crawled.tasks, "source_id", "external_id")
     return normalize_candidates(first_by_external_id(items.withColumn("order", F.struct("ordinal", "nth")), "order").withColumn("order", F.concat(F.lpad(F.col("ordinal").cast("string"), 10, "0"), F.lpad(F.col("nth").cast("string"), 10, "0"))).drop("ordinal", "nth"), source_type, collected_at), crawled

@@ -62,10 +62,14 @@ KEY = ["url", "page"]
 SHARE, LEAST_SHARE, TAG = 16 * 2**20, 2**19, 512
 
 
-def tasks_for(pages: DataFrame, html: str = "html") -> int:
-    """How many tasks the markup of pages is dealt to."""
-    weight = F.octet_length(html) + F.lit(TAG).cast("long") * (F.length(html) - F.length(F.replace(F.col(html), F.lit("<"), F.lit(""))))
-    total = pages.agg(F.sum(weight)).first()[0] or 0
+def tasks_for(pages: DataFrame, *texts: str, tag: int = TAG) -> int:
+    """How many tasks the markup of pages (or what else is in texts) is dealt to; tag 0 is for what becomes no tree."""
+
+    def weight(text: str) -> Column:
+        tags = F.length(text) - F.length(F.replace(F.col(text), F.lit("<"), F.lit(""))) if tag else F.lit(0)
+        return F.coalesce(F.octet_length(text) + F.lit(tag).cast("long") * tags, F.lit(0).cast("long"))
+
+    total = sum(pages.agg(*(F.sum(weight(x)) for x in texts or ("html",))).na.fill(0).first())
     return max(1, -(-total // SHARE), min(pages.sparkSession.sparkContext.defaultParallelism, total // LEAST_SHARE))
 
 
@@ -75,9 +79,11 @@ def dealt(pages: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 
 def held_tree(tree: DataFrame) -> tuple[DataFrame, int]:
-    """A tree from checkpoint files, which whatever reads it deals out as it was, and its number of tasks."""
+    """A tree from checkpoint files, which whatever reads it deals out as it was, and its number of tasks.
+    Some of its pages are taken by an inner join, as Spark moves a semi join below the dealing; and what
+    it is joined to is dealt out so too if it was grouped, as Spark prefers a grouping's partitions."""
     kept = checkpointed(tree)
-    n = kept.rdd.getNumPartitions()
+    n = max(1, kept.rdd.getNumPartitions())
     return kept.repartition(n, *KEY), n
 
 

@@ -164,8 +164,8 @@ def _places(path: str) -> Column:
 
 def job_postings(pages: DataFrame) -> DataFrame:
     """Decoded JobPosting objects of pages; valid is false where required fields are missing."""
-    tree, _ = held_tree(page_tree(_with_page(pages)))
-    return _decoded_postings(_with_page(pages), canonical_links(tree), json_ld(tree)[0])
+    tree, n = held_tree(page_tree(_with_page(pages)))
+    return _decoded_postings(_with_page(pages), canonical_links(tree), json_ld(tree)[0], n)
 
 
 def _with_page(pages: DataFrame) -> DataFrame:
@@ -177,10 +177,10 @@ def _salary() -> Column:
     return F.expr("CASE WHEN try_variant_get(object, '$.baseSalary', 'variant') IS NOT NULL THEN to_json(try_variant_get(object, '$.baseSalary', 'variant')) END")
 
 
-def _decoded_postings(pages: DataFrame, canonical: DataFrame, objects: DataFrame) -> DataFrame:
-    """objects as postings, with evidence for title, company and URL."""
-    about = pages.select(*KEY, "company").distinct().join(canonical, KEY, "left")
-    return objects.join(about, KEY).withColumns(held("posting URLs", _posting_urls)).select(*held("posting", _posting_columns)).withColumn("valid", F.col("title").isNotNull() & F.col("company").isNotNull() & (F.col("description").isNotNull() | F.col("application_url").isNotNull()))
+def _decoded_postings(pages: DataFrame, canonical: DataFrame, objects: DataFrame, n: int) -> DataFrame:
+    """objects as postings in n tasks, with evidence for title, company and URL."""
+    about = pages.select(*KEY, "company").repartition(n, *KEY).distinct().join(canonical, KEY, "left")
+    return objects.repartition(n, *KEY).join(about, KEY).withColumns(held("posting URLs", _posting_urls)).select(*held("posting", _posting_columns)).withColumn("valid", F.col("title").isNotNull() & F.col("company").isNotNull() & (F.col("description").isNotNull() | F.col("application_url").isNotNull()))
 
 
 def _posting_urls() -> dict[str, Column]:
@@ -314,14 +314,14 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
     tree, n = held_tree(page_tree(clear))
     objects, rejects = json_ld(tree)
     canonical = checkpointed(canonical_links(tree))
-    decoded = checkpointed(_decoded_postings(clear, canonical, objects))
-    found = checkpointed(anchors(tree))
+    decoded = checkpointed(_decoded_postings(clear, canonical, objects, n))
+    found = checkpointed(anchors(tree)).repartition(n, *KEY)
     linked = checkpointed(job_links(found, most_links))
     structured = decoded.where("valid")
     told = structured.select(*KEY).unionAll(linked.select(*KEY)).distinct()
-    bare = clear.join(told, KEY, "left_anti")
-    shown = _semantic(bare.select(*KEY, "company").repartition(n, *KEY), tree.join(bare.select(*KEY), KEY, "left_semi"), found.join(bare.select(*KEY), KEY, "left_semi"), canonical)
-    both = structured.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "path"))).unionByName(shown.withColumn("nth", F.lit(1)), allowMissingColumns=True)
+    bare = checkpointed(clear.join(told, KEY, "left_anti").select(*KEY, "company"))
+    shown = _semantic(bare.repartition(n, *KEY), tree.join(bare.select(*KEY), KEY), found.join(bare.select(*KEY), KEY), canonical)
+    both = structured.repartition(n, *KEY).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "path"))).unionByName(shown.withColumn("nth", F.lit(1)), allowMissingColumns=True)
     postings = checkpointed(both.select(*KEY, "nth", *_POSTING))
 
     said = lambda order, url: F.struct(F.lit(order).alias("o"), F.col("nth").alias("nth"), F.col(url).alias("v"))
@@ -335,9 +335,10 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
     skipped = decoded.where("NOT valid").select(*KEY, F.lit(1).alias("stage"), "block", "path", F.lit("A malformed or incomplete JobPosting object was skipped.").alias("message"))
     warned = rejects.select(*KEY, F.lit(0).alias("stage"), "block", F.array().cast("array<int>").alias("path"), "message").unionAll(skipped)
     messages = warned.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "block", "path", "message"))), lambda x: x["message"]).alias("messages"))
-    state = pages
+    all_ = max(1, pages.rdd.getNumPartitions())
+    state = pages.repartition(all_, *KEY)
     for part in (postings.groupBy(*KEY).agg(F.count("*").alias("n_postings")), linked.groupBy(*KEY).agg(F.count("*").alias("n_links")), messages, detections):
-        state = state.join(part, KEY, "left")
+        state = state.join(part.repartition(all_, *KEY), KEY, "left")
     state = state.withColumns({"n_postings": F.coalesce("n_postings", F.lit(0)), "n_links": F.coalesce("n_links", F.lit(0)), "detections": F.coalesce("detections", F.array().cast("array<struct<provider:string,host:string>>"))})
     stop = F.array(F.concat(F.lit("Blocked page detected: "), F.col("blocked_reason"), F.lit(".")))
     state = state.withColumn("messages", F.when(F.col("blocked_reason").isNotNull(), stop).otherwise(F.coalesce("messages", F.array().cast("array<string>"))))
