@@ -16,7 +16,9 @@ lines an edit often makes another word):
 
 Most lines have no such neighbour. One edit leaves the first or the last half of a
 line as it was, so only lines that share (length, half) with another form emit
-their neighbourhoods; this filter loses nothing.
+their neighbourhoods; this filter loses nothing. Their texts are fetched by a second
+reading of the documents, which sends on the lines whose hash has its bit in a filter
+of fixed size, not the documents.
 
 Lines are told apart by 128-bit hashes. Equal lines are combined before the
 shuffle, and what is sent back to documents is the lines to keep, each of which
@@ -41,6 +43,9 @@ from .common import fresh, saved, table
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
+#: Fixed value: words of 64 bits in the filter by which lines are told that may have a near one.
+WORDS = 2**19
+
 
 def _form(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
@@ -111,6 +116,28 @@ def neighbourhoods(lines: DataFrame) -> DataFrame:
     return lines.select("first", "form").mapInArrow(run, f"first {kind}, key long, kind tinyint")
 
 
+def _bits(wanted: DataFrame) -> DataFrame:
+    """(word, bits): a bit for each hash of wanted, in WORDS words at most however many there are."""
+    return wanted.groupBy(_word(F.col("h1")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("h1")))).alias("bits"))
+
+
+def _word(h1: Column) -> Column:
+    return F.shiftrightunsigned(h1, 6).bitwiseAND(F.lit(WORDS - 1))
+
+
+def _bit(h1: Column) -> Column:
+    return h1.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _forms(ids: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(first, form) of the lines (first, h1) of wanted, from ids (id, x). Most lines are left out
+    where they are read, by a bit of their hash; those that share a bit by chance, by the join."""
+    rows = ids.select(F.struct("id", "x.no").alias("first"), F.xxhash64("x.form").alias("h1"), F.col("x.form").alias("form"))
+    likely = rows.join(F.broadcast(_bits(wanted)), (_word(F.col("h1")) == F.col("word")) & (F.getbit("bits", _bit(F.col("h1"))) == 1), "left_semi")
+    asked = wanted.select(F.col("first").alias("f"), F.col("h1").alias("g"))
+    return likely.join(asked, F.expr("h1 = g AND first <=> f"), "left_semi").select("first", "form").distinct()
+
+
 def _near_earlier(lines: DataFrame) -> DataFrame:
     """The lines (first, form) with an earlier line one edit away."""
     keys = neighbourhoods(lines)
@@ -143,12 +170,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = 32, max_e
     if max_edits:
         keyed = firsts.where("k0 IS NOT NULL").select("first", "h1", "h2", F.explode(F.array(*ks)).alias("k"))
         shared = keyed.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2")).where("lo <> hi OR lo2 <> hi2").select("k")
-        wanted = keyed.join(shared, "k", "left_semi").select("first", "h1").distinct()
-        places = saved(wanted.groupBy(F.col("first.id").alias("of")).agg(F.collect_list(_place(F.col("first.no"), F.col("h1"))).alias("places")), "places")
-        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(places, F.col("id").eqNullSafe(F.col("of")))
-        chosen = _bound(F.struct(_lines(F.col("text")).alias("rows"), F.col("places")), lambda s: F.transform(F.array_intersect(placed(s["rows"]), s["places"]), lambda p: F.get(s["rows"], _number(p))))
-        found = found.select("id", F.explode(chosen).alias("x"))
-        lines = saved(found.select(F.struct("id", "x.no").alias("first"), F.col("x.form").alias("form")).distinct(), "forms")
+        wanted = saved(keyed.join(shared, "k", "left_semi").select("first", "h1").distinct(), "wanted")
+        lines = saved(_forms(docs.select(F.col(id_col).alias("id"), F.explode(_numbered(F.col(text_col), near_chars)).alias("x")), wanted), "forms")
         near = saved(_near_earlier(lines), "near")
         kept = kept.alias("k").join(near.select(F.col("first").alias("f"), F.xxhash64("form").alias("g")), F.expr("k.first <=> f AND k.h1 = g"), "left_anti")
     of, stay, state = fresh(docs, "_hl_of", "_hl_kept", "_hl_state")

@@ -141,6 +141,19 @@ def test_lines_within_one_edit(spark):
     assert line_dedup.dedup_lines(docs.limit(0), min_chars=8, near_chars=8).count() == 0
 
 
+def test_forms_of_few_lines_are_fetched_without_their_documents(spark, monkeypatch):
+    """Also where all lines share a filter's word; what is sent on are lines, by id, place and hash."""
+    docs = docs_of(spark, [None, "", *(f"first line {k}\nLine {k % 7}\nlast" for k in range(50))])
+    ids = docs.select(F.col("doc_id").alias("id"), F.explode(line_dedup._numbered(F.col("text"), 8)).alias("x"))
+    every = ids.select(F.struct("id", "x.no").alias("first"), F.xxhash64("x.form").alias("h1"), "x.form")
+    wanted = every.where("first.id IN (5, 9, 30) AND first.no = 0")
+    for words in (1, 2**19):
+        monkeypatch.setattr(line_dedup, "WORDS", words)
+        got = line_dedup._forms(ids, wanted.select("first", "h1"))
+        assert sorted((r.first["id"], r.form) for r in got.collect()) == [(5, "first line 3"), (9, "first line 7"), (30, "first line 28")]
+        assert line_dedup._bits(every).count() <= words
+
+
 # -- 4: near-duplicates and components
 
 
