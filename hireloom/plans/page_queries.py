@@ -13,8 +13,8 @@ from ..sources.pages import MOST_BLOCKS, extract, page_tree
 from .postings import POSTINGS_SQL, postings
 from .queries import NOW, query
 
-#: Documents of a source that one list page links at most.
-A_LIST = 2000
+#: Documents of a source that one list page links at most, and documents whose list items one task puts together about.
+A_LIST, A_TASK = 2000, 50_000
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     site = F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / A_LIST), F.lit(".example.test/"))
     d = d.withColumn("site", F.lower(site))
     item = F.concat(F.lit('<li><a href="/jobs/'), "doc_id", F.lit('">Job</a>'))
-    lists = d.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items"))
+    lists = d.repartition(max(1, -(-d.count() // A_TASK)), "site").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items"))
     lists = lists.select(F.col("site").alias("url"), F.concat(F.lit("<nav><a href='/jobs/0'>no</a></nav><ul class='open-jobs'>"), F.array_join(F.transform("items", lambda x: x["item"]), ""), F.lit("</ul>")).alias("html"))
     body = F.concat(F.lit("<title>Job</title><article><h1>Job "), "doc_id", F.lit("</h1><nav>menu</nav><p>"), _escaped(F.col("text")), F.lit("</p><ul class=jobs><li><a href='/'>All jobs</a></ul></article>"))
     return lists, d.select(F.concat("site", F.lit("jobs/"), "doc_id").alias("url"), body.alias("html")).unionAll(lists)
@@ -92,8 +92,9 @@ def crawled_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists, pages = _site(spark, sf_dir)
     found = crawl(pages, lists.select("url", F.lit("Example Labs").alias("company"), F.lit(1).alias("depth"), F.lit(10 * A_LIST).alias("most_links")))
     ids = F.regexp_extract("canonical_url", r"/jobs/(\d+)$", 1).cast("long")
-    of = found.postings.groupBy("source_id").agg(F.count("*").alias("postings"), F.min(ids).alias("first_id"), F.sum(ids).alias("ids"))
-    out = found.visits.groupBy("source_id").agg(F.count("*").alias("pages")).join(of, "source_id", "left").join(found.warnings.groupBy("source_id").agg(F.count("*").alias("warnings")), "source_id", "left")
+    by = lambda rows, *columns: rows.select("source_id", *columns).repartition(found.tasks, "source_id").groupBy("source_id")
+    of = by(found.postings, ids.alias("id")).agg(F.count("*").alias("postings"), F.min("id").alias("first_id"), F.sum("id").alias("ids"))
+    out = by(found.visits).agg(F.count("*").alias("pages")).join(of, "source_id", "left").join(by(found.warnings).agg(F.count("*").alias("warnings")), "source_id", "left")
     return out.select("source_id", "pages", F.coalesce("postings", F.lit(0)).alias("postings"), "first_id", "ids", F.coalesce("warnings", F.lit(0)).alias("warnings"))
 
 

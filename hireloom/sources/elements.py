@@ -213,10 +213,10 @@ def inner(idx: str = "idx", last: str = "last") -> Column:
     return F.array_join(F.slice("texts", (F.col(idx) + 1).cast("int"), n.cast("int")), "")
 
 
-def inner_texts(some: DataFrame, tree: DataFrame) -> DataFrame:
-    """(url, page, pos, inner): all text inside the elements `some` of a tree, as it stands."""
+def inner_texts(some: DataFrame, tree: DataFrame, *columns: str) -> DataFrame:
+    """(url, page, pos, columns, inner): all text inside the elements `some` of a tree, as it stands, beside columns of some."""
     texts = tree.groupBy(*KEY).agg(_texts().alias("texts"))
-    return some.select(*KEY, "pos", "idx", "last").join(texts, KEY, "left").select(*KEY, "pos", F.coalesce(inner(), F.lit("")).alias("inner"))
+    return some.select(*KEY, "pos", *columns, "idx", "last").join(texts, KEY, "left").select(*KEY, "pos", *columns, F.coalesce(inner(), F.lit("")).alias("inner"))
 
 
 def labelled_values(tree: DataFrame, labels: list[str]) -> DataFrame:

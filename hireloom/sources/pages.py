@@ -238,10 +238,10 @@ def links(pages: DataFrame, maximum: int = 50) -> DataFrame:
 def semantic_jobs(pages: DataFrame) -> DataFrame:
     """A posting from a page's heading and content, with its confidence and evidence."""
     tree, n = held_tree(page_tree(_with_page(pages)))
-    return _semantic(_with_page(pages).select(*KEY, "company").repartition(n, *KEY), tree, anchors(tree), canonical_links(tree))
+    return _semantic(_with_page(pages).select(*KEY, "company").repartition(n, *KEY), tree, anchors(tree), canonical_links(tree), n)
 
 
-def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame, canonical: DataFrame) -> DataFrame:
+def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame, canonical: DataFrame, n: int) -> DataFrame:
     name = F.col("name")
     e = tree.where("name IS NOT NULL").withColumns({"prop": attribute("itemprop"), "of": F.when(name == "meta", attribute("property")), "when": attribute("datetime")})
     prop = lambda p: F.coalesce(F.col("prop") == p, F.lit(False))
@@ -254,8 +254,9 @@ def _semantic(pages: DataFrame, tree: DataFrame, found: DataFrame, canonical: Da
     spot = F.struct("pos", "idx", "last", F.col("attrs.content").alias("content"), "when", "in_noise")
     first = e.groupBy(*KEY).agg(*(F.min(F.when(on, spot)).alias(k) for k, on in wanted.items()))
     texts = first.select(*KEY, F.explode(F.array(*(F.struct(F.lit(k).alias("of"), F.col(f"{k}.pos").alias("pos"), F.col(f"{k}.idx").alias("idx"), F.col(f"{k}.last").alias("last")) for k in ("title", "organization", "place", "kind")))).alias("x")).select(*KEY, "x.*").where("pos IS NOT NULL")
-    spoken = texts.join(inner_texts(texts.select(*KEY, "pos", "idx", "last").distinct(), tree), [*KEY, "pos"]).select(*KEY, "of", held("inner said", lambda: presence(clean(F.col("inner")))).alias("inner"))
-    spoken = spoken.groupBy(*KEY).pivot("of", ["title", "organization", "place", "kind"]).agg(F.first("inner"))
+    # Joined by page only, as all is dealt; from files, so that its sorts are over before the others begin.
+    spoken = inner_texts(texts, tree, "of").select(*KEY, "of", held("inner said", lambda: presence(clean(F.col("inner")))).alias("inner"))
+    spoken = checkpointed(spoken.groupBy(*KEY).pivot("of", ["title", "organization", "place", "kind"]).agg(F.first("inner"))).repartition(n, *KEY)
     boxes = first.where("content IS NOT NULL").select(*KEY, "content.pos", "content.idx", "content.last", "content.in_noise")
     body = block_text(boxes, tree, LINE_ENDS, "noise", MOST_DESCRIPTION).select(*KEY, F.col("text").alias("description"))
     labelled = labelled_values(tree, ["location", "employment type"]).groupBy(*KEY).pivot("label", ["location", "employment type"]).agg(F.first("value"))
@@ -318,9 +319,9 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
     found = checkpointed(anchors(tree)).repartition(n, *KEY)
     linked = checkpointed(job_links(found, most_links))
     structured = decoded.where("valid")
-    told = structured.select(*KEY).unionAll(linked.select(*KEY)).distinct()
-    bare = checkpointed(clear.join(told, KEY, "left_anti").select(*KEY, "company"))
-    shown = _semantic(bare.repartition(n, *KEY), tree.join(bare.select(*KEY), KEY), found.join(bare.select(*KEY), KEY), canonical)
+    told = structured.select(*KEY).unionAll(linked.select(*KEY)).repartition(n, *KEY).distinct().withColumn("_told", F.lit(True))
+    bare = checkpointed(clear.select(*KEY, "company").repartition(n, *KEY).join(told, KEY, "left").where("_told IS NULL").drop("_told"))
+    shown = _semantic(bare.repartition(n, *KEY), tree.join(bare.select(*KEY), KEY), found.join(bare.select(*KEY), KEY), canonical, n)
     both = structured.repartition(n, *KEY).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "path"))).unionByName(shown.withColumn("nth", F.lit(1)), allowMissingColumns=True)
     postings = checkpointed(both.select(*KEY, "nth", *_POSTING))
 
@@ -329,16 +330,17 @@ def extract(pages: DataFrame, most_links: int = 50) -> Extraction:
         pages.where("blocked_reason IS NULL").select(*KEY, F.struct(F.lit(0).alias("o"), F.lit(0).alias("nth"), F.col("url").alias("v")).alias("x")), canonical.select(*KEY, F.struct(F.lit(1).alias("o"), F.lit(0).alias("nth"), F.col("canonical").alias("v")).alias("x")),
         postings.select(*KEY, F.explode(F.array(said(2, "canonical_url"), said(2, "application_url"))).alias("x")), linked.select(*KEY, F.struct(F.lit(3).alias("o"), F.col("pos").alias("nth"), F.col("link").alias("v")).alias("x")),
     ]
-    hosts = reduce(DataFrame.unionAll, named).select(*KEY, F.col("x.o").alias("o"), F.col("x.nth").alias("nth"), ats_provider(F.col("x.v")).alias("provider"), host(F.col("x.v")).alias("host")).where("provider IS NOT NULL")
+    hosts = reduce(DataFrame.unionAll, named).select(*KEY, F.col("x.o").alias("o"), F.col("x.nth").alias("nth"), ats_provider(F.col("x.v")).alias("provider"), host(F.col("x.v")).alias("host")).where("provider IS NOT NULL").repartition(n, *KEY)
     each = hosts.groupBy(*KEY, "provider").agg(F.min(F.struct("o", "nth")).alias("first"), F.max_by("host", F.struct("o", "nth")).alias("host"))
     detections = each.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "provider", "host"))), lambda x: F.struct(x["provider"].alias("provider"), x["host"].alias("host"))).alias("detections"))
     skipped = decoded.where("NOT valid").select(*KEY, F.lit(1).alias("stage"), "block", "path", F.lit("A malformed or incomplete JobPosting object was skipped.").alias("message"))
     warned = rejects.select(*KEY, F.lit(0).alias("stage"), "block", F.array().cast("array<int>").alias("path"), "message").unionAll(skipped)
-    messages = warned.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "block", "path", "message"))), lambda x: x["message"]).alias("messages"))
+    messages = warned.repartition(n, *KEY).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "block", "path", "message"))), lambda x: x["message"]).alias("messages"))
     all_ = max(1, pages.rdd.getNumPartitions())
     state = pages.repartition(all_, *KEY)
-    for part in (postings.groupBy(*KEY).agg(F.count("*").alias("n_postings")), linked.groupBy(*KEY).agg(F.count("*").alias("n_links")), messages, detections):
-        state = state.join(part.repartition(all_, *KEY), KEY, "left")
+    counted = lambda rows, name: rows.select(*KEY).repartition(all_, *KEY).groupBy(*KEY).agg(F.count("*").alias(name))
+    for part in (counted(postings, "n_postings"), counted(linked, "n_links"), messages.repartition(all_, *KEY), detections.repartition(all_, *KEY)):
+        state = state.join(part, KEY, "left")
     state = state.withColumns({"n_postings": F.coalesce("n_postings", F.lit(0)), "n_links": F.coalesce("n_links", F.lit(0)), "detections": F.coalesce("detections", F.array().cast("array<struct<provider:string,host:string>>"))})
     stop = F.array(F.concat(F.lit("Blocked page detected: "), F.col("blocked_reason"), F.lit(".")))
     state = state.withColumn("messages", F.when(F.col("blocked_reason").isNotNull(), stop).otherwise(F.coalesce("messages", F.array().cast("array<string>"))))
